@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanery.llm import lang_id, packing, personal_data
+from gleanery.llm import lang_id, line_dedup, packing, personal_data, secrets
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-for _module in (packing, personal_data, lang_id):
+for _module in (secrets, line_dedup, packing, personal_data, lang_id):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))

@@ -31,9 +31,9 @@ from gleanery.session import table
 
 END_ID = 0
 BLOCK = 1 << 19
-WINDOW_CHARGE = 8
+WINDOW_CHARGE = 32
 SENTENCE_PENALTY = 2
-SPLIT_PENALTY = 48
+SPLIT_PENALTY = 16
 SPLIT_EVERY = 64
 CACHE_WORDS = 300_000
 
