@@ -27,7 +27,7 @@ from gleanery.llm.common import map_arrow
 from gleanery.session import table
 
 BUCKETS = 1 << 13
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
 REJECT_BELOW = 0.1
 UNDETERMINED = "und"
@@ -119,16 +119,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 if counts is not None:
                     nz = np.flatnonzero(counts)
                     langs.append(lang)
-                    at.append(nz.astype(np.int32))
-                    n.append(counts[nz].astype(np.int32))
+                    at.append(nz.astype(np.int16).tobytes())
+                    n.append(counts[nz].astype(np.int32).tobytes())
             if langs:
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
 
-    sample = map_arrow(labelled.where(draw < share), [lang_col, text_col], grams, "lang string, at array<int>, n array<int>").collect()
-    sample.sort(key=lambda r: (r[0], len(r[1]), r[1], r[2]))
+    sample = map_arrow(labelled.where(draw < share), [lang_col, text_col], grams, "lang string, at binary, n binary").collect()
+    sample.sort()
     counts = np.zeros((len(sample), BUCKETS), np.float32)
     for i, (_, at, n) in enumerate(sample):
-        counts[i, at] = n
+        counts[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.int32)
     idf = np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = unit_rows(counts, idf) if len(sample) else counts
     langs, found = [], []
