@@ -76,19 +76,20 @@ def drop_boilerplate(
         F.array_sort(F.collect_set("pos")).alias("_gone"), F.sum("chars").alias("_chars")
     )
     gone = F.col("_gone")
-    n = F.size(_lines(text_col))
-    opens = F.concat(F.array(F.lit(1)), F.transform(gone, lambda p: p + 2))
-    closes = F.concat(gone, F.array(F.col("_n")))
-    out = keyed.join(cut, key, "left").withColumn("_n", n).withColumn("_lines", F.when(gone.isNotNull(), _lines(text_col)))
+    out = keyed.join(cut, key, "left").withColumn("_lines", _lines(text_col))
     if keep_above is not None:
         share = F.col("_chars") / F.greatest(F.length(text_col), F.lit(1))
         out = out.withColumn("_gone", F.when(share <= keep_above, gone))
+    # The lines are used more than once below, which keeps the optimiser from splitting the text anew for each slice.
+    n = F.size("_lines")
+    opens = F.concat(F.array(F.lit(1)), F.transform(gone, lambda p: p + 2))
+    closes = F.concat(gone, F.array(n))
     out = out.withColumn("_spans", F.arrays_zip(opens.alias("lo"), closes.alias("hi")))
     kept = F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_lines"), s["lo"], s["hi"] - s["lo"] + 1)))
     return out.withColumns(
         {
             text_col: F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
-            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n")).cast("bigint"),
+            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("bigint"),
             "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("bigint"),
         }
     ).select(*docs.columns, "n_lines", "n_removed")
