@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanery.llm import ann, decontaminate, jaccard, lang_id, language_model, line_dedup, packing, personal_data, secrets
+from gleanery.llm import ann, decontaminate, jaccard, lang_id, language_model, licenses, line_dedup, packing, personal_data, secrets
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-for _module in (secrets, line_dedup, decontaminate, ann, jaccard, language_model, packing, personal_data, lang_id):
+for _module in (secrets, licenses, line_dedup, decontaminate, ann, jaccard, language_model, packing, personal_data, lang_id):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))
