@@ -128,6 +128,8 @@ class Model:
 
     def bigrams(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Counts of pairs of known ids."""
+        if not len(u):
+            return np.zeros(0, np.int64)
         keys, where = np.unique((u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64), return_inverse=True)
         shard = self.bigram_shard((keys >> np.uint64(32)).astype(np.int64), keys)
         out = np.zeros(len(keys), np.int64)
