@@ -69,5 +69,5 @@ def fingerprint(mapping: Column) -> Column:
 
 
 def list_items(value: Column) -> Column:
-    """A JSON list's elements as texts, any other value as a list of itself."""
-    return F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+    """A JSON list's elements as texts, any other value as a list of itself; null stays null."""
+    return F.when(value.startswith("["), F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value))

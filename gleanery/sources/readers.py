@@ -128,4 +128,5 @@ def register_entities(spark: SparkSession, name: str, fetch, languages: list[str
         def reader(self, schema) -> DataSourceReader:
             return _EntityReader(fetch, languages, page_size)
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Entities)
