@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, jaccard, lang_id, line_dedup, packing
-from gleanery.llm.common import stored
+from gleanery.llm.common import small, stored
 from gleanery.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,7 +17,7 @@ KEEP_ABOVE = 0.5
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is not in ids, a stored list; sent to all executors only if short."""
-    return docs.join(jaccard.small(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

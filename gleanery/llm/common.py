@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of short rows goes to all executors up to this many; a longer one is shuffled.
+BROADCAST_ROWS = 1 << 21
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if it is short; rows: its length, counted if not given, so give a stored df."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def map_arrow(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(fn, schema)
 

@@ -5,14 +5,17 @@ Documents with one and the same shingle set form a class and go on as one node.
 1. Shingles are put in one global order: by hash, the known frequent ones last. Two sets that link
    share a shingle within their prefixes of n - ceil(t n) + 1, so prefixes are all that is
    exchanged. (Which shingles count as frequent affects speed alone; any order gives the same links.)
+   Sets of n and m shingles link only with a = t (n + m) / (1 + t) in common, so behind the first
+   common one each must still have a: its position rules out most chance meetings.
 2. Similar nodes are partitioned into groups: of the nodes that share a prefix shingle each is
-   compared with the least and the greatest node, and verified links join nodes into groups.
+   compared with two of them, the one with the smallest share of rare shingles, which in a group of edited
+   copies is the least edited, and the one of the greatest name. Verified links join nodes into groups.
    That takes a number of comparisons linear in the nodes, however large a group of copies is.
 3. Only pairs in different groups are left. For each prefix shingle the matrix tells in which groups
    it occurs; a node of the smaller group queries the larger one. For groups of several nodes the
    union of all their shingles is stored, the overlap of the query with it is counted, and the
-   group is opened only if that reaches ceil(t n): no member can overlap more.
-4. Opened groups are compared member by member, and the new links complete the components.
+   group is opened only for members of a size that this overlap allows: none can overlap more.
+4. Opened members are compared one by one, and the new links complete the components.
 
 Each comparison is exact, on whole texts. No step lists all pairs of a group, and no group is
 gathered in a task: frequent shingles are spread over all partitions.
@@ -34,20 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import map_arrow, stored
+from gleanery.llm.common import map_arrow, small, stored
 from gleanery.llm.components import connected
 from gleanery.llm.words import WordHashes, mix, shingles, words
 from gleanery.session import table
 
-#: Share of the hash range in which shingles are counted, and from which count on they are frequent.
-COUNTED_RANGE = 0.3
+#: From which count on shingles are frequent.
 FREQUENT = 24
 #: The most frequent ones are known to all tasks: 8 bytes each, 2 MB in all.
 MOST_FREQUENT = 1 << 18
 ROWS_A_PART = 1 << 20
-BUFFER = 1 << 21
-#: A list of nodes (16 bytes a row) goes to all executors up to this many rows; a longer one is shuffled.
-BROADCAST_ROWS = 1 << 21
+BUFFER = 1 << 20
 
 
 def node_of(s: np.ndarray) -> int:
@@ -55,45 +55,40 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, node) of each document (id, text)."""
+    """(id, ref, n, node) of each document (id, ref, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingles(known.array(words(t.as_py())), k) for t in batch.column(1)]
+            sets = [shingles(known.array(words(t.as_py())), k) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["id", "n", "node"]
+                [*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["id", "ref", "n", "node"]
             )
 
-    return map_arrow(docs, ["id", "text"], run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, node bigint")
+    return map_arrow(docs, ["id", "ref", "text"], run, f"id {docs.schema['id'].dataType.simpleString()}, ref bigint, n bigint, node bigint")
 
 
 def _as_long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _parts_of(h: np.ndarray, parts: int, of_range: float) -> np.ndarray:
-    """Bounds of ``parts`` equal ranges in a sorted array of hashes below of_range."""
-    edges = (np.arange(1, parts) / parts * of_range * 2.0**64).astype(np.uint64)
+def _parts_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of ``parts`` equal ranges in a sorted array of hashes."""
+    edges = (np.arange(1, parts) / parts * 2.0**64).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
 
 
-def frequent_shingles(docs: DataFrame, k: int, total: int, least: int = FREQUENT, most: int = MOST_FREQUENT, of_range: float = COUNTED_RANGE) -> np.ndarray:
-    """The most frequent shingles with a hash in the low part of the range, sorted; a bounded number."""
-    parts = max(1, int(total * of_range / ROWS_A_PART) + 1)
-    limit = np.uint64(min(of_range, 1.0) * (2.0**64 - 2048))
+def frequent_shingles(docs: DataFrame, k: int, total: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The most frequent shingles, sorted; a bounded number. All shingles of all documents are counted."""
+    parts = int(total / ROWS_A_PART) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            at = _parts_of(keys, parts, of_range)
+            at = _parts_of(keys, parts)
             rows = [(p, keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
             part, kb, nb = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kb, pa.binary()), pa.array(nb, pa.binary())], names=["part", "keys", "n"])
@@ -101,7 +96,6 @@ def frequent_shingles(docs: DataFrame, k: int, total: int, least: int = FREQUENT
         for batch in batches:
             for t in batch.column(0):
                 s = shingles(known.array(words(t.as_py())), k)
-                s = s[: np.searchsorted(s, limit)]
                 if len(s):
                     held.append(s)
                     size += len(s)
@@ -132,9 +126,14 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent: np.ndarray) -> DataFrame:
-    """(token, node, n): prefix shingles of each node that may occur in the prefix of another one."""
+    """(token, node, n, pos, rare): prefix shingles of each node that may occur in the prefix of another one.
+
+    pos is the shingle's place in the global order of its set, rare the per mille of the set's
+    shingles that are not frequent.
+    """
     parts = max(1, int(total * (100 - percent) / 100 / ROWS_A_PART) + 1)
     known_frequent = docs.sparkSession.sparkContext.broadcast(frequent)
+    names, kinds = ["token", "node", "n", "pos", "rare"], [np.int64, np.int64, np.int32, np.int32, np.int32]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, frequent = WordHashes(), known_frequent.value
@@ -142,15 +141,15 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
         size, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
-            token, node, n, common = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, node, n, pos, share, common = (np.concatenate(c) for c in zip(*held, strict=True))
             # Frequent ones are spread by node, as all of them are passed on; the others meet by token.
             part = np.where(common, mix(token ^ node.view(np.uint64)) % np.uint64(parts), mix(token) % np.uint64(parts)).astype(np.int32)
             part = np.where(common, -1 - part, part)
             by = np.argsort(part, kind="stable")
             ids, at = np.unique(part[by], return_index=True)
             cells = np.split(by, at[1:])
-            cols = [[a[c].tobytes() for c in cells] for a in (token, node, n)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "token", "node", "n"])
+            cols = [[a[c].tobytes() for c in cells] for a in (token, node, n, pos, share)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", *names])
 
         for batch in batches:
             for t in batch.column(0):
@@ -160,15 +159,17 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
                 node = node_of(s)
                 if node in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(node)
                 p = prefix_size(len(s), percent)
                 common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
                 rare = s[~common][:p]
                 rest = s[common][: p - len(rare)]
-                held.append((np.concatenate([rare, rest]), np.full(p, node), np.full(p, len(s)), np.arange(p) >= len(rare)))
+                share = 1000 * (len(s) - np.count_nonzero(common)) // len(s)
+                same = [np.full(p, x, np.int32) for x in (len(s), share)]
+                held.append((np.concatenate([rare, rest]), np.full(p, node), same[0], np.arange(p, dtype=np.int32), same[1], np.arange(p) >= len(rare)))
                 size += p
-            if size >= BUFFER // 4:
+            if size >= BUFFER // 2:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -178,43 +179,51 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
         groups: dict[int, list[tuple]] = {}
         for batch in batches:
             for part, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                arrays = tuple(np.frombuffer(c, np.int64) for c in cells)
+                arrays = tuple(np.frombuffer(c, kind) for c, kind in zip(cells, kinds, strict=True))
                 if part < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["token", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
                 else:
                     groups.setdefault(part, []).append(arrays)
         for cells in groups.values():
-            token, node, n = (np.concatenate(c) for c in zip(*cells, strict=True))
-            by = np.lexsort((node, token))
-            token, node, n = token[by], node[by], n[by]
+            columns = [np.concatenate(c) for c in zip(*cells, strict=True)]
+            by = np.lexsort((columns[1], columns[0]))
+            columns = [c[by] for c in columns]
+            token, node = columns[:2]
             fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-            token, node, n = token[fresh], node[fresh], n[fresh]
-            same = token[1:] == token[:-1]
+            columns = [c[fresh] for c in columns]
+            same = columns[0][1:] == columns[0][:-1]
             met = np.append(False, same) | np.append(same, False)
-            yield pa.RecordBatch.from_arrays([pa.array(token[met]), pa.array(node[met]), pa.array(n[met])], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], names=names)
 
-    rows = map_arrow(docs, ["text"], emit, "part int, token binary, node binary, n binary")
-    return rows.repartition(parts, "part").mapInArrow(meet, "token bigint, node bigint, n bigint").distinct()
+    rows = map_arrow(docs, ["text"], emit, "part int, " + ", ".join(f"{c} binary" for c in names))
+    return rows.repartition(parts, "part").mapInArrow(meet, "token bigint, node bigint, n int, pos int, rare int")
 
 
 class Join:
-    """The state of one join: documents (id, text) and what has been stored of them."""
+    """The state of one join: documents (id, ref, text) and what has been stored of them.
+
+    ref finds a document again: a hash of its id, or of its text where the id is null. As different
+    texts may share one, a text counts as a node's only if its set has that name.
+    """
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.k, self.percent = k, percent
         self.docs = docs
         self.sets = stored(describe(docs, k), "jaccard-sets")
-        self.nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
+        self.nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("ref").alias("ref"))
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of distinct nodes, by one document of each."""
-        wanted = stored(self.nodes.where("id is not null").join(nodes, "node", "left_semi").select("id", "node"), "jaccard-wanted")
-        found = self.docs.join(small(wanted, wanted.count()), "id").select("node", "text")
-        return stored(found.dropDuplicates(["node", "text"]), "jaccard-texts")
+        wanted = stored(self.nodes.join(nodes, "node", "left_semi").select("ref", "node"), "jaccard-wanted")
+        return self.docs.join(small(wanted), "ref").select("node", "text")
 
     def sizes_fit(self, a: str, b: str):
         return (100 * F.col(a) >= self.percent * F.col(b)) & (100 * F.col(b) >= self.percent * F.col(a))
 
+    def may_overlap(self, left: str, n: str, m):
+        """Whether a set of n with ``left`` shingles from here on can have as many in common as one of m asks for."""
+        return F.col(left) * (100 + self.percent) >= self.percent * (F.col(n) + m)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of nodes that link."""
         k, percent = self.k, self.percent
@@ -231,10 +240,12 @@ class Join:
             for batch in batches:
                 keep = []
                 for i in range(batch.num_rows):
-                    b = batch.column(1)[i].as_py()
+                    b = batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
                     if b != last:
-                        last, last_set = b, shingles(known.array(words(batch.column(3)[i].as_py())), k)
+                        last, last_set = b, shingles(known.array(words(b[1])), k)
                     mine = shingles(known.array(words(batch.column(2)[i].as_py())), k)
+                    if node_of(last_set) != b[0] or node_of(mine) != batch.column(0)[i].as_py():
+                        continue
                     both = len(np.intersect1d(mine, last_set, assume_unique=True))
                     if 100 * both >= percent * (len(mine) + len(last_set) - both):
                         keep.append(i)
@@ -245,30 +256,39 @@ class Join:
     def tokens(self, members: DataFrame, label: str) -> DataFrame:
         """Distinct (label, token) over the whole texts of members (node, label)."""
         k = self.k
-        laid = self.texts(members.select("node").distinct()).join(members, "node").select(label, "text")
+        laid = self.texts(members.select("node").distinct()).join(members, "node").select(label, "node", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = WordHashes()
             for batch in batches:
-                for name, t in zip(batch.column(0), batch.column(1), strict=True):
+                for name, node, t in zip(*batch.columns, strict=True):
                     s = shingles(known.array(words(t.as_py())), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), name.as_py())), _as_long(s)], names=[label, "token"])
+                    if node_of(s) == node.as_py():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), name.as_py())), _as_long(s)], names=[label, "token"])
 
-        return map_arrow(laid, [label, "text"], run, f"{label} bigint, token bigint").distinct()
+        return map_arrow(laid.withColumnRenamed("node", "of"), [label, "of", "text"], run, f"{label} bigint, token bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of each row; see the module's text."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ref = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(0), F.col(text_col))).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    docs = docs.select(F.col(id_col).alias("id"), ref.alias("ref"), F.col(text_col).alias("text"))
     join = Join(docs, k, percent)
     total = join.sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = frequent_shingles(docs, k, total)
     prefixes = stored(shared_prefixes(docs, k, percent, total, frequent), "jaccard-prefixes")
 
-    # Groups: links with the least and the greatest node that share a prefix shingle.
-    leaders = prefixes.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("lo.node <> hi.node")
-    star = prefixes.join(leaders, "token").select(F.col("node").alias("a"), "n", F.explode(F.array("lo", "hi")).alias("to"))
-    star = star.where(F.col("a") != F.col("to.node")).select("a", "n", F.col("to.node").alias("b"), F.col("to.n").alias("m")).where(join.sizes_fit("n", "m"))
+    # Groups: links with the least edited and the greatest node that share a prefix shingle.
+    prefixes = prefixes.withColumn("left", F.col("n") - F.col("pos"))
+    leaders = (
+        prefixes.groupBy("token")
+        .agg(F.min(F.struct("rare", "node", "n", "left")).alias("lo"), F.max(F.struct("node", "n", "left")).alias("hi"), F.min("node").alias("other"))
+        .where("other <> hi.node")
+    )
+    two = F.array(F.struct("lo.node", "lo.n", "lo.left"), F.col("hi"))
+    star = prefixes.join(leaders, "token").select(F.col("node").alias("a"), "n", "left", F.explode(two).alias("to"))
+    star = star.select("a", "n", "left", F.col("to.node").alias("b"), F.col("to.n").alias("m"), F.col("to.left").alias("m_left"))
+    star = star.where("a <> b").where(join.sizes_fit("n", "m") & join.may_overlap("left", "n", F.col("m")) & join.may_overlap("m_left", "m", F.col("n")))
     tried = stored(star.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "jaccard-tried")
     links = stored(join.verified(tried), "jaccard-links")
     groups = connected(links)
@@ -278,17 +298,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     sizes = groups.groupBy("label").agg(size)
     labelled = (
         prefixes.join(groups.join(sizes, "label"), "node", "left")
-        .select("token", "node", "n", F.coalesce("label", "node").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
+        .select("token", "node", "n", "left", F.coalesce("label", "node").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
     )
     mixed = labelled.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("token")
     labelled = stored(labelled.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    matrix = labelled.groupBy("token", "group", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = matrix.select("token", F.col("group").alias("to"), F.col("size").alias("to_size"), "least", "most")
+    matrix = labelled.groupBy("token", "group", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("most_left"))
+    other = matrix.select("token", F.col("group").alias("to"), F.col("size").alias("to_size"), "least", "most", "most_left")
+    smallest = F.greatest(F.col("least"), percent * F.col("n") / 100)
     asks = (
         labelled.join(other, "token")
         .where("size < to_size or (size = to_size and group < to)")
         .where((percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n")))
-        .select("node", "n", "group", "to", "to_size")
+        .where(join.may_overlap("left", "n", smallest) & join.may_overlap("most_left", "n", smallest))
+        .select("node", "n", "to", "to_size")
         .distinct()
     )
     asks = stored(asks, "jaccard-asks")
@@ -299,14 +321,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         union = join.tokens(groups.join(wide.select(F.col("to").alias("label")).distinct(), "label", "left_semi"), "label")
         queries = join.tokens(wide.select("node").distinct().withColumn("label", F.col("node")), "label").withColumnRenamed("label", "node")
         overlap = wide.join(queries, "node").join(union.withColumnRenamed("label", "to"), ["to", "token"]).groupBy("node", "n", "to").agg(F.count("*").alias("both"))
-        qualified = overlap.where(100 * F.col("both") >= percent * F.col("n"))
-        members = groups.select(F.col("node").alias("m"), F.col("label").alias("to"))
-        fitting = join.sets.select(F.col("node").alias("m"), F.col("n").alias("n_m")).distinct()
-        into = qualified.join(members, "to").join(fitting, "m").where(join.sizes_fit("n", "n_m"))
+        members = groups.select(F.col("node").alias("m"), F.col("label").alias("to")).join(join.sets.select(F.col("node").alias("m"), F.col("n").alias("n_m")).distinct(), "m")
+        least = members.groupBy("to").agg(F.min("n_m").alias("least"))
+        qualified = overlap.join(least, "to").where(join.may_overlap("both", "n", smallest)).drop("least")
+        into = qualified.join(members, "to").where(join.sizes_fit("n", "n_m") & join.may_overlap("both", "n", F.col("n_m")))
         opened = alone.union(into.select(F.col("node").alias("q"), "m"))
     pairs = opened.select(F.least("q", "m").alias("b"), F.greatest("q", "m").alias("a")).distinct()
     more = join.verified(stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-opened"))
-    groups = connected(links.union(more))
+    groups = connected(stored(links.union(more), "jaccard-links"))
 
     named = join.nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "id")
     names = named.groupBy("label").agg(F.min("id").alias("component_id"))
