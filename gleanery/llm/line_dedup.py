@@ -3,7 +3,9 @@
 Each line is hashed; HyperLogLog sketches of the sites are built per line hash, combined on the map
 side and merged by the aggregation. A line whose estimate is clearly over ``min_sites`` is
 boilerplate, one clearly under it is not, and lines near the threshold get an exact count of distinct
-sites. Boilerplate lines are then taken out of every document; the rest keeps its order.
+sites. Boilerplate lines are then taken out of every document; the rest keeps its order. Both lists of
+lines are stored and counted: a short one is broadcast, so that frequent lines need not meet in one task, a long
+one is joined by shuffle.
 
 Only the removed positions travel back to the documents, and the kept lines are rebuilt from slices
 between them, so the work on a text is linear however many lines go.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import row_key
+from gleanery.llm.common import row_key, small, stored
 from gleanery.session import table
 
 MIN_SITES = 8
@@ -37,17 +39,18 @@ def _lines(text: str) -> Column:
 
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int = SKETCH_BITS, band: float = BAND) -> DataFrame:
     """(line) hashes with at least min_sites distinct sites, out of rows (line, site)."""
-    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(sketch_bits))).alias("estimate"))
-    near = F.col("estimate").between(min_sites * (1 - band), min_sites * (1 + band))
-    sure = spread.where(F.col("estimate") > min_sites * (1 + band)).select("line")
+    estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(sketch_bits))).alias("estimate")
+    spread = lines.groupBy("line").agg(estimate).where(F.col("estimate") >= min_sites * (1 - band))
+    spread = stored(spread, "line-spread")
+    sure = F.col("estimate") > min_sites * (1 + band)
     exact = (
-        lines.join(spread.where(near).select("line"), "line", "left_semi")
+        lines.join(small(spread.where(~sure).select("line")), "line", "left_semi")
         .groupBy("line")
         .agg(F.countDistinct("site").alias("sites"))
         .where(F.col("sites") >= min_sites)
         .select("line")
     )
-    return sure.unionByName(exact)
+    return stored(spread.where(sure).select("line").unionByName(exact), "line-boilerplate")
 
 
 def drop_boilerplate(
@@ -72,7 +75,7 @@ def drop_boilerplate(
     lines = docs.select(site, F.explode(_lines(text_col)).alias("l")).select(cell(F.col("l")).alias("line"), "site").where("line is not null")
     bad = boilerplate_lines(lines, min_sites)
     placed = keyed.select(*key, F.posexplode(_lines(text_col)).alias("pos", "l")).select(*key, "pos", F.length("l").alias("chars"), cell(F.col("l")).alias("line"))
-    cut = placed.where("line is not null").join(bad, "line").groupBy(*key).agg(
+    cut = placed.where("line is not null").join(small(bad), "line").groupBy(*key).agg(
         F.array_sort(F.collect_set("pos")).alias("_gone"), F.sum("chars").alias("_chars")
     )
     gone = F.col("_gone")
