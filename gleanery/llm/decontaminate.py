@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import row_key, whole_text
+from gleanery.llm.common import row_key, small, stored, whole_text
 from gleanery.session import table
 
 WINDOW = 5
@@ -101,8 +101,10 @@ def find_leaks(
         .select("k1", "k2", "item_id", (F.col("n") * window - F.col("at")).alias("shift"))
         .distinct()
     )
+    # Stored and counted: where hits are few they go to the documents, whose texts then stay where they are.
+    hits = stored(hits, "leak-hits")
     whole = items.select("item_id", "item_raw", "item_tokens").distinct()
-    laid = with_template(keyed.join(hits, ["k1", "k2"]), "_text")
+    laid = with_template(keyed.join(small(hits), ["k1", "k2"]), "_text")
     laid = laid.join(whole, "item_id").withColumn("raw_doc", tokens("raw")).withColumn("template_doc", tokens("template"))
     size, lead = F.size("item_tokens"), F.greatest(-F.col("shift"), F.lit(0))
     segment = lambda name: F.concat(
