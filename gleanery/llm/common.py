@@ -46,8 +46,18 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+#: Arrow batches end at this size however long the texts are: it bounds what a worker holds at once.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded size; the setting is the session's, and is left as it is needed later."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_arrow(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.select(*columns).mapInArrow(fn, schema)
+    return in_arrow(df.select(*columns), fn, schema)
 
 
 def whole_text(text: str = "text") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import map_arrow
+from gleanery.llm.common import in_arrow, map_arrow
 from gleanery.session import table
 
 BUCKETS = 1 << 13
@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return CentroidModel(idf, np.concatenate(found) if found else np.zeros((0, BUCKETS), np.float32), langs)
 
 
-def predict(docs: DataFrame, model: CentroidModel, columns: list[str], text_col: str = "text", reject_below: float = REJECT_BELOW, batch_rows: int = 256) -> DataFrame:
+def predict(docs: DataFrame, model: CentroidModel, columns: list[str], text_col: str = "text", reject_below: float = REJECT_BELOW, batch_rows: int = 128) -> DataFrame:
     """``columns`` of each row with lang_pred, score (cosine, 0 to 1) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids.astype(np.float32), list(model.langs)))
 
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: CentroidModel, columns: list[str], text_col:
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     source = docs.select(*columns, F.col(text_col).alias("_text_in"))
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return in_arrow(source, run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def fold(id_col: str, of: int) -> Column:

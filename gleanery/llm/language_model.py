@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import map_arrow, open_mapped, put_file, shared_path
+from gleanery.llm.common import in_arrow, map_arrow, open_mapped, put_file, shared_path
 from gleanery.llm.lang_id import fold
 from gleanery.llm.words import WordHashes, mix, words
 from gleanery.session import table
@@ -379,7 +379,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     source = docs.select(*columns, F.col(text_col).alias("_text_in"))
-    return source.mapInArrow(run, f"{kinds}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return in_arrow(source, run, f"{kinds}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
