@@ -31,7 +31,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 WEAK_ID = r"""(?<![A-Za-z0-9])(?i:(?:access|client|account|tenant|user)[_-]?(?:key[_-]?)?(?:id|name)|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{4,}+)"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,128}+=?(?![A-Za-z0-9+/=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?<![A-Za-z0-9])(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|s?ftp)://([^\x20\x09-\x0D"'<>]+)"""
 BREAK = r"\n\x20*\n()"
 

@@ -55,6 +55,17 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds[9] == []  # a secret and an endpoint, but no identifier
 
 
+def test_weak_secrets_of_usual_forms(spark):
+    secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    values = [secret, "aB3" * 28 + "xY==", "aB3d" * 50, "aB3d" * 32 + "x=", "aB3" * 28 + "xY==="]
+    rows = [(i, f"aws_access_key_id=AKIAABCDEFGHIJKL\naws_secret_access_key={v}\n") for i, v in enumerate(values)]
+    rows += [(10, f"client_id: abcdef\nmain key {values[1]} here"), (11, f"client_id: abcdef\nmain key '{values[2]}' here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "weak_secret"] for r in secrets.scan_secrets(docs).collect()}
+    assert found == {0: [values[0]], 1: [values[1]], 2: [values[2]], 3: [values[3]], 4: [], 10: [values[1]], 11: [values[2]]}
+
+
 def test_secret_query_over_documents(spark, sf_dir):
     got = {r.doc_id: r for r in secrets.op1_secret_scan(spark, sf_dir).collect()}
     for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect():
