@@ -3,7 +3,10 @@
 Documents become hashed TF-IDF vectors of letter 1- to 3-grams with unit length. Each language has
 several centroids, found by spherical k-means over its labelled documents; a document takes the
 language of the centroid with the largest cosine, and is rejected where even that cosine is below
-``reject_below``.
+the language's limit. The limit is half of the ``LIMIT_QUANTILE`` of the cosines that labelled documents
+of the language reach: each half of the fitting sample is scored by centroids of the other half, so the
+documents to be filtered have no say in it. ``reject_below`` is the least limit; it alone counts for texts under
+``LEAST_SIGNS`` signs, whose cosines are low in any language, and for languages with too small a sample.
 
 The classifier is fitted on a bounded sample: about ``sample_per_language`` labelled documents of
 each language, chosen by a hash of the id. Prediction reads every whole text.
@@ -30,6 +33,8 @@ BUCKETS = 1 << 13
 SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
 REJECT_BELOW = 0.1
+LIMIT_QUANTILE, LIMIT_SHARE = 0.01, 0.5
+LEAST_SIGNS, LEAST_SAMPLE = 40, 20
 UNDETERMINED = "und"
 
 
@@ -95,10 +100,17 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class CentroidModel:
-    """idf (BUCKETS), centroids (m x BUCKETS) and the language of each."""
+    """idf (BUCKETS), centroids (m x BUCKETS) and the language and least cosine of each."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str]):
-        self.idf, self.centroids, self.langs = idf, centroids, langs
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], limits: list[float]):
+        self.idf, self.centroids, self.langs, self.limits = idf, centroids, langs, limits
+
+
+def least_cosine(x: np.ndarray, signs: np.ndarray, k: int) -> float:
+    """The limit of a language, out of the unit rows of its sample; 0 if that is too small."""
+    halves = [np.arange(len(x)) % 2 == i for i in (0, 1)]
+    own = np.concatenate([(x[h & (signs >= LEAST_SIGNS)] @ spherical_kmeans(x[~h], k).T).max(axis=1) for h in halves]) if len(x) >= LEAST_SAMPLE else x[:0, 0]
+    return LIMIT_SHARE * float(np.quantile(own, LIMIT_QUANTILE)) if len(own) >= LEAST_SAMPLE else 0.0
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> CentroidModel:
@@ -131,35 +143,41 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         counts[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.int32)
     idf = np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = unit_rows(counts, idf) if len(sample) else counts
-    langs, found = [], []
+    signs = counts.sum(axis=1) / 3
+    langs, limits, found = [], [], []
     for lang in sorted({r[0] for r in sample}):
-        c = spherical_kmeans(x[[r[0] == lang for r in sample]], centroids)
+        rows = np.array([r[0] == lang for r in sample])
+        c = spherical_kmeans(x[rows], centroids)
         found.append(c)
         langs += [lang] * len(c)
-    return CentroidModel(idf, np.concatenate(found) if found else np.zeros((0, BUCKETS), np.float32), langs)
+        limits += [least_cosine(x[rows], signs[rows], centroids)] * len(c)
+    return CentroidModel(idf, np.concatenate(found) if found else np.zeros((0, BUCKETS), np.float32), langs, limits)
 
 
 def predict(docs: DataFrame, model: CentroidModel, columns: list[str], text_col: str = "text", reject_below: float = REJECT_BELOW, batch_rows: int = 128) -> DataFrame:
     """``columns`` of each row with lang_pred, score (cosine, 0 to 1) and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids.astype(np.float32), list(model.langs)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids.astype(np.float32), list(model.langs), np.array(model.limits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grams()
-        idf, centroids, langs = shared.value
+        idf, centroids, langs, limits = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for lo in range(0, batch.num_rows, batch_rows):
                 part = [g.counts(t.as_py()) for t in texts[lo : lo + batch_rows]]
                 best = np.full(len(part), -1)
                 score = np.zeros(len(part))
+                least = np.full(len(part), reject_below)
                 some = [i for i, c in enumerate(part) if c is not None]
                 if some and langs:
                     cosine = unit_rows(np.stack([part[i] for i in some]), idf) @ centroids.T
                     best[some] = np.argmax(cosine, axis=1)
                     score[some] = np.clip(cosine.max(axis=1), 0, 1)
+                    long = [i for i in some if part[i].sum() >= 3 * LEAST_SIGNS]
+                    least[long] = np.maximum(reject_below, limits[best[long]])
                 out = [batch.column(i)[lo : lo + len(part)] for i in range(len(columns))]
                 out.append(pa.array([langs[b] if b >= 0 else UNDETERMINED for b in best], pa.string()))
-                out += [pa.array(score), pa.array((best < 0) | (score < reject_below))]
+                out += [pa.array(score), pa.array((best < 0) | (score < least))]
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)

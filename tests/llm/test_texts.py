@@ -229,6 +229,22 @@ def test_language_id(spark, sf_dir):
     assert not any(r.rejected for r in got)
 
 
+def test_language_id_rejects_gibberish_and_unseen_languages(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. "
+    polish = "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są oni obdarzeni rozumem i sumieniem. "
+    far = [junk(n) for n in (5, 20, 100, 3000, 20000)] + [finnish, finnish * 50, polish, polish * 50, "z" * 4000]
+    model = lang_id.fit(docs)
+    asked = spark.createDataFrame(list(enumerate(far)), "doc_id bigint, text string")
+    assert all(r.rejected for r in lang_id.predict(asked, model, ["doc_id"]).collect())
+    assert lang_id.predict(docs.where("lang is not null and text is not null"), model, ["doc_id"]).where("rejected").count() == 0
+
+
 def test_language_id_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 !!", "de"), (5, "the dog", None), (6, "", None)]
     docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id bigint, text string, lang string, score double")
