@@ -11,8 +11,6 @@ from gleanery.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: A document that would lose more than this share of its characters to line removal is a copy, left to the join.
-KEEP_ABOVE = 0.5
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -27,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site lines out of the texts; drops no document."""
-    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), keep_above=KEEP_ABOVE)
+    """Takes cross-site lines out of the texts; drops no document. Copies count as one site: they are left to the join."""
+    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -53,6 +53,15 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits:
     return stored(spread.where(sure).select("line").unionByName(exact), "line-boilerplate")
 
 
+def _copies_as_one(texts: DataFrame) -> DataFrame:
+    """(_text, site) with the least site for all texts of the same lines."""
+    whole = F.array_join(F.transform(_lines("_text"), lambda l: F.trim(l)), "\n")
+    keys = [F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(17), whole).alias("h2")]
+    several = texts.select(*keys, "site").groupBy("h1", "h2").agg(F.min("site").alias("_first"), F.max("site").alias("last")).where("_first < last").drop("last")
+    several = stored(several, "line-copies")
+    return texts.select("*", *keys).join(small(several), ["h1", "h2"], "left").select("_text", F.coalesce("_first", "site").alias("site"))
+
+
 def drop_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
@@ -60,19 +69,24 @@ def drop_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
     keep_above: float | None = None,
+    copies_once: bool = False,
 ) -> DataFrame:
     """docs with boilerplate lines gone from the text, and n_lines and n_removed beside it.
 
     ``keep_above``: a document that would lose more than this share of its characters is left whole,
     as it is a copy of a document rather than a page in a frame; copies are for the near-duplicate
     operators.
+
+    ``copies_once``: documents alike in all lines count as one site, the first, so that being copied does
+    not make a document's own lines boilerplate; lines of a frame are taken out of copies as of all others.
     """
     k1, k2 = row_key(id_col, text_col)
     key = ["_k1", "_k2"]
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
     cell = lambda line: F.when(F.trim(line) != "", F.xxhash64(F.trim(line)))
     site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("-")).alias("site")
-    lines = docs.select(site, F.explode(_lines(text_col)).alias("l")).select(cell(F.col("l")).alias("line"), "site").where("line is not null")
+    seen = _copies_as_one(docs.select(F.col(text_col).alias("_text"), site)) if copies_once else docs.select(F.col(text_col).alias("_text"), site)
+    lines = seen.select("site", F.explode(_lines("_text")).alias("l")).select(cell(F.col("l")).alias("line"), "site").where("line is not null")
     bad = boilerplate_lines(lines, min_sites)
     placed = keyed.select(*key, F.posexplode(_lines(text_col)).alias("pos", "l")).select(*key, "pos", F.length("l").alias("chars"), cell(F.col("l")).alias("line"))
     cut = placed.where("line is not null").join(small(bad), "line").groupBy(*key).agg(

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gleanery.llm import decontaminate, lang_id, language_model, line_dedup, packing
 from gleanery.session import table
 
@@ -33,6 +34,16 @@ def test_line_removal(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_line_stage_strips_heavy_frames_and_spares_copies(spark):
+    frame = "\n".join(f"long line {i} of the frame about a page" for i in range(9))
+    rows = [(i, f"{frame}\nown {i}", "en", f"s{i}", 0) for i in range(9)] + [(20 + i, "all\nthe same lines" + " " * (i % 2), "en", f"s{i}", 0) for i in range(9)]
+    rows += [(40, f"{frame}\nown 0", "en", "s8", 0), (41, None, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert [got[i] for i in range(9)] == [f"own {i}" for i in range(9)] and got[40] == "own 0" and got[41] is None
+    assert all(got[20 + i] == rows[9 + i][1] for i in range(9))
+
+
 def test_line_removal_can_leave_copies_whole(spark):
     rows = [(i, f"s{i}", "all\nthe same lines") for i in range(9)] + [(20 + i, f"s{i}", f"frame\n{'own words ' * 9}{i}") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
