@@ -9,7 +9,8 @@ model of any size costs them only the pages they touch; nothing but totals passe
 p(v | u) = max(c(u,v) - D(c), 0) / c(u) + gamma(u) p(v), where p(v) is the discounted share of
 distinct contexts of v, interpolated with the uniform distribution over the V known tokens and one
 unknown. The three discounts of each order come from the counts of counts. An unseen context
-leaves p(v). A context that holds a large part of all bigrams is spread over all shards.
+leaves p(v). The pairs of a context that holds a large part of a shard's share of bigrams are spread over all shards,
+and so are those of the start of text; which contexts these are is read off the stored counts.
 
 Tokens: words (lower-cased A-Z, split at ASCII white space), then one end token. The order is two:
 see the README for what a third would cost.
@@ -87,7 +88,7 @@ class Model:
         self.offsets = np.zeros(1, np.int64)
         self.bigram_shards = 1
         self.tokens = self.types = 0
-        self.hot = np.zeros(0, np.int64)
+        self.start, self.large = -1, 0.0
         self.low_d = self.high_d = (0.5, 1.0, 1.5)
         self.low_total, self.low_gamma = 0, 1.0
         self._open: dict[str, np.ndarray] = {}
@@ -104,10 +105,10 @@ class Model:
         """Word ids of sorted hashes, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
         at = np.concatenate([[0], np.searchsorted(hashes, _starts(self.word_shards)), [len(hashes)]])
-        for p in range(self.word_shards):
+        for p in np.flatnonzero(np.diff(at)).tolist():
             part = hashes[at[p] : at[p + 1]]
             size = self.offsets[p + 1] - self.offsets[p]
-            if len(part) and size:
+            if size:
                 shard = self.array(f"word-{p}.hash", np.uint64)
                 i = np.minimum(np.searchsorted(shard, part), size - 1)
                 out[at[p] : at[p + 1]] = np.where(shard[i] == part, i + self.offsets[p], -1)
@@ -116,22 +117,25 @@ class Model:
     def of_words(self, ids: np.ndarray, name: str, dtype) -> np.ndarray:
         """A word column at ids; 0 for unknown words."""
         out = np.zeros(len(ids), dtype)
-        shard = np.searchsorted(self.offsets, ids, side="right") - 1
-        for p in np.unique(shard[ids >= 0]):
-            mine = (shard == p) & (ids >= 0)
+        known = np.flatnonzero(ids >= 0)
+        by = known[np.argsort(ids[known], kind="stable")]
+        shards, at = np.unique(np.searchsorted(self.offsets, ids[by], side="right") - 1, return_index=True)
+        for p, mine in zip(shards.tolist(), np.split(by, at[1:]), strict=True) if len(by) else ():
             out[mine] = self.array(f"word-{p}.{name}", dtype)[ids[mine] - self.offsets[p]]
         return out
 
-    def bigram_shard(self, u: np.ndarray, key: np.ndarray) -> np.ndarray:
-        spread = np.isin(u, self.hot)
-        return (mix(np.where(spread, key, u.astype(np.uint64))) % np.uint64(self.bigram_shards)).astype(np.int64)
+    def bigram_shard(self, keys: np.ndarray) -> np.ndarray:
+        """The shard of each pair: by its context, or by the pair where the context is frequent."""
+        u, where = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
+        spread = ((self.of_words(u, "count", np.int64) > self.large) | (u == self.start))[where]
+        return (mix(np.where(spread, keys, keys >> np.uint64(32))) % np.uint64(self.bigram_shards)).astype(np.int64)
 
     def bigrams(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Counts of pairs of known ids."""
         if not len(u):
             return np.zeros(0, np.int64)
         keys, where = np.unique((u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64), return_inverse=True)
-        shard = self.bigram_shard((keys >> np.uint64(32)).astype(np.int64), keys)
+        shard = self.bigram_shard(keys)
         out = np.zeros(len(keys), np.int64)
         by = np.argsort(shard, kind="stable")
         ids, at = np.unique(shard[by], return_index=True)
@@ -166,6 +170,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     model = Model(shared_path(spark, "language-model"), int(chars // CHARS_A_WORD_SHARD) + 1)
     _count_words(texts, model)
     model.bigram_shards = int(model.tokens // TOKENS_A_BIGRAM_SHARD) + 1
+    model.large = model.tokens / (4 * model.bigram_shards)
     _count_bigrams(texts, model)
     return model
 
@@ -196,22 +201,22 @@ def _count_words(texts: DataFrame, model: Model) -> None:
             for part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums.setdefault(part, Tally()).add(np.frombuffer(keys, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64))
         for part, seen in sums.items():
-            if part == int(np.searchsorted(_starts(shards), np.uint64(START), side="right")):
+            opens = part == int(np.searchsorted(_starts(shards), np.uint64(START), side="right"))
+            if opens:
                 seen.add(np.array([START], np.uint64), np.zeros(1, np.int64))
             seen.settle()
             put_file(f"{path}/word-{part}.hash", seen.keys.tobytes())
             put_file(f"{path}/word-{part}.count", seen.counts.tobytes())
-            top = np.argsort(-seen.counts, kind="stable")[:256]
+            start = int(np.searchsorted(seen.keys, np.uint64(START))) if opens else -1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([len(seen)], pa.int64()), pa.array([int(seen.counts.sum())], pa.int64()), pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([seen.counts[top].tolist()], pa.list_(pa.int64()))],
-                names=["part", "types", "tokens", "top", "top_n"],
+                [pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(seen), int(seen.counts.sum()), start))], names=["part", "types", "tokens", "start"]
             )
 
     # The shard of the start token exists even if no word falls into it.
     start = int(np.searchsorted(_starts(shards), np.uint64(START), side="right"))
     seed = texts.sparkSession.createDataFrame([(start, b"", b"")], "part int, keys binary, n binary")
     counted = map_arrow(texts, ["text"], tally, "part int, keys binary, n binary").unionByName(seed)
-    found = counted.repartition(shards, "part").mapInArrow(merge, "part int, types bigint, tokens bigint, top array<bigint>, top_n array<bigint>").collect()
+    found = counted.repartition(shards, "part").mapInArrow(merge, "part int, types bigint, tokens bigint, start bigint").collect()
     sizes = np.zeros(shards, np.int64)
     for r in found:
         sizes[r.part] = r.types
@@ -219,8 +224,7 @@ def _count_words(texts: DataFrame, model: Model) -> None:
     model.tokens, model.types = sum(r.tokens for r in found), int(sizes.sum()) - 1
     if model.types >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
-    large = model.tokens / (4 * (model.tokens // TOKENS_A_BIGRAM_SHARD + 1))
-    model.hot = np.array(sorted(int(model.offsets[r.part]) + i for r in found for i, n in zip(r.top, r.top_n, strict=True) if n > large), np.int64)
+    model.start = next(int(model.offsets[r.part]) + r.start for r in found if r.start >= 0)
 
 
 def _lookup(model: Model, known: WordHashes, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,10 +242,6 @@ def _contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
     return before
 
 
-def _start_id(model: Model) -> int:
-    return int(model.ids(np.array([START], np.uint64))[0])
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, int, list]]:
     """Runs of texts of about ``limit`` characters times eight, with their batch and first row."""
     for batch in batches:
@@ -260,11 +260,11 @@ def _count_bigrams(texts: DataFrame, model: Model) -> None:
     path = model.path
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, start = WordHashes(), Tally(), _start_id(model)
+        known, seen, start = WordHashes(), Tally(), model.start
 
         def rows() -> pa.RecordBatch:
             seen.settle()
-            shard = model.bigram_shard((seen.keys >> np.uint64(32)).astype(np.int64), seen.keys).astype(np.int32)
+            shard = model.bigram_shard(seen.keys).astype(np.int32)
             by = np.argsort(shard, kind="stable")
             cols = _blobs(shard[by], seen.keys[by], seen.counts[by].astype(np.uint32))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "keys", "n"])
@@ -300,6 +300,8 @@ def _count_bigrams(texts: DataFrame, model: Model) -> None:
             put_file(f"{path}/pair-{part}.count", np.minimum(seen.counts, 255).astype(np.uint8).tobytes())
             put_file(f"{path}/pair-{part}.many", seen.keys[many].tobytes())
             put_file(f"{path}/pair-{part}.manycount", seen.counts[many].tobytes())
+            if not len(seen):
+                continue
             v, of_v = np.unique(seen.keys & np.uint64(0xFFFFFFFF), return_counts=True)
             yield word_rows("v", v.astype(np.int64), of_v.astype(np.uint32))
             u, at = np.unique(seen.keys >> np.uint64(32), return_index=True)
@@ -336,7 +338,9 @@ def _count_bigrams(texts: DataFrame, model: Model) -> None:
             total += int(cols[0].sum())
         yield pa.RecordBatch.from_arrays([pa.array([high.tolist()], pa.list_(pa.int64())), pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([total], pa.int64())], names=["high", "low", "total"])
 
-    pairs = map_arrow(texts, ["text"], tally, "part int, keys binary, n binary").repartition(model.bigram_shards, "part")
+    # An empty row for each shard, so that one without pairs has its files too.
+    seed = texts.sparkSession.range(model.bigram_shards).select(F.col("id").cast("int").alias("part"), F.lit(b"").alias("keys"), F.lit(b"").alias("n"))
+    pairs = map_arrow(texts, ["text"], tally, "part int, keys binary, n binary").unionByName(seed).repartition(model.bigram_shards, "part")
     stats = pairs.mapInArrow(merge, schema).repartition(model.word_shards, "part").mapInArrow(settle, "high array<bigint>, low array<bigint>, total bigint").collect()
     high, low = (np.sum([r[k] for r in stats], axis=0, dtype=np.int64).tolist() if stats else [0] * 6 for k in ("high", "low"))
     model.high_d, model.low_d = discounts(high[1:5]), discounts(low[1:5])
@@ -351,7 +355,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
     fields = [*columns, "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = WordHashes(), _start_id(model)
+        known, start = WordHashes(), model.start
         for batch, lo, held in _grouped(batches, len(columns), SCORED_AT_ONCE):
             kinds, where, ends = _lookup(model, known, held)
             count = model.of_words(kinds, "count", np.int64)

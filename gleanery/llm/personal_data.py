@@ -40,7 +40,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?i:[ _-]?(?:no|number|nr|num)?)\.?[\s:#=]{1,3}([0-9]{6,17})(?![0-9])")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 
 def luhn(digits: str) -> bool:
@@ -51,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead; a run of digits of any length is never read as one number."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def iban_valid(code: str) -> bool:
     code = code.replace(" ", "")
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
@@ -94,7 +100,7 @@ def find_spans(text: str, machine) -> list[tuple[int, int, str, int]]:
                 m = _IP.match(text, at)
                 if m:
                     ip_from = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                    if all(map(octet, m.group().split("."))):
                         add("ip", at, m.end())
                 else:  # no start within this run of digits can match either
                     ip_from = _DIGITS.match(text, at).end()
@@ -111,9 +117,13 @@ def find_spans(text: str, machine) -> list[tuple[int, int, str, int]]:
                 if 9 <= sum(map(str.isdigit, m.group())) <= 15:
                     add("phone", at, m.end())
         elif anchor == "scheme":
-            head = _SCHEME.search(text, max(0, at - 16), at)
-            if head and (m := _USERINFO.match(text, at + 3)):
-                add("userinfo", head.start(), m.end())
+            head = at
+            while head > 0 and text[head - 1] in _SCHEME:
+                head -= 1
+            while head < at and not text[head].isalpha():  # a scheme opens with a letter
+                head += 1
+            if head < at and (m := _USERINFO.match(text, at + 3)):
+                add("userinfo", head, m.end())
         elif anchor == "iban":
             m = _IBAN.match(text, at + size)
             if m and iban_valid(m.group(1)):

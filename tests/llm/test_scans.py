@@ -83,7 +83,7 @@ def base_personal(text):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
     spans = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    spans += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m[0].split("."))]
+    spans += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p.lstrip("0")[:4] or 0) < 256 for p in m[0].split("."))]
     spans += [(m.start(), 2, "card", m.end()) for m in re.finditer("[0-9]([\x20-]?[0-9])+", text) if 12 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
     spans += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
@@ -97,6 +97,7 @@ PERSONAL_TEXTS = [
     "+1 (499) 555-6503 +12 +1- 2 3 45678901 ++44.20.7946.0958x +1(2)3",
     "é\U0001f600 +49 30 1234567, mail x.y@mail2.example.com",
     "1" * 5000 + "@" + "a." * 50 + "b +" + "9" * 3000,
+    "0" * 5000 + ".1.1.1 " + "0" * 4400 + "256.1.1.1 0.0.0.0 256.1.1.1 100.199.255.0",
 ]
 
 
@@ -123,6 +124,13 @@ def test_personal_data_added_kinds():
     assert kinds == ["userinfo", "iban", "account"]
 
 
+def test_personal_data_of_a_long_scheme():
+    machine = personal_data.build_automaton()
+    for text, start in (("see git+ssh.over.a.long.transport+v2://me@h.example", 4), ("9.-a1" * 5000 + "://me:pw@h.example", 3), ("123://me@h.example", None)):
+        found = [s for s, _, k, _ in personal_data.find_spans(text, machine) if k == "userinfo"]
+        assert found == ([] if start is None else [start])
+
+
 def test_personal_data_rows(spark):
     docs = spark.createDataFrame([(1, "x@y.zz", "s"), (1, "x@y.zz", "s"), (None, None, "s")], "doc_id bigint, text string, spans string")
     assert sorted(len(r.spans) for r in personal_data.scan_personal_data(docs).collect()) == [0, 1, 1]

@@ -3,12 +3,13 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from gleanery.llm import decontaminate, lang_id, language_model, line_dedup, packing
+from gleanery.llm import common, decontaminate, lang_id, language_model, line_dedup, packing
 from gleanery.session import table
 
 
@@ -102,6 +103,29 @@ def test_language_model_is_kneser_ney(spark, monkeypatch, shard):
     assert sum(p(b"the", x) for x in count) + p(b"the", b"unknown") == pytest.approx(1)
 
 
+def test_language_model_with_shards_that_got_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "TOKENS_A_BIGRAM_SHARD", 50)
+    texts = ["a b"] * 300
+    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = ["b a a b", "a b", "b b a a", "c"]
+    got = language_model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model, ["doc_id"]).collect()
+    p = kneser_ney(texts)[3]
+    for r in got:
+        w = words(asked[r.doc_id])
+        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)))
+
+
+@pytest.mark.parametrize("conf, told, master, want", [({"spark.checkpoint.dir": "hdfs://a/b/"}, "hdfs://c", "yarn", "hdfs://a/b"), ({}, "hdfs://c/d", "yarn", "hdfs://c/d"), ({}, None, "local[2]", "/tmp/checkpoints")])
+def test_shared_folder(conf, told, master, want):
+    context = SimpleNamespace(getCheckpointDir=lambda: told, master=master, setCheckpointDir=lambda d: None)
+    assert common.shared_root(SimpleNamespace(conf=conf, sparkContext=context)) == want
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    with pytest.raises(ValueError):
+        common.shared_root(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")))
+
+
 def test_language_model_of_nothing(spark):
     model = language_model.train(spark.createDataFrame([], "text string"))
     got = language_model.score(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), model, ["doc_id"]).first()
