@@ -65,6 +65,17 @@ def map_arrow(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.Recor
     return in_arrow(df.select(*columns), fn, schema)
 
 
+def spare_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with none of ``taken``."""
+    lower = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in lower:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -16,7 +16,8 @@ compared after trimming spaces; lines without any other character are never boil
 Edge cases: a null text stays null and an empty one empty, both with one line or none; a document
 that is boilerplate throughout ends empty (or whole, with ``keep_above``). Repeated rows count their
 site once and get the same result. Null ids are kept. An empty table gives an empty result. Input
-columns other than the text are returned as they came.
+columns other than the text are returned as they came, whatever their names; only ``n_lines`` and
+``n_removed`` give way to the results of these names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import row_key, small, stored
+from gleanery.llm.common import row_key, small, spare_names, stored
 from gleanery.session import table
 
 MIN_SITES = 8
@@ -80,9 +81,9 @@ def drop_boilerplate(
     ``copies_once``: documents alike in all lines count as one site, the first, so that being copied does
     not make a document's own lines boilerplate; lines of a frame are taken out of copies as of all others.
     """
-    k1, k2 = row_key(id_col, text_col)
-    key = ["_k1", "_k2"]
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    docs = docs.drop("n_lines", "n_removed")
+    *key, _gone, _chars, _lines_of, _spans = spare_names([*docs.columns, "n_lines", "n_removed"], "_k1", "_k2", "_gone", "_chars", "_lines", "_spans")
+    keyed = docs.withColumns(dict(zip(key, row_key(id_col, text_col), strict=True)))
     cell = lambda line: F.when(F.trim(line) != "", F.xxhash64(F.trim(line)))
     site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("-")).alias("site")
     seen = _copies_as_one(docs.select(F.col(text_col).alias("_text"), site)) if copies_once else docs.select(F.col(text_col).alias("_text"), site)
@@ -90,19 +91,19 @@ def drop_boilerplate(
     bad = boilerplate_lines(lines, min_sites)
     placed = keyed.select(*key, F.posexplode(_lines(text_col)).alias("pos", "l")).select(*key, "pos", F.length("l").alias("chars"), cell(F.col("l")).alias("line"))
     cut = placed.where("line is not null").join(small(bad), "line").groupBy(*key).agg(
-        F.array_sort(F.collect_set("pos")).alias("_gone"), F.sum("chars").alias("_chars")
+        F.array_sort(F.collect_set("pos")).alias(_gone), F.sum("chars").alias(_chars)
     )
-    gone = F.col("_gone")
-    out = keyed.join(cut, key, "left").withColumn("_lines", _lines(text_col))
+    gone = F.col(_gone)
+    out = keyed.join(cut, key, "left").withColumn(_lines_of, _lines(text_col))
     if keep_above is not None:
-        share = F.col("_chars") / F.greatest(F.length(text_col), F.lit(1))
-        out = out.withColumn("_gone", F.when(share <= keep_above, gone))
+        share = F.col(_chars) / F.greatest(F.length(text_col), F.lit(1))
+        out = out.withColumn(_gone, F.when(share <= keep_above, gone))
     # The lines are used more than once below, which keeps the optimiser from splitting the text anew for each slice.
-    n = F.size("_lines")
+    n = F.size(_lines_of)
     opens = F.concat(F.array(F.lit(1)), F.transform(gone, lambda p: p + 2))
     closes = F.concat(gone, F.array(n))
-    out = out.withColumn("_spans", F.arrays_zip(opens.alias("lo"), closes.alias("hi")))
-    kept = F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_lines"), s["lo"], s["hi"] - s["lo"] + 1)))
+    out = out.withColumn(_spans, F.arrays_zip(opens.alias("lo"), closes.alias("hi")))
+    kept = F.flatten(F.transform(_spans, lambda s: F.slice(F.col(_lines_of), s["lo"], s["hi"] - s["lo"] + 1)))
     return out.withColumns(
         {
             text_col: F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),

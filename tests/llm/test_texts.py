@@ -26,9 +26,12 @@ def brute_lines(rows, least):
 def test_line_removal(spark):
     rows = [(i, f"s{i % 7}" if i % 5 else None, f"head\nline {i}\n foot \nhead\n\nmid {i % 3}") for i in range(40)]
     rows += [(1, "s1", rows[1][2]), (90, "s0", None), (91, "s0", ""), (92, "s0", "head"), (None, "s9", "x\nfoot"), (93, "s1", "\n".join(["head", "keep"] * 500))]
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, source string, text string, n_removed_by string")
+    docs = spark.createDataFrame([(*r, "7", 5, "k", [9]) for r in rows], "doc_id bigint, source string, text string, N_Lines string, n_removed int, _k1 string, _gone array<int>")
     for least in (2, 5, 8):
-        got = line_dedup.drop_boilerplate(docs, least).collect()
+        out = line_dedup.drop_boilerplate(docs, least)
+        assert out.columns == ["doc_id", "source", "text", "_k1", "_gone", "n_lines", "n_removed"]
+        got = out.collect()
+        assert {r._k1 for r in got} == {"k"} and {tuple(r._gone) for r in got} == {(9,)}
         want = brute_lines([(r[1], r[2]) for r in rows], least)
         assert Counter((r.doc_id, r.text) for r in got) == Counter(zip([r[0] for r in rows], want, strict=True))
     assert {r.doc_id: r.n_lines for r in got}[90] == 0 and {r.doc_id: r.n_lines for r in got}[93] == 1000
@@ -184,7 +187,7 @@ def test_decontamination_against_plain_windows(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, sf_dir).collect()} == want
 
 
-def test_tokenizer_cache_gives_the_public_ids():
+def test_tokenizer_cache_gives_the_public_ids(tmp_path):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(packing.default_tokenizer())
@@ -192,9 +195,12 @@ def test_tokenizer_cache_gives_the_public_ids():
     texts = ["", " ", "a", "a  b", " lead", "tail ", "x\ny", "x \n y", "x\n\ny\n", "don't we'll 'S 12,5%", "tab\tand\xa0nbsp", "é ü 漢字 \U0001f600!!", "<|endoftext|> x", "a.\n b\r\nc"]
     rng = np.random.default_rng(3)
     texts += ["".join(rng.choice(list("ab '\n\t.é1,!漢"), rng.integers(0, 40))) for _ in range(400)]
-    mine = packing.WordCachedTokenizer()
+    (tmp_path / "alone.json").symlink_to(packing.default_tokenizer())
+    ranked, plain = packing.WordCachedTokenizer(), packing.WordCachedTokenizer(str(tmp_path / "alone.json"))
+    assert (ranked.ends_sentence()[:50000] == plain.ends_sentence()[:50000]).all()
     for text in texts:
-        assert np.frombuffer(mine.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+        for mine in (ranked, plain):
+            assert np.frombuffer(mine.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def check_packing(pieces, texts, tokenizer, window=1024):
