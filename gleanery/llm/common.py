@@ -46,9 +46,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 1 << 21
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, to be broadcast if it is short; rows: its length, counted if not given, so give a stored df."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows; they are counted, so give a stored df."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 #: Arrow batches end at this size however long the texts are: it bounds what a worker holds at once.

@@ -1,25 +1,31 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Text becomes a template: lower-case words without punctuation, with typed placeholders for numbers,
-units after numbers, and names (capitalised words inside a sentence). Every window of ``WINDOW``
-template tokens of an item is hashed; documents are probed at every ``WINDOW``-th token only, as any
-shared run of ``2 * WINDOW - 1`` tokens holds one such block whole. A hit gives a document, an item and an
-alignment; the item is then laid against the whole document at that alignment, and its windows are
-counted that match token by token. Slots are checked for consistency: one value of the item must
-always meet the same value in the document, so a re-parameterised question counts and a chance mix of
-numbers does not. An item is leaked if ``containment`` of its windows is found.
-
-Windows with fewer than ``LEAST_WORDS`` real words are not used as probes. Items of fewer than
-``2 * WINDOW - 1`` tokens are too short to tell from chance and are never reported.
+units after numbers, and names (capitalised words inside a sentence). A window of ``WINDOW`` tokens has up to two
+keys: the hash of its template, if that holds ``LEAST_WORDS`` words or more, and the hash of its plain tokens. Two
+windows match if they share a key. An item is leaked if ``containment`` of its windows match windows of a
+document. An item with fewer tokens than a window is one window of its own length, and documents are read
+in windows of that length too.
+
+Slots are checked for consistency: along one alignment of an item with a document, one value of the item must
+always meet the same value in the document, within the windows that match. Where it does not, windows
+that match by template alone do not count; those alike in plain tokens do. So a re-parameterised question is found, a chance
+mix of numbers is not, and a word put into a copy costs only the windows about it.
+
+Both steps are hash joins over every position of every document. The first looks for a few windows of each item
+only: of m windows with k asked for, any document with k of them holds one of m - k + 1, so the m - k + 1 that the
+fewest other items share are enough, and phrases that many items have are left out wherever that can be. The second
+step takes all windows of the pairs that were found. Slots are told apart by grouping, so no text is carried to an item. Results
+grow with the pairs that match: a template that many items share gives a pair for each of them.
 
 Edge cases: a null or empty text has no tokens and matches nothing. Repeated rows give their pair once.
-Null ids are kept. Repeated items count once. An empty table on either side gives no pairs. Further
-columns, whatever their names, are not read.
+Null ids are kept, of documents and items. Repeated items count once; an id with two texts is two items. An empty
+table on either side gives no pairs. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import row_key, small, stored, whole_text
@@ -29,6 +35,9 @@ WINDOW = 5
 LEAST_WORDS = 2
 CONTAINMENT = 0.8
 
+#: Windows with their tokens go to all executors up to this many.
+BROADCAST_WINDOWS = 1 << 17
+
 NUM, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 _NAME = r"(?<=[\p{Ll},;:\d] )\p{Lu}\p{Ll}+"
 #: Units that may follow a number.
@@ -40,41 +49,89 @@ UNITS = (
 _UNIT = rf"(?<=\d)\x20?(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\d])"
 
 
-def with_template(df: DataFrame, text_col: str) -> DataFrame:
-    """df with ``raw`` and ``template``: tokens joined by one space, alike token for token.
+def with_tokens(df: DataFrame, text_col: str) -> DataFrame:
+    """df with ``t`` and ``r`` for its text: template and plain tokens, alike in number; and whether they differ.
 
-    In ``raw`` names and units keep a private-use mark; in ``template`` they, and numbers, are
-    placeholders. Each step is a column of its own, so that no pattern runs twice.
+    Each step is a column of its own, so that no pattern runs twice; no pattern repeats a choice, which would recurse.
     """
     marks = f"[{UNIT}{NAME}]"
     keep = [c for c in df.columns if c != text_col]
-    named = F.regexp_replace(F.regexp_replace(text_col, f"[{NUM}-{NAME}]", " "), _NAME, NAME + "$0").alias("_t")
-    unit = F.when(F.col("_t").rlike(r"\d"), F.regexp_replace("_t", _UNIT, f" {UNIT}$1")).otherwise(F.col("_t"))
-    gap = rf"(?:[^\p{{L}}\p{{M}}\d.,{UNIT}{NAME}]|[.,](?!\d)|(?<!\d)[.,])+"
-    raw = F.trim(F.regexp_replace(F.lower("_t"), gap, " ")).alias("raw")
-    typed = F.when(F.col("raw").rlike(marks), F.regexp_replace("raw", rf"({marks})\S+", "$1")).otherwise(F.col("raw")).alias("_t")
-    number = F.when(F.col("_t").rlike(r"\d"), F.regexp_replace("_t", r"(?<!\S)\d\S*", NUM)).otherwise(F.col("_t")).alias("template")
-    return (
-        df.select(*keep, named).select(*keep, unit.alias("_t")).select(*keep, raw).select(*keep, "raw", typed).select(*keep, "raw", number)
-    )
+    spaced = F.regexp_replace(text_col, rf"[\s{NUM}-{NAME}]+", " ")
+    named = F.regexp_replace(spaced, _NAME, NAME + "$0").alias("_t")
+    unit = F.when(F.col("_t").rlike(r"\d"), F.regexp_replace("_t", _UNIT, f" {UNIT}$1")).otherwise(F.col("_t")).alias("_t")
+    gap = rf"[^\p{{L}}\p{{M}}\d.,{UNIT}{NAME}]++|[.,](?!\d)|(?<!\d)[.,]"
+    marked = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_t"), gap, " "), "\x20{2,}", " ")).alias("_m")
+    typed = F.when(F.col("_m").rlike(marks), F.regexp_replace("_m", rf"({marks})\S+", "$1")).otherwise(F.col("_m")).alias("_t")
+    number = F.when(F.col("_t").rlike(r"\d"), F.regexp_replace("_t", r"(?<!\S)\d\S*", NUM)).otherwise(F.col("_t")).alias("_t")
+    plain = F.translate("_m", UNIT + NAME, "").alias("_r")
+    cut = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    steps = df.select(*keep, named).select(*keep, unit).select(*keep, marked).select(*keep, "_m", typed).select(*keep, plain, number)
+    return steps.select(*keep, cut("_t").alias("t"), cut("_r").alias("r"), (F.col("_t") != F.col("_r")).alias("differ"))
 
 
-def tokens(string: str) -> Column:
-    return F.filter(F.split(string, " "), lambda t: t != "")
+def _window(tokens: str, at: Column, size: int) -> list[Column]:
+    return [F.get(tokens, at + j) for j in range(size)]
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item_raw, item_tokens, at, block) for each probe window of each distinct item."""
-    parsed = (
-        with_template(items.select("item_id", whole_text("text").alias("text")), "text")
-        .distinct()
-        .select("item_id", tokens("raw").alias("item_raw"), tokens("template").alias("item_tokens"))
-        .where(F.size("item_tokens") >= 2 * window - 1)
-    )
-    at = F.explode(F.sequence(F.lit(0), F.size("item_tokens") - window))
-    windows = parsed.select("*", at.alias("at")).withColumn("cells", F.slice("item_tokens", F.col("at") + 1, window))
-    words = F.size(F.filter("cells", lambda t: ~t.isin(NUM, UNIT, NAME)))
-    return windows.where(words >= LEAST_WORDS).select("item_id", "item_raw", "item_tokens", "at", F.array_join("cells", " ").alias("block"))
+def _words(cells: list[Column]) -> Column:
+    return sum((F.when(c.isin(NUM, UNIT, NAME), 0).otherwise(1) for c in cells), F.lit(0))
+
+
+def _starts(size: int) -> Column:
+    last = F.size("t") - size
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def document_keys(tokens: DataFrame, sizes: list[int]) -> DataFrame:
+    """(k1, k2, key) of every window of every document."""
+
+    def of_size(n: int) -> Column:
+        plain = F.transform(_starts(n), lambda i: F.xxhash64(*_window("r", i, n)))
+        typed = F.transform(_starts(n), lambda i: F.when(_words(_window("t", i, n)) >= LEAST_WORDS, F.xxhash64(*_window("t", i, n))))
+        return F.when(F.col("differ"), F.concat(typed, plain)).otherwise(plain)
+
+    return tokens.select("k1", "k2", F.explode(F.concat(*map(of_size, sizes))).alias("key")).where("key is not null")
+
+
+def windows(tokens: DataFrame, columns: list[str], sizes: list[int]) -> DataFrame:
+    """(columns, at, wt, wr): place, template and plain tokens of every window of the given sizes."""
+
+    def of_size(n: int) -> Column:
+        return F.transform(_starts(n), lambda i: F.struct(i.alias("at"), F.array(*_window("t", i, n)).alias("wt"), F.array(*_window("r", i, n)).alias("wr")))
+
+    cells = map(of_size, sizes)
+    return tokens.select(*columns, F.explode(F.concat(*cells)).alias("w")).select(*columns, "w.at", "w.wt", "w.wr")
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """rows once for each key of their window."""
+    words = F.size(F.filter("wt", lambda c: ~c.isin(NUM, UNIT, NAME)))
+    keys = F.array_distinct(F.array_compact(F.array(F.when(words >= LEAST_WORDS, F.xxhash64("wt")), F.xxhash64("wr"))))
+    return rows.select("*", F.explode(keys).alias("key"))
+
+
+def item_windows(items: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT) -> tuple[DataFrame, list[int]]:
+    """(item, item_id, m, need, at, wt, wr, key, seed) for each window and key of each item, and the sizes of windows.
+
+    ``seed``: whether documents are searched for it.
+    """
+    text = whole_text("text")
+    named = items.select("item_id", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("\x00null")), text).alias("item"), text.alias("_text")).distinct()
+    tokens = stored(with_tokens(named, "_text").where(F.size("t") > 0), "benchmark-tokens")
+    size = F.least(F.size("t"), F.lit(window)).alias("size")
+    sizes = sorted(r.size for r in tokens.select(size).distinct().collect())
+    cells = [windows(tokens.where(F.size("t") >= n if n == window else F.size("t") == n), ["item", "item_id", "t"], [n]) for n in sizes]
+    rows = cells[0] if cells else windows(tokens, ["item", "item_id", "t"], [window])
+    for more in cells[1:]:
+        rows = rows.unionByName(more)
+    m = F.greatest(F.size("t") - window + 1, F.lit(1))
+    rows = rows.select("item", "item_id", m.alias("m"), F.ceil(m * containment - 1e-9).cast("int").alias("need"), "at", "wt", "wr")
+    keyed = with_keys(rows)
+    shared = keyed.groupBy("key").agg(F.countDistinct("item").alias("items"))
+    common = keyed.join(shared, "key").groupBy("item", "at").agg(F.max("items").alias("items"))
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy("items", "at")).alias("nth")
+    ranked = keyed.join(common.select("item", "at", rarest), ["item", "at"])
+    return stored(ranked.withColumn("seed", F.expr("nth <= m - need + 1")).drop("nth"), "benchmark-windows"), sizes or [window]
 
 
 def find_leaks(
@@ -87,56 +144,44 @@ def find_leaks(
     window: int = WINDOW,
     containment: float = CONTAINMENT,
 ) -> DataFrame:
-    """(id_col, item_id, n_windows, n_matched, containment, n_slots, reparameterised) of each leak."""
-    items = item_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), window)
+    """(id_col, item_id, n_windows, n_matched, containment, n_slots, reparameterised) of each leak.
+
+    ``n_slots``: distinct slots (value of the item, value of the document) in what counts; ``reparameterised``: too few
+    windows are alike in plain tokens.
+    """
+    items, sizes = item_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), window, containment)
+    key, pair = ["k1", "k2"], ["k1", "k2", "item"]
     keyed = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), *row_key(id_col, text_col))
-    strings = with_template(keyed.select("k1", "k2", "_text"), "_text")
-    block = F.regexp_extract_all("template", F.lit(rf"(?:[^ ]+ ){{{window - 1}}}[^ ]+"), F.lit(0))
-    blocks = strings.select("k1", "k2", F.posexplode(block).alias("n", "block"))
-    probes = items.select("item_id", "at", "block", F.xxhash64("block").alias("h"))
-    hits = (
-        blocks.withColumn("h", F.xxhash64("block"))
-        .join(probes.withColumnRenamed("block", "item_block"), "h")
-        .where("block = item_block")
-        .select("k1", "k2", "item_id", (F.col("n") * window - F.col("at")).alias("shift"))
-        .distinct()
-    )
+    probes = items.where("seed").select("key", "item").distinct()
+    hits = document_keys(with_tokens(keyed.select(*key, "_text"), "_text"), sizes).join(small(probes), "key").select(*pair).distinct()
     # Stored and counted: where hits are few they go to the documents, whose texts then stay where they are.
     hits = stored(hits, "leak-hits")
-    whole = items.select("item_id", "item_raw", "item_tokens").distinct()
-    laid = with_template(keyed.join(small(hits), ["k1", "k2"]), "_text")
-    laid = laid.join(whole, "item_id").withColumn("raw_doc", tokens("raw")).withColumn("template_doc", tokens("template"))
-    size, lead = F.size("item_tokens"), F.greatest(-F.col("shift"), F.lit(0))
-    segment = lambda name: F.concat(
-        F.array_repeat(F.lit(""), lead), F.slice(name, F.greatest("shift", F.lit(0)) + 1, F.greatest(size - lead, F.lit(0)))
-    )
-    cells = F.arrays_zip(
-        F.col("item_tokens").alias("want"), segment("template_doc").alias("have"), F.col("item_raw").alias("item_value"), segment("raw_doc").alias("doc_value")
-    )
-    laid = laid.select("_id", "k1", "k2", "item_id", size.alias("n"), cells.alias("cells")).withColumn("cells", F.slice("cells", 1, F.col("n")))
-    same = F.transform("cells", lambda c: F.coalesce(c["want"] == c["have"], F.lit(False)))
-    slots = F.array_distinct(
-        F.transform(
-            F.filter("cells", lambda c: c["want"].isin(NUM, UNIT, NAME) & (c["want"] == c["have"])),
-            lambda c: F.struct(c["want"].alias("kind"), c["item_value"].alias("item"), c["doc_value"].alias("doc")),
-        )
-    )
-    judged = laid.select("_id", "k1", "k2", "item_id", "n", same.alias("same"), slots.alias("slots"))
-    judged = judged.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))))
-    matched = F.filter(F.sequence(F.lit(0), F.col("n") - window), lambda p: ~F.array_contains(F.slice("same", p + 1, window), False))
-    changed = F.exists("slots", lambda s: s["item"] != s["doc"])
-    found = judged.select("_id", "k1", "k2", "item_id", "n", F.size("slots").alias("n_slots"), changed.alias("changed"), F.explode(matched).alias("at"))
-    n_windows = (F.col("n") - window + 1).cast("bigint")
+    asked = keyed.join(small(hits.select(*key).distinct()), key, "left_semi").dropDuplicates(key)
+    rows = with_keys(windows(with_tokens(asked, "_text"), ["_id", *key], sizes).withColumnRenamed("at", "n"))
+    mine = items.select("item", "key", "m", "need", "item_id", "at", F.col("wt").alias("it"), F.col("wr").alias("ir"))
+    found = rows.join(small(hits), key).join(small(mine, most=BROADCAST_WINDOWS), ["item", "key"])
+    found = found.select("_id", *pair, "item_id", "m", "need", "at", (F.col("n") - F.col("at")).alias("shift"), (F.col("wr") == F.col("ir")).alias("alike"), "wt", "wr", "it", "ir")
+    found = stored(found.dropDuplicates([*pair, "at", "shift"]), "leak-windows")
+
+    cells = found.select(*pair, "shift", F.explode(F.arrays_zip("wt", "wr", "it", "ir")).alias("c")).where(F.col("c.wt").isin(NUM, UNIT, NAME) & (F.col("c.wt") == F.col("c.it")))
+    slots = cells.select(*pair, "shift", F.col("c.wt").alias("kind"), F.col("c.ir").alias("of_item"), F.col("c.wr").alias("of_doc")).distinct()
+    mixed = slots.groupBy(*pair, "shift", "kind", "of_item").agg(F.count("*").alias("n")).where("n > 1").select(*pair, "shift").distinct()
+    n_slots = slots.join(mixed, [*pair, "shift"], "left_anti").groupBy(*pair).agg(F.countDistinct("kind", "of_item", "of_doc").alias("n_slots"))
+    counted = found.join(mixed.withColumn("mixed", F.lit(True)), [*pair, "shift"], "left").where("alike or mixed is null")
+    n_windows = F.col("m").cast("bigint")
     return (
-        found.groupBy("_id", "k1", "k2", "item_id", "n")
-        .agg(
-            F.countDistinct("at").alias("n_matched"),
-            F.max("n_slots").cast("bigint").alias("n_slots"),
-            F.min("changed").alias("reparameterised"),
-        )
-        .where(F.col("n_matched") >= containment * n_windows)
+        counted.groupBy("_id", *pair, "item_id", "m", "need")
+        .agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(F.col("alike"), F.col("at"))).alias("n_alike"))
+        .where("n_matched >= need")
+        .join(n_slots, pair, "left")
         .select(
-            F.col("_id").alias(id_col), "item_id", n_windows.alias("n_windows"), "n_matched", (F.col("n_matched") / n_windows).alias("containment"), "n_slots", "reparameterised"
+            F.col("_id").alias(id_col),
+            "item_id",
+            n_windows.alias("n_windows"),
+            "n_matched",
+            (F.col("n_matched") / n_windows).alias("containment"),
+            F.coalesce("n_slots", F.lit(0).cast("bigint")).alias("n_slots"),
+            (F.col("n_alike") < F.col("need")).alias("reparameterised"),
         )
         .distinct()
     )

@@ -1,12 +1,15 @@
 """Line removal, language model, decontamination, packing and language identification."""
 
 import math
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from gleanery.llm import common, decontaminate, lang_id, language_model, line_dedup, packing
@@ -163,28 +166,115 @@ DOCS = [
 ]
 
 
+def template(text):
+    """(template, plain tokens) by plain patterns."""
+    num, unit, name = decontaminate.NUM, decontaminate.UNIT, decontaminate.NAME
+    s = re.sub(rf"[ \t\n\x0b\f\r{num}-{name}]+", " ", text or "")
+    s = regex.sub(r"(?<=[\p{Ll},;:0-9] )\p{Lu}\p{Ll}+", lambda m: name + m[0], s)
+    s = regex.sub(rf"(?<=[0-9]) ?((?i:{'|'.join(sorted(decontaminate.UNITS, key=len, reverse=True))}))(?![\p{{L}}0-9])", lambda m: f" {unit}{m[1]}", s).lower()
+    s = regex.sub(rf"[^\p{{L}}\p{{M}}0-9.,{unit}{name}]|[.,](?![0-9])|(?<![0-9])[.,]", " ", s)
+    marked = s.split()
+    return [w[0] if w[0] in unit + name else num if w[0] in "0123456789" else w for w in marked], [w.lstrip(unit + name) for w in marked]
+
+
+def brute_leaks(docs, items, window=5, containment=0.8):
+    holders = (decontaminate.NUM, decontaminate.UNIT, decontaminate.NAME)
+
+    def keyed(t, r, size):
+        for i in range(len(t) - size + 1):
+            cells = tuple(t[i : i + size])
+            yield i, {tuple(r[i : i + size])} | ({cells} if sum(c not in holders for c in cells) >= 2 else set())
+
+    out = set()
+    for item_id, text in set(items):
+        it, ir = template(text)
+        if not it:
+            continue
+        size = min(window, len(it))
+        mine = list(keyed(it, ir, size))
+        need = math.ceil(containment * len(mine) - 1e-9)
+        for doc_id, doc in set(docs):
+            dt, dr = template(doc)
+            met = [(at, n) for n, ks in keyed(dt, dr, size) for at, keys in mine if ks & keys]
+            mixed, slots = set(), defaultdict(set)
+            for at, n in met:
+                for a, b, x, y in zip(it[at : at + size], dt[n : n + size], ir[at : at + size], dr[n : n + size], strict=True):
+                    if a == b and a in holders:
+                        slots[n - at, a, x].add(y)
+            mixed = {k[0] for k, v in slots.items() if len(v) > 1}
+            alike = {at for at, n in met if ir[at : at + size] == dr[n : n + size]}
+            good = alike | {at for at, n in met if n - at not in mixed}
+            if len(good) >= need:
+                n_slots = len({(k[1], k[2], y) for k, v in slots.items() if k[0] not in mixed for y in v})
+                out.add((doc_id, item_id, len(mine), len(good), n_slots, len(alike) < need))
+    return out
+
+
+def leaks(spark, docs, items):
+    docs = spark.createDataFrame([(*r, "k") for r in docs], "doc_id bigint, text string, item_id string")
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.find_leaks(docs, items).collect()
+    out = {(r.doc_id, r.item_id, r.n_windows, r.n_matched, r.n_slots, r.reparameterised) for r in rows}
+    assert len(out) == len(rows) and all(r.containment == r.n_matched / r.n_windows for r in rows)
+    return out
+
+
 def test_decontamination_cases(spark):
-    docs = spark.createDataFrame([(*r, "k") for r in DOCS], "doc_id bigint, text string, item_id string")
-    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (4, 2), (9, 2)}
-    assert not got[1, 1].reparameterised and got[2, 1].reparameterised
-    assert got[2, 1].n_slots >= 3 and got[4, 2].containment == 1.0
-    assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
-    assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
-
-
-def test_decontamination_against_plain_windows(spark, sf_dir):
-    import re
-
-    token = lambda s: re.findall(r"[^\W\d_]+|\d+", (s or "").lower())
-    items = {r.item_id: token(r.text) for r in table(spark, sf_dir, "benchmark").collect()}
-    want = set()
-    for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect():
-        w = token(r.text)
-        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        want |= {(r.doc_id, i) for i, t in items.items() if sum(tuple(t[k : k + 5]) in have for k in range(len(t) - 4)) >= 0.8 * (len(t) - 4)}
-    assert {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, sf_dir).collect()} == want
+    items = [*ITEMS, (5, "What is the capital of France?"), (6, "Add 5 and 7"), (2, "another text of the second id that stands for itself in this table"), (7, "12 34"), (None, "an item without any id is found as well as all others are")]
+    long = ITEMS[0][1].split()
+    docs = [
+        *DOCS,
+        (20, "so: what is the capital of Peru then"),
+        (21, "What   is the\ncapital of   France"),
+        (22, "we add 9 and 8 here, and 12 34 there"),
+        (23, "the number 12 35 is no 34 12"),
+        (24, " ".join([*long[:3], "quickly", *long[3:]])),
+        (25, " ".join([*long[:5], "12", *long[6:]])),
+        (26, "IF A TRAIN LEAVES BOSTON AT 9 AND RUNS 60 KM EACH HOUR HOW FAR IS IT FROM BOSTON AFTER 9 HOURS"),
+        (27, "*" * 100_000 + "." * 100_000 + " an item without any id is found as well as all others are"),
+        (28, "another text of the second id that stands for itself in this table"),
+        (None, "what is the capital of France"),
+    ]
+    got = leaks(spark, docs, items)
+    assert got == brute_leaks(docs, items)
+    pairs = {(d, i) for d, i, *_ in got}
+    assert {(1, 1), (2, 1), (4, 2), (9, 2), (6, 3), (20, 5), (21, 5), (22, 6), (22, 7), (24, 1), (26, 1), (27, None), (28, 2), (None, 5)} == pairs
+    assert {(d, i) for d, i, *_, changed in got if changed} == {(2, 1), (20, 5), (22, 6)}
+    assert not leaks(spark, [], items) and not leaks(spark, docs, [])
+
+
+def test_decontamination_at_every_offset(spark):
+    """A nine-word item whose last word was changed shares four of five windows: found wherever it stands."""
+    item = "red stones fall down while nine grey birds wait"
+    docs = [(i, " ".join(["pad"] * i + item.split()[:8] + ["sing", "on"])) for i in range(12)]
+    assert {d for d, *_ in leaks(spark, docs, [(1, item)])} == set(range(12))
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["the", "train", "runs", "from", "to", "with", "each", "day", "how", "many", "are", "left"]
+
+    def text(n):
+        return " ".join(rng.choice([rng.choice(vocabulary)] * 6 + [rng.choice(["Oslo", "Rome", "Anna"]), str(rng.randrange(30)), f"{rng.randrange(9)} km", "x-ray,", "End. Then"]) for _ in range(n))
+
+    items = [(i, text(rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 40]))) for i in range(40)]
+    docs = []
+    for d in range(160):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = [rng.choice([*vocabulary, "Paris", "17"])]
+        w = [rng.choice(["Lima", x]) if x in ("Oslo", "Rome") else x.upper() if rng.random() < 0.05 else x for x in w]
+        docs.append((d, text(rng.randint(0, 30)) + rng.choice([" ", "\n", ". "]) + rng.choice([" ", "  ", "\n"]).join(w) + " " + text(rng.randint(0, 10))))
+    got = leaks(spark, docs, items)
+    assert got == brute_leaks(docs, items) and len(got) > 150 and any(g[-1] for g in got)
+
+
+def test_decontamination_query(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    got = {(r.doc_id, r.item_id, r.n_windows, r.n_matched, r.n_slots, r.reparameterised) for r in decontaminate.op5_decontaminate(spark, sf_dir).collect()}
+    assert got == brute_leaks(docs, items)
 
 
 def test_tokenizer_cache_gives_the_public_ids(tmp_path):
