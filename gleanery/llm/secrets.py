@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import row_key, whole_text
+from gleanery.llm.common import row_key, stored, whole_text
 from gleanery.session import table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,7 +131,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["k1", "k2"]
     hits = keyed.where(F.col("text").rlike(HINT)).select(*key, "text")
     hits = hits.groupBy(*key).agg(F.first("text").alias("text"))
-    spans = link_parts(find_parts(hits, key), key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", _rank().alias("rank"), "kind", "end"))).alias("spans"))
+    # Stored, as linking reads the parts three times.
+    spans = link_parts(stored(find_parts(hits, key), "secret-parts"), key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", _rank().alias("rank"), "kind", "end"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return keyed.drop("text").join(spans, key, "left").select(id_col, F.coalesce("spans", empty).alias("spans"))
 
