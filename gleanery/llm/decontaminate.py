@@ -59,13 +59,15 @@ def with_tokens(df: DataFrame, text_col: str) -> DataFrame:
     spaced = F.regexp_replace(text_col, rf"[\s{NUM}-{NAME}]+", " ")
     named = F.regexp_replace(spaced, _NAME, NAME + "$0").alias("_t")
     unit = F.when(F.col("_t").rlike(r"\d"), F.regexp_replace("_t", _UNIT, f" {UNIT}$1")).otherwise(F.col("_t")).alias("_t")
-    gap = rf"[^\p{{L}}\p{{M}}\d.,{UNIT}{NAME}]++|[.,](?!\d)|(?<!\d)[.,]"
-    marked = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_t"), gap, " "), "\x20{2,}", " ")).alias("_m")
+    other = rf"[^\p{{L}}\p{{M}}\d.,{UNIT}{NAME}]"
+    gap = rf"(?:{other}|[.,](?!\d)|(?<!\d)[.,]){other}*+"
+    parted = F.regexp_replace(F.lower("_t"), gap, " ").alias("_t")
+    marked = F.trim(F.when(F.contains(F.col("_t"), F.lit("  ")), F.regexp_replace("_t", "\x20{2,}", " ")).otherwise(F.col("_t"))).alias("_m")
     typed = F.when(F.col("_m").rlike(marks), F.regexp_replace("_m", rf"({marks})\S+", "$1")).otherwise(F.col("_m")).alias("_t")
     number = F.when(F.col("_t").rlike(r"\d"), F.regexp_replace("_t", r"(?<!\S)\d\S*", NUM)).otherwise(F.col("_t")).alias("_t")
-    plain = F.translate("_m", UNIT + NAME, "").alias("_r")
+    plain = F.when(F.col("_m").rlike(marks), F.regexp_replace("_m", marks, "")).otherwise(F.col("_m")).alias("_r")
     cut = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
-    steps = df.select(*keep, named).select(*keep, unit).select(*keep, marked).select(*keep, "_m", typed).select(*keep, plain, number)
+    steps = df.select(*keep, named).select(*keep, unit).select(*keep, parted).select(*keep, marked).select(*keep, "_m", typed).select(*keep, plain, number)
     return steps.select(*keep, cut("_t").alias("t"), cut("_r").alias("r"), (F.col("_t") != F.col("_r")).alias("differ"))
 
 
