@@ -1,11 +1,15 @@
 """Approximate nearest neighbours over sharded, robust-pruned directed graphs.
 
-Vectors are dealt into shards of about ``SHARD_ROWS``. Each shard builds a graph: points go in by
+Vectors are dealt into shards of about ``SHARD_ROWS``, a bound on what one task holds. Each shard builds a graph: points go in by
 batches, a greedy beam search proposes neighbours, relaxed distance pruning
-(``alpha``) keeps a diverse few of them, and back edges are pruned alike. Every query is then searched by
-beam in every shard, the shards' best are merged, and scores are the cosines of the original vectors
-in double precision. A dense cluster would fill all edges of its points and cut itself off, so each
-point also has a few random links that are never pruned, and searches start from several points.
+(``alpha``) keeps a diverse few of them, and back edges are pruned alike. A dense cluster would fill all edges of its points and
+cut itself off, so each point also has a few random links that are never pruned, and searches start from several points.
+
+Graphs are built once and written to the shared folder, and so are the queries, in blocks of about ``BLOCK_ROWS``. A search
+task takes one block and up to ``SHARDS_A_TASK`` shards, maps their files, searches by beam and returns the best of
+those shards; so vectors are shuffled once, whatever the number of shards, and no task holds more than a block and a shard. The
+tasks' bests are merged by a window. Scores are the cosines of the original vectors in double precision; each vector is first
+scaled by a power of two, which changes no digit and keeps huge and tiny components from overflowing.
 
 Rows with one and the same vector form a class: one representative enters the graph, so a vector
 that a third of the rows share costs one point, and the class is opened at the end. An answer of k needs
@@ -20,16 +24,19 @@ to the smaller id. Further columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stored
+from gleanery.llm.common import open_mapped, put_file, shared_path, small, stored
 from gleanery.session import table
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 12
+SHARDS_A_TASK = 8
 DEGREE = 24
 LONG_LINKS = 4
 ENTRIES = 48
@@ -123,31 +130,73 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return graph, starts
 
 
-def _search_shard(k: int, beam: int):
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q1": [], "q2": [], "h1": [], "h2": [], "score": []}).astype({"q1": "int64", "q2": "int64", "h1": "int64", "h2": "int64"})
-        if points.empty or queries.empty:
-            return empty
-        points = points.sort_values("vec_id", kind="stable")
-        p = np.stack(points["v"].to_numpy()).astype(np.float64)
-        q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-        p_norm, q_norm = np.sqrt((p * p).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-        x = (p / p_norm[:, None]).astype(np.float32)
-        graph, starts = build_graph(x)
-        out = []
-        for lo in range(0, len(q), BATCH):
-            block = q[lo : lo + BATCH]
-            found, _ = beam_search(x, graph, starts, (block / q_norm[lo : lo + BATCH, None]).astype(np.float32), beam)
-            score = np.einsum("qd,qnd->qn", block, p[found]) / (q_norm[lo : lo + BATCH, None] * p_norm[found])
-            score = np.where(found >= 0, score, -np.inf)
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(lo, lo + len(block)), best.shape[1])
-            at, s = np.take_along_axis(found, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
-            ok = at >= 0
-            out.append((rows[ok], at[ok], s[ok]))
-        rows, at, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        h1, h2 = points["h1"].to_numpy(), points["h2"].to_numpy()
-        return pd.DataFrame({"q1": queries["h1"].to_numpy()[rows], "q2": queries["h2"].to_numpy()[rows], "h1": h1[at], "h2": h2[at], "score": s})
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 0.5 to 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+def _packed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (two longs each) and scaled vectors of rows, in order of keys."""
+    rows = rows.sort_values(["h1", "h2"], kind="stable")
+    return rows[["h1", "h2"]].to_numpy(np.int64), scaled(np.stack(rows["v"].to_numpy()).astype(np.float64))
+
+
+def _writer(path: str, kind: str, with_graph: bool):
+    """Writes a group's keys and vectors, and its graph, and names it by (dim, part, rows, starts)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        part, dim = key
+        keys, v = _packed(rows)
+        name, n_starts = f"{path}/{kind}-{dim}-{part}", 0
+        put_file(f"{name}.keys", keys.tobytes())
+        put_file(f"{name}.vectors", v.tobytes())
+        if with_graph:
+            graph, starts = build_graph((v / np.sqrt((v * v).sum(axis=1))[:, None]).astype(np.float32))
+            put_file(f"{name}.graph", graph.astype(np.int32).tobytes())
+            put_file(f"{name}.starts", starts.astype(np.int64).tobytes())
+            n_starts = len(starts)
+        return pd.DataFrame({"dim": [dim], "part": [part], "size": [len(v)], "n_starts": [n_starts]})
+
+    return run
+
+
+PARTS = "dim int, part bigint, size bigint, n_starts bigint"
+
+
+def _search(path: str, k: int, beam: int):
+    def load(kind: str, dim: int, part: int, suffix: str, dtype) -> np.ndarray:
+        return np.frombuffer(open_mapped(f"{path}/{kind}-{dim}-{part}.{suffix}"), dtype)
+
+    def best_of(dim: int, block: int, shards: list[int]) -> pd.DataFrame:
+        asked = load("block", dim, block, "keys", np.int64).reshape(-1, 2)
+        q = load("block", dim, block, "vectors", np.float64).reshape(-1, dim)
+        q_norm = np.sqrt((q * q).sum(axis=1))
+        keys, scores = np.zeros((len(q), 0, 2), np.int64), np.zeros((len(q), 0))
+        for shard in shards:
+            own = load("shard", dim, shard, "keys", np.int64).reshape(-1, 2)
+            p = load("shard", dim, shard, "vectors", np.float64).reshape(-1, dim)
+            p_norm = np.sqrt((p * p).sum(axis=1))
+            x = (p / p_norm[:, None]).astype(np.float32)
+            graph = load("shard", dim, shard, "graph", np.int32).reshape(len(p) + 1, -1)
+            starts = load("shard", dim, shard, "starts", np.int64)
+            out_keys, out_scores = [], []
+            for lo in range(0, len(q), BATCH):
+                few = slice(lo, lo + BATCH)
+                found, _ = beam_search(x, graph, starts, (q[few] / q_norm[few, None]).astype(np.float32), beam)
+                score = np.einsum("qd,qnd->qn", q[few], p[found]) / (q_norm[few, None] * p_norm[found])
+                out_scores.append(np.where(found >= 0, score, -np.inf))
+                out_keys.append(own[found])
+            keys = np.concatenate([keys, np.concatenate(out_keys)], axis=1)
+            scores = np.concatenate([scores, np.concatenate(out_scores)], axis=1)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            keys, scores = np.take_along_axis(keys, best[:, :, None], 1), np.take_along_axis(scores, best, 1)
+        row, col = np.nonzero(np.isfinite(scores))
+        return pd.DataFrame({"q1": asked[row, 0], "q2": asked[row, 1], "h1": keys[row, col, 0], "h2": keys[row, col, 1], "score": scores[row, col]})
+
+    def run(tasks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in tasks:
+            for t in frame.itertuples():
+                yield best_of(t.dim, t.block, sorted(t.shards))
 
     return run
 
@@ -168,16 +217,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     )
     first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     members = stored(clean.groupBy("vec_id", "h1", "h2").agg(F.first("v").alias("v")).withColumn("nth", first).where(F.col("nth") <= k + 1), "ann-members")
-    asked = clean.where(is_query).select("vec_id", "h1", "h2", "v").dropDuplicates(["vec_id", "h1", "h2"])
-    points = members.where("nth = 1")
-    shards = max(1, math.ceil(points.count() / shard_rows))
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)))
-    wanted = asked.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
-    found = (
-        dealt.groupBy("shard", F.size("v").alias("dim"))
-        .cogroup(wanted.groupBy("shard", F.size("v").alias("dim")))
-        .applyInPandas(_search_shard(k + 1, beam), "q1 bigint, q2 bigint, h1 bigint, h2 bigint, score double")
+    asked = stored(clean.where(is_query).select("vec_id", "h1", "h2", "v").dropDuplicates(["vec_id", "h1", "h2"]), "ann-asked")
+    path = shared_path(vectors.sparkSession, "ann")
+    deal = lambda of, size: F.pmod(F.xxhash64("h1", "h2", F.lit(3)), F.lit(max(1, math.ceil(of.count() / size)))).alias("part")
+    points, wanted = members.where("nth = 1"), asked.dropDuplicates(["h1", "h2"])
+    write = lambda of, size, kind, graph: stored(
+        of.select("h1", "h2", "v", deal(of, size)).groupBy("part", F.size("v").alias("dim")).applyInPandas(_writer(path, kind, graph), PARTS), f"ann-{kind}"
     )
+    shards, blocks = write(points, shard_rows, "shard", True), write(wanted, BLOCK_ROWS, "block", False)
+    # One row a task: a list of files, not of vectors; both lists have a row for thousands of vectors.
+    runs = shards.groupBy("dim", F.floor(F.col("part") / SHARDS_A_TASK).alias("run")).agg(F.collect_list("part").alias("shards"))
+    tasks = runs.join(small(blocks.select("dim", F.col("part").alias("block"))), "dim")
+    found = tasks.repartition("run", "block").select("dim", "block", "shards").mapInPandas(_search(path, k + 1, beam), "q1 bigint, q2 bigint, h1 bigint, h2 bigint, score double")
     nth = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "h1", "h2"))
     # One class more than k, and one again for ties between classes at the last place.
     classes = found.withColumn("nth", nth).where(F.col("nth") <= k + 2).drop("nth")

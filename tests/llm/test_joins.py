@@ -58,6 +58,20 @@ def test_neighbours_cases(spark):
     assert ann.nearest(docs.limit(0), ann.F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1.0, 1.0]), (3, [1e-300, 1e-300]), (4, [-1e300, -1e300])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), ann.F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert {got[0].vec_id, got[1].vec_id} == {2, 3} and [r.vec_id for r in got[2:]] == [1, 4]
+    assert np.allclose([r.score for r in got], [1, 1, 0.5**0.5, -1])
+
+
+def test_neighbours_over_many_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    rows = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
+    docs = table(spark, "/root/testdata/sf0.1", "embeddings")
+    assert recall(answers(ann.nearest(docs, ann.F.col("vec_id") % 50 == 0, shard_rows=500)), brute_neighbours(rows)) >= 0.9
+
+
 def test_neighbour_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf_dir, "embeddings").collect()]
     assert recall(answers(ann.op9_ann_search(spark, sf_dir)), brute_neighbours(rows)) >= 0.9
