@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import open_mapped, put_file, shared_path, small, stored
 from gleanery.session import table
 
-SHARD_ROWS = 1 << 15
+SHARD_ROWS = 1 << 14
 BLOCK_ROWS = 1 << 12
 SHARDS_A_TASK = 8
 DEGREE = 24
