@@ -6,6 +6,8 @@ have no built-in; that one is an Arrow pandas UDF over the standard library.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,16 +18,22 @@ LOOPBACK = ("127.0.0.1", "localhost", "0.0.0.0", "::1")
 OFFICE_SUFFIXES = (".doc", ".docx", ".rtf", ".odt", ".odp", ".ods", ".xls", ".xlsx", ".ppt", ".pptx")
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
-#: White space as Python's strip() sees it, for both ends of a text.
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: White space as Python's strip() sees it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, _PARTS, n)
+def parts(url: Column) -> Column:
+    """[scheme, authority, path, query] by one match; what is absent is empty."""
+    return F.split(F.regexp_replace(strip(url), _PARTS, "$1\x00$2\x00$3\x00$4"), "\x00", 4)
 
 
 def requote(path: Column) -> Column:
@@ -45,29 +53,35 @@ def _rebuilt(scheme: Column, netloc: Column, path: Column, query: Column) -> Col
     return F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def _host(authority: Column) -> Column:
+    netloc = F.regexp_replace(F.lower(authority), "^[^@]*@", "")
+    return F.when(netloc.startswith("["), F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(netloc, ":[0-9]*$", ""))
+
+
 def host(url: Column) -> Column:
     """The host without user info or port, lower-case; empty where there is none."""
-    netloc = F.regexp_replace(F.lower(_part(strip(url), 2)), "^[^@]*@", "")
-    return F.coalesce(F.nullif(F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1), F.lit("")), F.regexp_replace(netloc, ":[0-9]*$", ""))
+    return let(parts(url), lambda p: _host(p[1]))
 
 
 def is_loopback(url: Column) -> Column:
     return host(url).isin(*LOOPBACK)
 
 
+def _canonical(p: Column, keep_loopback: bool) -> Column:
+    scheme = F.lower(p[0])
+    web = scheme.isin("http", "https")
+    if keep_loopback:
+        web = web & ~_host(p[1]).isin(*LOOPBACK)
+    return _rebuilt(F.when(web, F.lit("https")).otherwise(scheme), F.lower(p[1]), requote(p[2]), p[3])
+
+
 def canonical_url(url: Column, keep_loopback: bool = True) -> Column:
     """One key for the spellings of a URL; null and empty pass through.
 
     Strips, lower-cases scheme and host, upgrades http (not on loopback hosts, unless told to), puts
     the path in one percent-coding, keeps the query, drops the fragment.
     """
-    u = strip(url)
-    scheme = F.lower(_part(u, 1))
-    web = scheme.isin("http", "https")
-    if keep_loopback:
-        web = web & ~is_loopback(url)
-    out = _rebuilt(F.when(web, F.lit("https")).otherwise(scheme), F.lower(_part(u, 2)), requote(_part(u, 3)), _part(u, 4))
-    return F.when(url.isNull() | (url == ""), url).otherwise(out)
+    return F.when(url.isNull() | (url == ""), url).otherwise(let(parts(url), lambda p: _canonical(p, keep_loopback)))
 
 
 def sorted_query(query: Column) -> Column:
@@ -77,12 +91,14 @@ def sorted_query(query: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(cut), lambda kv: F.array_join(kv, "=")), "&")
 
 
+def _normalized(p: Column) -> Column:
+    scheme = F.lower(p[0])
+    return _rebuilt(F.when(scheme == "http", F.lit("https")).otherwise(scheme), F.lower(p[1]), requote(p[2]), sorted_query(p[3]))
+
+
 def normalized_url(url: Column) -> Column:
     """The form for comparison: canonical with https everywhere and the query sorted; null and empty give empty."""
-    u = strip(url)
-    scheme = F.lower(_part(u, 1))
-    out = _rebuilt(F.when(scheme == "http", F.lit("https")).otherwise(scheme), F.lower(_part(u, 2)), requote(_part(u, 3)), sorted_query(_part(u, 4)))
-    return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(out)
+    return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(let(parts(url), _normalized))
 
 
 def _short_hash(text: Column) -> Column:
@@ -105,14 +121,17 @@ def html_filename(url: Column) -> Column:
     return F.concat(F.lit("html_"), _short_hash(canonical_url(url)), F.lit(".html"))
 
 
-def file_ext(url: Column) -> Column:
-    """The office suffix of the path in lower case, else empty (so also for .pdf)."""
-    path = _part(strip(url), 3)
+def _ext(path: Column) -> Column:
     decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     suffix = F.lower(F.regexp_extract(decoded, r"[^/](\.[^./]+)/*$", 1))
     return F.when(suffix.isin(*OFFICE_SUFFIXES), suffix).otherwise("")
 
 
+def file_ext(url: Column) -> Column:
+    """The office suffix of the path in lower case, else empty (so also for .pdf)."""
+    return let(parts(url), lambda p: _ext(p[2]))
+
+
 def file_filename(url: Column, keep_loopback: bool = True) -> Column:
     ext = file_ext(url)
     return F.concat(doc_id(url, keep_loopback), F.when(ext == "", F.lit(".bin")).otherwise(ext))
@@ -125,7 +144,11 @@ def expected_pdf_filename(url: Column) -> Column:
 
 def expected_filename(url: Column) -> Column:
     """The name on disk that a download of url should have; its two historic spellings are one."""
-    return F.when(file_ext(url) != "", file_filename(url, keep_loopback=False)).otherwise(expected_pdf_filename(url))
+    blank = url.isNull() | (url == "")
+    named = lambda p: F.when(
+        _ext(p[2]) != "", F.concat(F.lit("doc_"), _short_hash(_canonical(p, False)), _ext(p[2]))
+    ).otherwise(F.concat(F.lit("pdf_"), _short_hash(_normalized(p)), F.lit(".pdf")))
+    return F.when(blank, F.concat(F.lit("pdf_"), _short_hash(F.lit("")), F.lit(".pdf"))).otherwise(let(parts(url), named))
 
 
 def origin(url: Column) -> Column:
@@ -134,10 +157,10 @@ def origin(url: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def absolutise(base: pd.Series, href: pd.Series) -> pd.Series:
-    """href resolved against base, its characters quoted first."""
-    from urllib.parse import quote, urljoin
+    """href resolved against base, spelt as it is."""
+    from urllib.parse import urljoin
 
-    return pd.Series([None if h is None else urljoin(b or "", quote(h, safe="/%?=&:#")) for b, h in zip(base, href, strict=True)], dtype=object)
+    return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
 def suffix_match(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.functions.urls import strip
+from gleanery.functions.urls import let, strip
 
 ANY_MAP = "map<string,string>"
 DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy")
@@ -13,6 +13,10 @@ DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy")
 
 def coerce_date(text: Column) -> Column:
     """ISO date of the first format that fits; other text passes through; null and empty give null."""
+    return let(text, _iso_date)
+
+
+def _iso_date(text: Column) -> Column:
     s = strip(text)
     shapes = (r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{4}/\d{1,2}/\d{1,2}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\d{1,2}/\d{1,2}/\d{4}$")
     tries = [F.when(s.rlike(shape), F.try_to_date(s, fmt)) for shape, fmt in zip(shapes, DATE_FORMATS, strict=True)]

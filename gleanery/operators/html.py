@@ -1,7 +1,8 @@
 """Extraction from stored HTML: records, links, cleaned bodies, page structure, challenge pages.
 
-Selectors need a tree, which no built-in function gives: those operators parse each page once in an
-Arrow batch with the standard library's parser. What needs no tree is built from Column functions.
+Selectors and links need a tree, which no built-in function gives: those operators parse each page once in an
+Arrow batch with the standard library's parser, and walk it without recursion, so pages may nest as deep as they like.
+What needs no tree is built from Column functions.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.urls import absolutise, pattern_keys
+from gleanery.functions.urls import pattern_keys
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags without structure or text of their own.
@@ -28,24 +30,45 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
+    def _content(self) -> Iterator[Node | str]:
+        """Elements and texts below this one, in document order."""
+        todo = self.children[::-1]
+        while todo:
+            item = todo.pop()
+            yield item
+            if isinstance(item, Node):
+                todo += item.children[::-1]
+
     def walk(self) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+        return (c for c in self._content() if isinstance(c, Node))
+
+    def strings(self) -> Iterator[str]:
+        return (c for c in self._content() if isinstance(c, str))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(self.strings())
 
     def clean_text(self) -> str:
         return " ".join(self.text().split())
 
+    def _opening(self) -> str:
+        return f"<{self.tag}" + "".join(f' {k}="{v}"' for k, v in self.attrs.items()) + ">"
+
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else self.inner() + f"</{self.tag}>")
+        return self._opening() + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
 
     def inner(self) -> str:
-        return "".join(c if isinstance(c, str) else c.outer() for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                out.append(item)
+                continue
+            out.append(item._opening())
+            if item.tag not in VOID:
+                todo.append(f"</{item.tag}>")
+                todo += item.children[::-1]
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -199,23 +222,36 @@ def extract_rows(pages: DataFrame, row_selector: str, cells: list[dict], include
     return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, cells map<string,string>")
 
 
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a>"
-
-
 def anchors(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, pos, href, text) of links with a double-quoted href, absolute, the first of each kept.
+    """(id, pos, href, text) of the links of a page, absolute, the first of each kept; pos counts all anchors with an href.
 
-    Empty, fragment, ``javascript:`` and ``mailto:`` ones are skipped. Anchors are regular enough for
-    a pattern, so pages stay in the JVM and only hrefs go through the join of URLs.
+    Empty, fragment, ``javascript:`` and ``mailto:`` ones are skipped. A link that is no URL is left out. The texts
+    within an anchor are stripped and joined. A null page has no links.
     """
-    html = F.col(html_col)
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("text"))
-    rows = pages.select(id_col, url_col, F.posexplode(found).alias("pos", "a")).select(id_col, url_col, "pos", F.trim("a.href").alias("raw"), "a.text")
-    rows = rows.where("raw <> '' and not startswith(raw, '#') and not startswith(raw, 'javascript:') and not startswith(raw, 'mailto:')")
-    rows = rows.withColumn("href", absolutise(F.col(url_col), F.col("raw")))
-    first = rows.groupBy(id_col, "href").agg(F.min(F.struct("pos", "text")).alias("f"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("f.text", "<[^>]*>", ""), r"(?U)\s+", " "))
-    return first.select(id_col, F.col("f.pos").alias("pos"), F.left("href", F.lit(200)).alias("href"), F.left(text, F.lit(80)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, pos, hrefs, texts = [], [], [], []
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen = set()
+                for i, node in enumerate(n for n in parse(html).walk() if n.tag == "a" and "href" in n.attrs):
+                    raw = node.attrs["href"].strip()
+                    if not raw or raw.startswith(("#", "javascript:", "mailto:")):
+                        continue
+                    try:
+                        href = urljoin(url or "", raw)
+                    except ValueError:
+                        continue
+                    if href not in seen:
+                        seen.add(href)
+                        ids.append(page)
+                        pos.append(i)
+                        hrefs.append(href[:200])
+                        texts.append("".join(t.strip() for t in node.strings())[:80])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(pos, pa.int32()), pa.array(hrefs, pa.string()), pa.array(texts, pa.string())], names=[id_col, "pos", "href", "text"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, href string, text string")
 
 
 def limited_anchors(pages: DataFrame, limit: int, **columns) -> DataFrame:
@@ -233,18 +269,14 @@ def link_patterns(links: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def _clean(root: Node) -> str:
-    def prune(node: Node) -> None:
+    for node in [*list(root.walk())[::-1], root]:  # what lies within a node comes before it
         kept = []
         for c in node.children:
             if isinstance(c, str):
                 kept.append(" ".join(c.split()))
-            elif c.tag not in NON_STRUCTURAL:
-                prune(c)
-                if c.attrs or any(isinstance(x, Node) for x in c.children) or c.text().strip():
-                    kept.append(c)
+            elif c.tag not in NON_STRUCTURAL and (c.attrs or any(isinstance(x, Node) for x in c.children) or c.text().strip()):
+                kept.append(c)
         node.children = kept
-
-    prune(root)
     body = next((n for n in root.walk() if n.tag == "body"), root)
     return body.inner()
 
@@ -331,11 +363,19 @@ def consolidate_snapshots(cards: DataFrame, page: str = "page", snapshot: str =
 
 
 def selector_probe(html: Column, selector: str) -> Column:
-    """Cheap test whether a page may match: its rightmost simple selector as a substring."""
-    last = re.split(r"[\s>]+", selector.strip())[-1]
-    value = re.search(r"=\s*['\"]([^'\"]+)['\"]", last)
-    marker = value[1] if value else re.split(r"[\[(:]", last.lstrip("#."))[0].split(".")[-1].split("#")[-1]
-    return F.contains(html, F.lit(marker))
+    """Cheap test whether a page may match: for some option of the selector all names and values of its last step occur.
+
+    A page that passes need not match; one that does not pass has no such element spelt that way.
+    """
+    fits = F.lit(False)
+    for chain in Selector(selector).options:
+        tag, ids, classes, attrs = chain[-1][1]
+        marks = [*ids, *classes, *(v if v else name for name, _, v in attrs)] or ([f"<{tag}"] if tag and tag != "*" else [])
+        holds = F.lit(True)
+        for mark in marks:
+            holds = holds & F.contains(html, F.lit(mark))
+        fits = fits | holds
+    return fits
 
 
 def context_window(html: Column, needle: Column, around: int) -> Column:

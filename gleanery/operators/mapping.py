@@ -116,15 +116,21 @@ def project(records: DataFrame, mapping: Mapping, payload: Column, lookups: dict
     """records with ``metadata``, a map of property to JSON text without nulls.
 
     The primary projection leaves registry-only properties out; the registry one takes shared and registry-only ones.
+    The payload is decoded in a projection of its own, so once a record however many properties there are.
     """
+    decoded = "payload"
+    while decoded in records.columns:
+        decoded = "_" + decoded
+    staged = records.select("*", payload.alias(decoded))
     wanted = [
         p
         for p in mapping.properties
         if p.type not in OUTSIDE_METADATA and ((p.registry_only or p.name in mapping.shared) if registry else not p.registry_only)
     ]
-    cells = [F.struct(F.lit(p.name).alias("key"), coerced(p, payload, lookups or {}, **shapes).alias("value")) for p in wanted]
+    cells = [F.struct(F.lit(p.name).alias("key"), coerced(p, F.col(decoded), lookups or {}, **shapes).alias("value")) for p in wanted]
     entries = F.array(*cells) if cells else F.array().cast("array<struct<key:string,value:string>>")
-    return records.withColumn("metadata", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+    filled = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return staged.withColumn("metadata", filled).drop(decoded)
 
 
 def title(mapping: Mapping, payload: Column, source_url: Column) -> Column:

@@ -57,8 +57,8 @@ _ORD = """ord AS (SELECT 'https://h.example/r/' || o_orderkey AS source_url, CAS
   CASE WHEN status IS NOT NULL THEN '[{{"value":"' || status || '"}}]' END AS status, CASE WHEN page <> '' THEN '{{"label":"' || page || '","url":"' || page || '"}}' END AS page, 'imported' AS note FROM ord"""
 )
 def mapping_project(spark, sf_dir):
-    payload = decode_object(F.col("data"))
-    rows = M.project(_orders(spark, sf_dir), MAPPING, payload, {"status": _status_lookup()})
+    payload = F.col("payload")
+    rows = M.project(_orders(spark, sf_dir).withColumn("payload", decode_object(F.col("data"))), MAPPING, payload, {"status": _status_lookup()})
     return rows.select("source_url", M.title(MAPPING, payload, F.col("source_url")).alias("title"), *(F.col("metadata")[k].alias(k) for k in ("day", "status", "page", "note")))
 
 
@@ -134,8 +134,8 @@ def classify_rows(spark, sf_dir):
     f"""WITH {_ORD} SELECT source_url, concat_ws(',', CASE WHEN title = '' THEN 'empty_title' END, CASE WHEN page = '' THEN 'missing_required:page' END, CASE WHEN status IS NULL THEN 'missing_required:status' END, CASE WHEN file = '' THEN 'missing_pdf' END) AS issues FROM ord"""
 )
 def row_issues(spark, sf_dir):
-    payload = decode_object(F.col("data"))
-    rows = M.project(_orders(spark, sf_dir), MAPPING, payload, {"status": _status_lookup()})
+    payload = F.col("payload")
+    rows = M.project(_orders(spark, sf_dir).withColumn("payload", decode_object(F.col("data"))), MAPPING, payload, {"status": _status_lookup()})
     rows = rows.withColumns({"title": payload["title"], "key": F.col("source_url"), "file_name": payload["file"]})
     return P.row_issues(rows, ["page", "status"]).select("source_url", F.array_join("issues", ",").alias("issues"))
 

@@ -150,7 +150,7 @@ def test_html_extraction(spark):
     assert [(r.cells["t"], r.cells["d"]) for r in rows] == [("One x", "2024-01-02"), ("Again", "")]
     assert rows[1].cells["core_source_html"].startswith('<div class="item"><h3>')
     links = html.anchors(pages).orderBy("pos").collect()
-    assert [(r.href, r.text) for r in links] == [("https://h/doc/1?s=1", "One x"), ("https://h/x/b.pdf", "B"), ("https://h/x/c.pdf", "C")]
+    assert [(r.href, r.text) for r in links] == [("https://h/doc/1?s=1", "Onex"), ("https://h/x/b.pdf", "B"), ("https://h/x/c.pdf", "C")]
     assert {(r.key, r.n) for r in html.link_patterns(html.anchors(pages)).collect()} == {("ext:.pdf", 2), ("path:h/x/", 2)}
     assert [r.n for r in html.limited_anchors(pages, 2).groupBy("page_id").agg(F.count("*").alias("n")).collect()] == [2]
     cleaned = {r.page_id: r.cleaned for r in html.clean_html(pages).collect()}
@@ -163,6 +163,31 @@ def test_html_extraction(spark):
         html.Selector("a:hover")
 
 
+def test_links_as_real_pages_spell_them(spark):
+    page = """<!-- <a href="/comment">c</a> --><script>var x = '<a href="/script">s</a>';</script>
+      <a href="x?a=1&amp;b=2">A &amp; <b> B </b></a><a href='y.html'>Y</a><a href=z.html>Z</a><A HREF="y.html">again</A>
+      <a>none</a><a href="#t">t</a><a href=" mailto:a@b.c">m</a><a href="http://[bad">w</a><a href="ü v">U</a>"""
+    pages = spark.createDataFrame([(1, "https://h.example/d/", page, "k"), (2, None, None, "k"), (3, "https://h.example", "<div>" * 3000 + "<a href=deep>d</a>", "k")], "page_id bigint, url string, html string, pos string")
+    got = {(r.page_id, r.pos, r.href, r.text) for r in html.anchors(pages).collect()}
+    at = "https://h.example/d/"
+    assert got == {(1, 0, at + "x?a=1&b=2", "A &B"), (1, 1, at + "y.html", "Y"), (1, 2, at + "z.html", "Z"), (1, 7, at + "ü v", "U"), (3, 0, "https://h.example/deep", "d")}
+
+
+def test_deep_pages(spark):
+    deep = "<body>" + "<div class='c'>" * 3000 + "x<p></p>" + "</div>" * 3000
+    pages = spark.createDataFrame([(1, deep)], "page_id bigint, html string")
+    cleaned = html.clean_html(pages).first().cleaned
+    assert cleaned.count('<div class="c">') == 3000 == cleaned.count("</div>") and "<p>" not in cleaned
+    assert html.extract_rows(pages, "body > div", [{"field": "x", "selector": "p"}], include_html=True).first().cells["core_source_html"].startswith("<div")
+    assert html.page_structure(pages).count() == 1
+
+
+def test_selector_probe(spark):
+    pages = spark.createDataFrame([("<div id='m'><p class='ad x' data-k='v'>t</p></div>",)], "h string")
+    cases = {"div p.ad": True, "p.ad.y": False, "#m": True, "#n, p": True, "a[href]": False, "p[data-k='v']": True, "p[data-k='w']": False, "*": True}
+    assert [pages.select(html.selector_probe(F.col("h"), c).alias("x")).first().x for c in cases] == list(cases.values())
+
+
 def test_truncation_at_tags(spark):
     df = spark.createDataFrame([("<a>bc</a><b>", ), ("ab<cdefghijkl",), ("abcdefghijklmnop",), ("<a>",)], "h string")
     assert [r.x for r in df.select(html.truncate_at_tag(F.col("h"), 10).alias("x")).collect()] == ["<a>bc</a>", "ab", "abcdefghij", "<a>"]
