@@ -60,9 +60,23 @@ def comma_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda t: t != "")
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What full case folding makes of lower-case characters that it changes: to one character, and to several."""
+    lower = {c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if c.lower() == c and c.casefold() != c}
+    return {c: f for c in sorted(lower) if len(f := c.casefold()) == 1}, {c: f for c in sorted(lower) if len(f := c.casefold()) > 1}
+
+
 def fold(text: Column) -> Column:
-    """Key for comparison without regard to case: lower case with sharp s spelt out, stripped."""
-    return F.replace(F.lower(strip(text)), F.lit("ß"), F.lit("ss"))
+    """Key for comparison without regard to case: full case folding, stripped.
+
+    Lower case first; only texts with a character that folding spells otherwise go through the replacements.
+    """
+    one, more = _folds()
+    lower = F.lower(strip(text))
+    single = F.translate(lower, "".join(one), "".join(one.values()))
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in more.items()))
+    whole = F.aggregate(pairs, single, lambda s, p: F.replace(s, p["a"], p["b"]))
+    return F.when(lower.rlike("[" + "".join(one) + "".join(more) + "]"), whole).otherwise(lower)
 
 
 def safe_filename(text: Column) -> Column:

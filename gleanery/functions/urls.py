@@ -196,3 +196,17 @@ def pattern_keys(href: Column) -> Column:
     folder = F.when(F.size(parts) >= 2, F.concat(F.lit("path:"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"), F.lit("/")))
     ext = F.regexp_extract(path, r"(\.[^./]*)$", 1)
     return F.array_compact(F.array(folder, F.when(ext != "", F.concat(F.lit("ext:"), ext))))
+
+
+#: Suffixes of what is no page to open.
+NO_PAGE_SUFFIXES = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".7z", ".gz", ".tar", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".mp3", ".mp4", ".avi", ".mov", ".csv", ".json", ".xml")
+
+
+def is_page(url: Column) -> Column:
+    """Whether a URL may be opened as a page, by the suffix of its path."""
+    return ~F.regexp_extract(F.lower(parts(url)[2]), r"(\.[a-z0-9]+)$", 1).isin(*NO_PAGE_SUFFIXES)
+
+
+def names_url(key: Column) -> Column:
+    """Whether a payload key holds a URL, by its name."""
+    return key.endswith("_url") | key.endswith("_page") | key.isin("url", "href", "link")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.values import decode_object, list_items, looks_like_date, looks_like_number, python_text
@@ -20,6 +24,42 @@ def exploded_values(records: DataFrame) -> DataFrame:
     return cells.select("_seq", "field", "pos", strip(python_text(F.col("item"))).alias("value")).where("value <> ''")
 
 
+def exploded_deep(records: DataFrame) -> DataFrame:
+    """(_seq, field, pos, value): every element of lists within lists, as Python prints it, stripped, blanks dropped.
+
+    Payloads that are no objects have no fields. JSON of any depth needs a walk, done once a payload in Arrow batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(seq, field, i, text) for seq, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for field, i, text in _walked(data)]
+            cols = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string()), strict=True)], names=["_seq", "field", "pos", "value"])
+
+    return records.select("_seq", "data").mapInArrow(run, f"_seq {records.schema['_seq'].dataType.simpleString()}, field string, pos int, value string")
+
+
+def _walked(data: str | None) -> Iterator[tuple[str, int, str]]:
+    try:
+        payload = json.loads(data or "")
+    except (ValueError, RecursionError):
+        return
+    for field, value in payload.items() if isinstance(payload, dict) else ():
+        todo, i = [value], 0
+        while todo:
+            item = todo.pop()
+            if isinstance(item, list):
+                todo += item[::-1]
+            elif item is not None and (text := str(item).strip()):
+                yield field, i, text
+                i += 1
+
+
+def flattened(envelope: Column, payload: Column) -> Column:
+    """One map of a row's own columns and its payload; the payload wins."""
+    return F.map_concat(F.map_filter(envelope, lambda k, _: ~F.map_contains_key(payload, k)), payload)
+
+
 def field_coverage(records: DataFrame) -> DataFrame:
     """(field, n): rows that carry each field."""
     return exploded_fields(records).groupBy("field").agg(F.countDistinct("_seq").alias("n"))
@@ -38,12 +78,16 @@ def first_samples(records: DataFrame, n: int = 5) -> DataFrame:
     return first.withColumn("rank", rank).where(F.col("rank") <= n).select("field", "rank", "value")
 
 
-def value_types(samples: DataFrame) -> DataFrame:
-    """(field, value_type) by vote of its samples: all dates, else all numbers, else string."""
-    v = F.col("value")
-    return samples.groupBy("field").agg(
-        F.when(F.bool_and(looks_like_date(v)), "date").when(F.bool_and(looks_like_number(v)), "numeric").otherwise("string").alias("value_type")
-    )
+#: value type -> what each of its values must look like, in order of trial.
+LOOKS: dict[str, Callable[[Column], Column]] = {"date": looks_like_date, "numeric": looks_like_number}
+
+
+def value_types(samples: DataFrame, looks: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(field, value_type) by vote of its samples: the first type that all of them look like, else string."""
+    kind = F.lit("string")
+    for name, fits in reversed((looks or LOOKS).items()):
+        kind = F.when(F.bool_and(fits(F.col("value"))), name).otherwise(kind)
+    return samples.groupBy("field").agg(kind.alias("value_type"))
 
 
 def value_histogram(records: DataFrame) -> DataFrame:

@@ -6,39 +6,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import contains_needle
-from gleanery.functions.urls import normalized_url
+from gleanery.functions.urls import expected_filename, normalized_url
+from gleanery.functions.values import get_or_blank
 
 LEAST = 9
+TOTAL = r"^DISCOVERY total_saved=(\d+)$"
+
+
+def url_hits(probes: DataFrame, records: DataFrame, prefixes: bool = True) -> DataFrame:
+    """(probe_ord, _seq): which URLs of records (url, _seq) each probe (probe_ord, source_url) matches, with repeats.
+
+    By normalised equality, by suffix either way round, or by prefix up to a boundary. Each is an equality
+    on keys laid out beforehand, so there is no nested-loop join; suffixes are cut only to lengths that occur on the other side, of
+    which there are no more than the longest URL has characters.
+    """
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    p = probes.select("probe_ord", F.col("source_url").alias("probe"), F.lower(bare("source_url")).alias("low"), bare("source_url").alias("bare"))
+    r = records.where("url is not null and url <> ''").select("_seq", "url", F.lower(bare("url")).alias("low"))
+    hit = ["probe_ord", "_seq"]
+    found = p.select("probe_ord", normalized_url(F.col("probe")).alias("k")).where("k <> ''").join(r.select("_seq", normalized_url(F.col("url")).alias("k")), "k").select(*hit)
+    if prefixes:
+        cuts = F.filter(F.sequence(F.lit(LEAST), F.greatest(F.length("url"), F.lit(LEAST))), lambda n: F.substr(F.col("url"), n + 1, F.lit(1)).isin("", "/", "?"))
+        heads = r.select("_seq", F.explode(F.array_distinct(F.transform(cuts, lambda n: F.left(F.col("url"), n)))).alias("k"))
+        found = found.union(p.where(F.length("bare") >= LEAST).select("probe_ord", F.col("bare").alias("k")).join(heads, "k").select(*hit))
+
+    def tails(of: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+        fits = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("low"))
+        return of.select(key, F.explode(F.transform(fits, lambda n: F.right(F.col("low"), n))).alias("k"))
+
+    def sizes(of: DataFrame) -> list[int]:
+        return sorted(x.n for x in of.select(F.length("low").alias("n")).where(F.col("n") >= LEAST).distinct().collect())
+
+    long = lambda of, key: of.where(F.length("low") >= LEAST).select(key, F.col("low").alias("k"))
+    of_record = tails(r, "_seq", sizes(p)).join(long(p, "probe_ord"), "k").select(*hit)
+    of_probe = tails(p, "probe_ord", sizes(r)).join(long(r, "_seq"), "k").select(*hit)
+    return found.union(of_record).union(of_probe)
 
 
 def probe_corpus(probes: DataFrame, records: DataFrame) -> DataFrame:
     """(probe_ord, source_url, verdict, matched_seq): is each expected URL captured, and by which first record?
 
     ``probes``: (probe_ord, source_url). ``records``: (url, _seq), one row for each URL of a record.
-    A probe matches by normalised equality, by suffix either way round, or by prefix up to a
-    boundary. Each is an equality on keys laid out beforehand, so there is no nested-loop join; suffixes
-    are cut only to lengths that occur on the other side.
     """
-    p = probes.select("probe_ord", F.col("source_url").alias("probe"), F.lower(F.regexp_replace("source_url", "/+$", "")).alias("low"), F.regexp_replace("source_url", "/+$", "").alias("bare"))
-    r = records.where("url is not null and url <> ''").select("_seq", "url", F.lower(F.regexp_replace("url", "/+$", "")).alias("low"))
-    hit = ["probe_ord", "_seq"]
-    equal = p.select("probe_ord", normalized_url(F.col("probe")).alias("k")).where("k <> ''").join(r.select("_seq", normalized_url(F.col("url")).alias("k")), "k").select(*hit)
-    cuts = F.filter(F.sequence(F.lit(LEAST), F.greatest(F.length("url"), F.lit(LEAST))), lambda n: F.substr(F.col("url"), n + 1, F.lit(1)).isin("", "/", "?"))
-    heads = r.select("_seq", F.explode(F.array_distinct(F.transform(cuts, lambda n: F.left(F.col("url"), n)))).alias("k"))
-    prefix = p.where(F.length("bare") >= LEAST).select("probe_ord", F.col("bare").alias("k")).join(heads, "k").select(*hit)
-
-    def tails(of: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
-        return of.join(F.broadcast(lengths), F.length("low") >= F.col("size")).select(key, F.right("low", F.col("size")).alias("k"))
-
-    sizes = lambda of: of.select(F.length("low").alias("size")).where(F.col("size") >= LEAST).distinct()
-    long_record = tails(r, "_seq", sizes(p)).join(p.where(F.length("low") >= LEAST).select("probe_ord", F.col("low").alias("k")), "k").select(*hit)
-    long_probe = tails(p, "probe_ord", sizes(r)).join(r.where(F.length("low") >= LEAST).select("_seq", F.col("low").alias("k")), "k").select(*hit)
-    first = equal.union(prefix).union(long_record).union(long_probe).groupBy("probe_ord").agg(F.min("_seq").alias("matched_seq"))
+    first = url_hits(probes, records).groupBy("probe_ord").agg(F.min("_seq").alias("matched_seq"))
     return probes.join(first, "probe_ord", "left").select(
         "probe_ord", "source_url", F.when(F.col("matched_seq").isNotNull(), "captured").otherwise("missing_url").alias("verdict"), "matched_seq"
     )
 
 
+def spot_checks(candidates: DataFrame, records: DataFrame, files: DataFrame) -> DataFrame:
+    """(probe_ord, source_url, verdict, db_source_url, filename) of candidate file URLs (probe_ord, source_url).
+
+    A candidate belongs to the first record (source_url, data, _seq) whose file URL it equals or ends like. Its
+    file is looked for by the expected name, then by the name the record has; ``files`` are checked ones.
+    """
+    url, name = get_or_blank(F.col("data"), "core_file_url"), get_or_blank(F.col("data"), "core_pdf_filename")
+    rows = records.select("_seq", F.col("source_url").alias("db_source_url"), url.alias("url"), name.alias("stored_name"))
+    first = url_hits(candidates, rows.select("url", "_seq"), prefixes=False).groupBy("probe_ord").agg(F.min("_seq").alias("_seq"))
+    joined = candidates.join(first, "probe_ord", "left").join(rows.drop("url"), "_seq", "left").withColumn("expected_name", expected_filename(F.col("source_url")))
+    for kind in ("expected", "stored"):
+        disk = files.select(F.col("basename").alias(f"{kind}_name"), F.struct(F.col("basename"), "is_valid", "is_small").alias(kind))
+        joined = joined.join(disk, f"{kind}_name", "left")
+    f = F.coalesce("expected", "stored")
+    verdict = (
+        F.when(F.col("_seq").isNull(), "missing_from_db").when(f.isNull(), "file_not_downloaded").when(~f["is_valid"], "corrupt_file").when(f["is_small"], "suspiciously_small").otherwise("present")
+    )
+    shown = F.when(F.col("_seq").isNotNull(), F.coalesce(f["basename"], F.col("stored_name")))
+    return joined.select("probe_ord", "source_url", verdict.alias("verdict"), "db_source_url", shown.alias("filename"))
+
+
 def probe_counts(found: DataFrame) -> DataFrame:
     return found.agg(
         F.count("*").alias("total"), F.count_if(F.col("verdict") == "captured").alias("captured"), F.count_if(F.col("verdict") != "captured").alias("failed")
@@ -79,10 +115,46 @@ def under_collected(targets: DataFrame, counts: DataFrame) -> DataFrame:
     return both.select("label", expected.alias("expected"), stored.alias("stored")).where("stored < expected")
 
 
+def discovery_total(lines: DataFrame) -> DataFrame:
+    """One row (total): the last reported sum of saved links, null where no line reports one."""
+    said = F.when(F.trim("line").rlike(TOTAL), F.regexp_extract(F.trim("line"), TOTAL, 1).cast("bigint"))
+    return lines.select("line_no", said.alias("total")).agg(F.max_by("total", F.when(F.col("total").isNotNull(), F.col("line_no"))).alias("total"))
+
+
 def self_check(targets: DataFrame, least_found: int = 1, most_ratio: float = 2.0) -> DataFrame:
-    """(label, failure): found too few, or saved more than ``most_ratio`` times what was found."""
-    failure = F.when(F.col("found") < least_found, "found_below_minimum").when((F.col("found") > 0) & (F.col("saved") > most_ratio * F.col("found")), "saved_above_found")
-    return targets.select("label", failure.alias("failure")).where("failure is not null")
+    """(label, failure): found too few, or saved more than ``most_ratio`` times what was found; both may hold."""
+    checks = F.array(
+        F.when(F.col("found") < least_found, "found_below_minimum"),
+        F.when((F.col("found") > 0) & (F.col("saved") > most_ratio * F.col("found")), "saved_above_found"),
+    )
+    return targets.select("label", F.explode(F.array_compact(checks)).alias("failure"))
+
+
+def run_check(lines: DataFrame, links: DataFrame, least_found: int = 1, most_ratio: float = 2.0) -> DataFrame:
+    """(label, failure) of a discovery log against the stored links; those of the whole run have no label.
+
+    Without a total nothing else is judged. A total of zero fails, and so does one above zero with no link stored.
+    """
+    both = discovery_total(lines).select("total", F.lit(0).cast("bigint").alias("stored")).unionByName(links.agg(F.count("*").alias("stored")).select(F.lit(None).cast("bigint").alias("total"), "stored"))
+    failure = F.when(F.col("total").isNull(), "total_missing").when(F.col("total") == 0, "nothing_collected").when(F.col("stored") == 0, "nothing_stored")
+    run = both.agg(F.max("total").alias("total"), F.max("stored").alias("stored")).select(F.lit(None).cast("string").alias("label"), failure.alias("failure")).where("failure is not null")
+    judged = self_check(discovery_lines(lines), least_found, most_ratio).where(discovery_total(lines).scalar().isNotNull())
+    return run.unionByName(judged)
+
+
+def pair_counts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n) of rows that have both values."""
+    return pairs.where(f"{a} <> '' and {b} <> ''").groupBy(a, b).agg(F.count("*").alias("n"))
+
+
+def unvisited(declared: DataFrame, visited: DataFrame, path: str = "path") -> DataFrame:
+    """Declared paths that are still to be visited, each once."""
+    return declared.select(path).distinct().join(visited.select(path), path, "left_anti")
+
+
+def merged_results(report: DataFrame, results: DataFrame, key: str = "url") -> DataFrame:
+    """The report, and behind it the results for keys it lacks."""
+    return report.unionByName(results.join(report.select(key), key, "left_anti"))
 
 
 def html_gate(records: DataFrame, captured: DataFrame) -> DataFrame:
@@ -103,9 +175,14 @@ def passes(complete: Column, missing: Column, gaps: Column, captured: Column, ht
     return (complete | ((missing == 0) & (gaps == 0))) & captured & (~html_required | html_ok)
 
 
+def has_value(text: Column) -> Column:
+    """Whether a field of a payload holds anything: no blank text, empty list or empty object."""
+    return ~F.trim(F.coalesce(text, F.lit(""))).isin("", "[]", "{}")
+
+
 def expected_output(records: DataFrame, fields: list[str], least: int) -> DataFrame:
     """One row: enough records, and for each field whether any record has a value."""
-    return records.agg((F.count("*") >= least).alias("enough"), *(F.coalesce(F.bool_or(F.trim(F.coalesce(F.get_json_object("data", f"$.{f}"), F.lit(""))) != ""), F.lit(False)).alias(f"has_{f}") for f in fields))
+    return records.agg((F.count("*") >= least).alias("enough"), *(F.coalesce(F.bool_or(has_value(F.get_json_object("data", f"$.{f}"))), F.lit(False)).alias(f"has_{f}") for f in fields))
 
 
 def listing_targets(hrefs: DataFrame, index_pattern: str, lo: int | None, hi: int | None, find: str, put: str) -> DataFrame:

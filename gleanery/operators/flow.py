@@ -13,6 +13,18 @@ def blocked(subtasks: DataFrame, done: tuple[str, ...] = ("done",)) -> DataFrame
     return needs.join(states, "waiting_for", "left").where(~F.coalesce(F.col("state").isin(*done), F.lit(False))).select("subtask_id", "waiting_for")
 
 
+def with_specs(specs: DataFrame, states: DataFrame) -> DataFrame:
+    """Planned subtasks with the state that is on record, pending where there is none."""
+    return specs.join(states.select("subtask_id", F.col("status").alias("_s")), "subtask_id", "left").withColumn("status", F.coalesce("_s", F.lit("pending"))).drop("_s")
+
+
+def eta(jobs: DataFrame) -> DataFrame:
+    """(job, remaining, seconds): what is left of each job, and how long at the mean time of what is done; null before that."""
+    left = F.count_if(~F.col("done")).alias("remaining")
+    mean = F.avg(F.when(F.col("done"), F.col("seconds"))).alias("mean")
+    return jobs.groupBy("job").agg(left, mean).select("job", "remaining", (F.col("mean") * F.col("remaining")).alias("seconds"))
+
+
 def streaks(log: DataFrame, key: str, order: str, hit: str) -> DataFrame:
     """log with streak: how many rows in a row, up to this one, have ``hit`` true within a key."""
     along = Window.partitionBy(key).orderBy(order)

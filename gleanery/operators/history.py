@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import estimate_tokens
@@ -24,6 +24,13 @@ def conversation_tokens(messages: DataFrame) -> DataFrame:
     return part_tokens(messages).groupBy("conv_id").agg(F.sum("tokens").alias("tokens"))
 
 
+def trim_bucket(kind: Column, tool_name: Column, content: Column, snapshot_tools: tuple[str, ...], validation_tools: tuple[str, ...]) -> Column:
+    """The bucket of a part that may be trimmed: thinking, or a long tool return by its tool; null for what always stays."""
+    long = (kind == "tool_return") & (F.length(content) >= SHORT)
+    tool = F.when(tool_name.isin(*snapshot_tools), "snapshot").when(tool_name.isin(*validation_tools), "validation").otherwise("other")
+    return F.when(kind == "thinking", "thinking").when(long, tool)
+
+
 def trim_plan(parts: DataFrame, keep: dict[str, int] | None = None) -> DataFrame:
     """(…, priority) of the parts that may be trimmed: all but the latest few of each bucket.
 

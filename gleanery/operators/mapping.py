@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.urls import strip
 from gleanery.functions.values import coalesce_sources, coerce_date, list_items, python_text
+from gleanery.operators.vocab import first_leaves, leaves
 
 #: What remote property types mean here; other ``multi*`` types are multiselect, the rest text.
 TYPES = ("title", "date", "text", "numeric", "select", "multiselect", "markdown", "relationship", "link", "file", "skipped")
@@ -47,6 +48,8 @@ class Mapping:
     registry_key: str | None = None
     registry_link: str | None = None
     shared: tuple[str, ...] = field(default=())
+    #: Registry properties that are filled when a row is sent, not here.
+    sent_later: tuple[str, ...] = field(default=())
 
     def __post_init__(self):
         given = [v is not None for v in (self.registry_template, self.registry_key, self.registry_link)]
@@ -60,9 +63,15 @@ class Mapping:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def load(path: str) -> Mapping:
+    """The mapping in a JSON file, as strict as :func:`from_dict`."""
+    with open(path, encoding="utf-8") as f:
+        return from_dict(json.load(f))
+
+
 def from_dict(spec: dict) -> Mapping:
     """Strict: a key that the dataclasses do not know raises."""
-    return Mapping(**{**spec, "properties": tuple(Property(**p) for p in spec.get("properties", ()))})
+    return Mapping(**{**spec, "properties": tuple(Property(**p) for p in spec.get("properties", ())), **{k: tuple(spec[k]) for k in ("shared", "sent_later") if k in spec}})
 
 
 def resolved(prop: Property, payload: Column, lookup: Column | None = None) -> Column:
@@ -71,7 +80,8 @@ def resolved(prop: Property, payload: Column, lookup: Column | None = None) -> C
     ``lookup``: a map from crawled to canonical values; with one, what it lacks becomes null.
     """
     if prop.source is None:
-        return F.lit(prop.default_value).cast("string")
+        default = F.lit(prop.default_value).cast("string")
+        return coerce_date(default) if prop.type == "date" else default
     value = coalesce_sources(payload, prop.sources())
     if lookup is not None:
         value = lookup[strip(value)]
@@ -125,7 +135,7 @@ def project(records: DataFrame, mapping: Mapping, payload: Column, lookups: dict
     wanted = [
         p
         for p in mapping.properties
-        if p.type not in OUTSIDE_METADATA and ((p.registry_only or p.name in mapping.shared) if registry else not p.registry_only)
+        if p.type not in OUTSIDE_METADATA and ((p.registry_only or p.name in mapping.shared) and p.name not in mapping.sent_later if registry else not p.registry_only)
     ]
     cells = [F.struct(F.lit(p.name).alias("key"), coerced(p, F.col(decoded), lookups or {}, **shapes).alias("value")) for p in wanted]
     entries = F.array(*cells) if cells else F.array().cast("array<struct<key:string,value:string>>")
@@ -153,3 +163,26 @@ def assemble_drafts(drafts: DataFrame, template_props: DataFrame) -> DataFrame:
 def uncovered(template_props: DataFrame, mapped: DataFrame) -> DataFrame:
     """Template properties, titles aside, that no mapping covers."""
     return template_props.where("type <> 'title'").join(mapped.select("name"), "name", "left_anti")
+
+
+def fill_defaults(mapped: DataFrame, template_props: DataFrame, paths: DataFrame) -> DataFrame:
+    """mapped (name, source, default_value, notes) with what it lacks, and with group labels moved to leaves.
+
+    ``template_props``: (name, type, required, thesaurus_id). ``paths``: trees from :func:`gleanery.operators.vocab.tree_paths`.
+    Each property without a mapping, titles aside, gets one without source; required selects get their
+    vocabulary's first leaf as default. A default that is no leaf but a group of its vocabulary becomes the first leaf below the
+    first group of that label, and the notes say so.
+    """
+    leaf_of = first_leaves(paths)
+    first = leaf_of.groupBy("thesaurus_id").agg(F.min_by("leaf", "path").alias("first"))
+    wants = F.col("required") & F.col("type").isin("select", "multiselect")
+    fresh = uncovered(template_props, mapped).join(first, "thesaurus_id", "left").select(
+        "name", F.lit(None).cast("string").alias("source"), F.when(wants, F.col("first")).alias("default_value"), F.lit("no scraped field for this property").alias("notes")
+    )
+    every = mapped.select("name", "source", "default_value", "notes").unionByName(fresh)
+    known = leaves(paths).select("thesaurus_id", F.col("label").alias("default_value")).distinct().withColumn("is_leaf", F.lit(True))
+    groups = paths.groupBy("thesaurus_id", F.col("label").alias("default_value")).agg(F.min("path").alias("path")).join(leaf_of, ["thesaurus_id", "path"]).drop("path")
+    keyed = every.join(template_props.select("name", "thesaurus_id"), "name", "left").join(known, ["thesaurus_id", "default_value"], "left").join(groups, ["thesaurus_id", "default_value"], "left")
+    moved = F.col("is_leaf").isNull() & F.col("leaf").isNotNull() & (F.col("leaf") != F.col("default_value"))
+    note = F.concat_ws("; ", F.nullif(F.col("notes"), F.lit("")), F.concat(F.lit("default moved from group "), F.col("default_value"), F.lit(" to leaf "), F.col("leaf")))
+    return keyed.select("name", "source", F.when(moved, F.col("leaf")).otherwise(F.col("default_value")).alias("default_value"), F.when(moved, note).otherwise(F.col("notes")).alias("notes"))

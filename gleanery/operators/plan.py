@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.urls import file_ext
+from gleanery.functions.urls import file_ext, file_filename, pdf_filename
 from gleanery.functions.values import get_or_blank
 
-MOST_ROWS = 300_000
-
 
 def existing_index(existing: DataFrame, key: Column) -> DataFrame:
     """(key, shared_id) over all languages; the first entity of a key wins; blank keys are left out."""
@@ -84,21 +82,49 @@ def attachments(pdf: Column, html: Column, supporting: Column) -> Column:
     return F.array_compact(F.array(one(pdf), one(html), one(supporting)))
 
 
-def supporting_name(url: Column, name: Column) -> Column:
-    """The file name where the URL is an office document; PDFs travel as the main file."""
-    return F.when(file_ext(url) != "", name)
-
-
 def with_files(records: DataFrame, files: DataFrame) -> DataFrame:
-    """records (source_url, data) with the pdf and html file names that are on disk."""
+    """records (source_url, data) with pdf_name, html_name and supporting_name, those of their files that are on disk.
+
+    A file goes by the name the record has, else by the name derived from its URL. Office documents are
+    supporting files, all others the PDF; a name that says there is none counts only through the URL.
+    """
+    url, name, page = (get_or_blank(F.col("data"), f"core_{k}") for k in ("file_url", "pdf_filename", "html_filename"))
+    office, none = file_ext(name) != "", F.trim(name).startswith("no-pdf")
+    wants = {
+        "pdf_own": F.when(~office & ~none, name),
+        "pdf_derived": F.when(~office & (url != ""), pdf_filename(url)),
+        "html_own": page,
+        "supporting_own": F.when(office & ~none, name),
+        "supporting_derived": F.when(office & ~none & (url != ""), file_filename(url)),
+    }
     on_disk = files.select("basename").distinct()
-    named = records.withColumns({"_pdf": get_or_blank(F.col("data"), "core_pdf_filename"), "_html": get_or_blank(F.col("data"), "core_html_filename")})
-    for want in ("pdf", "html"):
-        hit = on_disk.select(F.col("basename").alias(f"_{want}"), F.col("basename").alias(f"{want}_name"))
-        named = named.join(hit, f"_{want}", "left")
-    return named.drop("_pdf", "_html")
+    named = records.withColumns({f"_{k}": F.nullif(F.trim(c), F.lit("")) for k, c in wants.items()})
+    for k in wants:
+        named = named.join(on_disk.select(F.col("basename").alias(f"_{k}"), F.col("basename").alias(f"_has_{k}")), f"_{k}", "left")
+    return named.select(
+        *records.columns,
+        F.coalesce("_has_pdf_own", "_has_pdf_derived").alias("pdf_name"),
+        F.col("_has_html_own").alias("html_name"),
+        F.coalesce("_has_supporting_own", "_has_supporting_derived").alias("supporting_name"),
+    )
+
+
+def plan_rows(projected: DataFrame, primary: DataFrame, registry: DataFrame | None, mapping_sha256: str) -> DataFrame:
+    """Whole plan rows out of records (source_url, language, key, file_url, title, metadata, registry_metadata, file names).
+
+    What is skipped has no registry metadata, nor has any row without a registry.
+    """
+    planned = plan_actions(projected, primary, registry)
+    kept = F.when(F.col("action") != "SKIP", F.col("registry_metadata")) if registry is not None else F.lit(None)
+    return planned.withColumns({"registry_metadata": kept.cast(projected.schema["registry_metadata"].dataType), "mapping_sha256": F.lit(mapping_sha256)})
+
+
+def issue_counts(rows: DataFrame) -> DataFrame:
+    """(action, n, with_issues) of rows that carry an action and issues."""
+    return rows.groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.size("issues") > 0).alias("with_issues"))
 
 
-def registry_enrich(plan: DataFrame, content: str = "content", now: Column | None = None) -> DataFrame:
-    """Upload-time fields: epoch seconds and the document's SHA-256."""
-    return plan.withColumns({"registry_date": F.unix_timestamp() if now is None else F.unix_timestamp(now), "document_hash": F.sha2(F.col(content), 256)})
+def registry_enrich(plan: DataFrame, content: str = "content", now: Column | None = None, link: str = "primary_shared_id") -> DataFrame:
+    """What is filled when a row is sent: epoch seconds, the link to the primary entity, the document's SHA-256."""
+    linked = F.when(F.col(link).isNotNull(), F.array(F.struct(F.col(link).alias("value"))))
+    return plan.withColumns({"registry_date": F.unix_timestamp() if now is None else F.unix_timestamp(now), "registry_link": linked, "document_hash": F.sha2(F.col(content), 256)})

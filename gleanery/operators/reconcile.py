@@ -41,6 +41,57 @@ def checked_files(files: DataFrame) -> DataFrame:
     return files.select("basename", "length", check.alias("c")).select("basename", "length", "c.is_valid", "c.is_small")
 
 
+def is_pdf_bytes(content: Column) -> Column:
+    """The stricter test before a file is kept: magic, and the end mark within the last 1024 bytes."""
+    return has_pdf_magic(content) & has_eof_marker(content, 1024)
+
+
+def distinct_urls(records: DataFrame) -> DataFrame:
+    """(n): how many different file URLs the records have."""
+    url = get_or_blank(F.col("data"), "core_file_url")
+    return records.select(F.nullif(url, F.lit("")).alias("url")).agg(F.countDistinct("url").alias("n"))
+
+
+def ordered_filenames(records: DataFrame) -> DataFrame:
+    """(filename, first_seq) of distinct file names, in order of first appearance."""
+    name = get_or_blank(F.col("data"), "core_pdf_filename")
+    return records.select(name.alias("filename"), "_seq").where("filename <> ''").groupBy("filename").agg(F.min("_seq").alias("first_seq")).orderBy("first_seq", "filename")
+
+
+def download_faults(records: DataFrame) -> DataFrame:
+    """(source_url, fault): a wrong name of a downloaded file, a page that did not load, a file that was not fetched."""
+    url, name, status = (get_or_blank(F.col("data"), f"core_{k}") for k in ("file_url", "pdf_filename", "download_status"))
+    rows = records.select("source_url", url.alias("url"), name.alias("name"), status.alias("status"))
+    done = (F.col("status") == "downloaded") & (F.col("name") != "")
+    fault = (
+        F.when(done, F.when((F.col("url") != "") & (F.col("name") != expected_filename(F.col("url"))), "canonical_filename"))
+        .when(F.col("status") == "load_failed", "load_failed")
+        .when(F.col("url") != "", "failed_download")
+    )
+    return rows.select("source_url", fault.alias("fault")).where("fault is not null")
+
+
+def smoke_counts(records: DataFrame) -> DataFrame:
+    """One row (downloaded, total, faults, wants_files, passed) of a trial run.
+
+    It passes without faults, with a record, and with a downloaded file if any record speaks of files.
+    """
+    url, name, status = (get_or_blank(F.col("data"), f"core_{k}") for k in ("file_url", "pdf_filename", "download_status"))
+    speaks = (url != "") | (name != "") | ~status.isin("", "no_files")
+    seen = records.select(((status == "downloaded") & (name != "")).cast("int").alias("downloaded"), F.lit(1).alias("total"), F.lit(0).alias("faults"), speaks.cast("int").alias("wants"))
+    faults = download_faults(records).select(F.lit(0).alias("downloaded"), F.lit(0).alias("total"), F.lit(1).alias("faults"), F.lit(0).alias("wants"))
+    sums = seen.unionByName(faults).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("downloaded", "total", "faults", "wants")))
+    sums = sums.select("downloaded", "total", F.when(F.col("total") == 0, 1).otherwise(F.col("faults")).cast("bigint").alias("faults"), (F.col("wants") > 0).alias("wants_files"))
+    return sums.withColumn("passed", (F.col("faults") == 0) & F.when(F.col("wants_files"), F.col("downloaded") >= 1).otherwise(F.col("total") >= 1))
+
+
+def run_summary(records: DataFrame) -> DataFrame:
+    """One row (total, with_file, files, slugs): counts of a run, and its task names in order."""
+    name = get_or_blank(F.col("data"), "core_pdf_filename")
+    rows = records.select(F.nullif(name, F.lit("")).alias("f"), "task_slug")
+    return rows.agg(F.count("*").alias("total"), F.count("f").alias("with_file"), F.countDistinct("f").alias("files"), F.array_sort(F.collect_set("task_slug")).alias("slugs"))
+
+
 def verdicts(records: DataFrame, files: DataFrame) -> DataFrame:
     """(source_url, expected, verdict, filename_mismatch) of each record against checked files."""
     url, name = get_or_blank(F.col("data"), "core_file_url"), get_or_blank(F.col("data"), "core_pdf_filename")

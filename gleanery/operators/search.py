@@ -29,6 +29,8 @@ def relevance(rows: DataFrame, task: str, weights: dict[str, int] | None = None)
     return staged.withColumn("score", score).drop(*lower.values())
 
 
-def top_relevant(rows: DataFrame, task: str, k: int = 8, ties: str = "_seq", weights: dict[str, int] | None = None) -> DataFrame:
-    """The k best rows, earliest first among equals; those without any occurrence are dropped after that."""
+def top_relevant(rows: DataFrame, task: str, k: int = 8, ties: str = "_seq", weights: dict[str, int] | None = None, kind: str | None = None) -> DataFrame:
+    """The k best rows, of one kind if that is given, earliest first among equals; those without any occurrence are dropped after that."""
+    if kind is not None:
+        rows = rows.where(F.col("kind") == kind)
     return relevance(rows, task, weights).orderBy(F.desc("score"), ties).limit(k).where("score > 0")

@@ -21,6 +21,11 @@ def upsert_records(events: DataFrame, key: str = "source_url", order: str = "_se
     return last_wins(events.withColumn(key, canonical_url(F.col(key))), key, order)
 
 
+def in_time_order(records: DataFrame) -> DataFrame:
+    """Records as they were scraped, later writes last among equals."""
+    return records.orderBy("scraped_at", "_seq")
+
+
 def canonical_payload(payload: Column) -> Column:
     """A decoded payload with its file URL in canonical form."""
     return F.transform_values(payload, lambda k, v: F.when(k == "core_file_url", canonical_url(v)).otherwise(v))
@@ -32,17 +37,15 @@ def fold_links(events: DataFrame) -> DataFrame:
     A first event that is not ``processed`` inserts. Later ``sample`` events are ignored, ``discovered``
     ones refresh the label and status, ``processed`` ends it; a ``processed`` before any insert does nothing.
     """
-    inserts = F.min(F.when(F.col("op") != "processed", F.col("_seq")))
-    by_url = Window.partitionBy("url")
-    seen = events.withColumn("s0", inserts.over(by_url)).where("s0 is not null")
-    ended = F.min(F.when((F.col("op") == "processed") & (F.col("_seq") > F.col("s0")), F.col("_seq"))).over(by_url)
-    seen = seen.withColumn("ps", ended)
-    live = (F.col("op") != "processed") & (F.col("ps").isNull() | (F.col("_seq") < F.col("ps"))) & ((F.col("op") == "discovered") | (F.col("_seq") == F.col("s0")))
-    last = F.when(live, F.col("_seq"))
-    return seen.groupBy("url").agg(
-        F.when(F.max("ps").isNotNull(), "processed").otherwise(F.max_by("op", last)).alias("status"),
-        F.max_by("filter_label", last).alias("filter_label"),
-    )
+    # Of an end only the first behind the insert matters, so one pass gives the insert and a second the rest; rows
+    # meet by url in both, whose aggregates are partial on the map side, and nothing is sorted.
+    seq, ends = F.col("_seq"), F.col("op") == "processed"
+    begun = events.groupBy("url").agg(F.min(F.when(~ends, seq)).alias("s0")).where("s0 is not null")
+    ended = events.where(ends).join(begun, "url").where("_seq > s0").groupBy("url").agg(F.min("_seq").alias("ps"))
+    spans = begun.join(ended, "url", "left")
+    live = events.where(~ends).join(spans, "url").where("(ps is null or _seq < ps) and (op = 'discovered' or _seq = s0)")
+    last = live.groupBy("url").agg(F.max("ps").alias("ps"), F.max(F.struct("_seq", "op", "filter_label")).alias("l"))
+    return last.select("url", F.when(F.col("ps").isNotNull(), "processed").otherwise(F.col("l.op")).alias("status"), F.col("l.filter_label").alias("filter_label"))
 
 
 def pending_links(links: DataFrame) -> DataFrame:

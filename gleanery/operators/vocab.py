@@ -7,28 +7,63 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import comma_tokens, fold
 from gleanery.functions.urls import strip
+from gleanery.session import checkpointed
 
-DEEPEST = 32
 
-
-def tree_paths(nodes: DataFrame, depth: int = DEEPEST) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """(thesaurus_id, node_id, parent_id, label, ord, path, parent_label); path sorts depth first.
 
-    One join a level, ended by the first level without nodes; a cycle ends at ``depth``.
+    One join a level against the level before, which is checkpointed, until a level has no nodes; trees of any depth are
+    whole. Nodes that no root leads to are left out; a node that is its own ancestor raises ValueError.
     """
     step = F.struct("ord", "node_id")
     base = nodes.select("thesaurus_id", "node_id", "parent_id", "label", "ord")
     level = base.where("parent_id is null").select("*", F.array(step).alias("path"), F.lit(None).cast("string").alias("parent_label"))
     out = level
-    for _ in range(depth):
+    while True:
         up = level.select("thesaurus_id", F.col("node_id").alias("parent_id"), F.col("path").alias("above"), F.col("label").alias("parent_label"))
-        level = base.join(up, ["thesaurus_id", "parent_id"]).select(
-            "thesaurus_id", "node_id", "parent_id", "label", "ord", F.concat("above", F.array(step)).alias("path"), "parent_label"
+        below = base.join(up, ["thesaurus_id", "parent_id"])
+        round_trip = F.exists("above", lambda s: s["node_id"] == F.col("node_id"))
+        level = checkpointed(
+            below.select("thesaurus_id", "node_id", "parent_id", "label", "ord", F.concat("above", F.array(step)).alias("path"), "parent_label", round_trip.alias("loops"))
         )
         if level.isEmpty():
-            break
+            return out
+        if not level.where("loops").isEmpty():
+            raise ValueError("a node of the vocabulary is its own ancestor")
+        level = level.drop("loops")
         out = out.unionByName(level)
-    return out
+
+
+def numbered(paths: DataFrame) -> DataFrame:
+    """paths with depth and position, from 1 in tree order of a thesaurus.
+
+    The nodes of each root are numbered on their own, behind those of the roots before it.
+    """
+    rooted = paths.withColumn("_root", F.col("path")[0])
+    earlier = Window.partitionBy("thesaurus_id").orderBy("_root").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rooted.groupBy("thesaurus_id", "_root").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("thesaurus_id", "_root").orderBy("path"))
+    placed = rooted.withColumn("_i", within).join(sizes, ["thesaurus_id", "_root"])
+    return placed.select(*paths.columns, F.size("path").alias("depth"), (F.col("_before") + F.col("_i")).cast("int").alias("position"))
+
+
+def find_label(paths: DataFrame, label: str) -> DataFrame:
+    """(thesaurus_id, node_id, path) of the first node of that label in each tree."""
+    return paths.where(F.col("label") == label).groupBy("thesaurus_id").agg(F.min_by(F.struct("node_id", "path"), "path").alias("f")).select("thesaurus_id", "f.node_id", "f.path")
+
+
+def first_leaves(paths: DataFrame) -> DataFrame:
+    """(thesaurus_id, path, leaf): for each node, itself included, the label of the first leaf at or below it."""
+    above = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))
+    ends = leaves(paths).select("thesaurus_id", "label", F.col("path").alias("at"), F.explode(above).alias("path"))
+    return ends.groupBy("thesaurus_id", "path").agg(F.min_by("label", "at").alias("leaf"))
+
+
+def relationship_labels(existing: DataFrame, template: str, title: str = "title") -> DataFrame:
+    """(label, ord): the titles of a template's entities, as the vocabulary of a relationship; the first of equal ones."""
+    rows = existing.where((F.col("template") == template) & (F.col(title) != ""))
+    return rows.groupBy(F.col(title).alias("label")).agg(F.min("ord").alias("ord"))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

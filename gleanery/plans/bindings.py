@@ -24,8 +24,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: lev: link events by user.
 LEV_SQL = """lev AS (
   SELECT 'https://h.example/u/' || user_id AS url, event_id AS _seq, 'b' || (event_id % 7) AS filter_label,
-         CASE event_type WHEN 'click' THEN 'discovered' WHEN 'purchase' THEN 'processed' ELSE 'sample' END AS op
-  FROM events WHERE event_type IN ('click', 'purchase', 'view') AND (event_type <> 'purchase' OR event_id % 40 = 0))"""
+         CASE WHEN event_type = 'click' THEN 'discovered' WHEN event_type = 'purchase' AND event_id % 40 = 0 THEN 'processed' ELSE 'sample' END AS op
+  FROM events)"""
 
 #: links: the folded queue.
 LINKS_SQL = (
@@ -42,9 +42,9 @@ links AS (
 
 
 def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    op = F.when(F.col("event_type") == "click", "discovered").when(F.col("event_type") == "purchase", "processed").when(F.col("event_type") == "view", "sample")
-    rows = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase', 'view') and (event_type <> 'purchase' or event_id % 40 = 0)")
-    return rows.select(
+    ends = (F.col("event_type") == "purchase") & (F.col("event_id") % 40 == 0)
+    op = F.when(F.col("event_type") == "click", "discovered").when(ends, "processed").otherwise("sample")
+    return table(spark, sf_dir, "events").select(
         F.concat(F.lit("https://h.example/u/"), F.col("user_id")).alias("url"), op.alias("op"), F.concat(F.lit("b"), F.col("event_id") % 7).alias("filter_label"), F.col("event_id").alias("_seq")
     )
 
@@ -52,7 +52,7 @@ def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: dl: download records, one for each event; f: their files.
 DL_SQL = """dl AS (
   SELECT 'https://h.example/d/' || event_id AS source_url, event_id AS _seq,
-         CASE WHEN event_id % 11 = 0 THEN '' ELSE 'https://h.example/f/' || (event_id % 700) || CASE event_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.doc' ELSE '' END END AS file_url,
+         CASE WHEN event_id % 11 = 0 THEN '' ELSE 'https://h.example/f/' || (event_id % 7000) || CASE event_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.doc' ELSE '' END END AS file_url,
          CASE event_type WHEN 'click' THEN 'downloaded' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'no_files' WHEN 'view' THEN 'load_failed' ELSE '' END AS status,
          CASE WHEN value > 20 THEN 'f' || json_extract_string(props, '$.k') ELSE '' END AS filename
   FROM events)"""
@@ -62,7 +62,7 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_url, _seq, data) of download records."""
     e = table(spark, sf_dir, "events")
     ext = F.when(F.col("event_id") % 3 == 0, ".pdf").when(F.col("event_id") % 3 == 1, ".doc").otherwise("")
-    url = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("https://h.example/f/"), F.col("event_id") % 700, ext))
+    url = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("https://h.example/f/"), F.col("event_id") % 7000, ext))
     kind = F.col("event_type")
     status = F.when(kind == "click", "downloaded").when(kind == "error", "failed").when(kind == "purchase", "no_files").when(kind == "view", "load_failed").otherwise("")
     name = F.when(F.col("value") > 20, F.concat(F.lit("f"), F.get_json_object("props", "$.k"))).otherwise("")
@@ -77,10 +77,10 @@ FILES_SQL = """files AS (
                     ELSE 'pdf_' || substr(sha1('https://h.example/f/' || i), 1, 12) || '.pdf' END AS basename,
          CASE WHEN i % 10 = 1 THEN 0 ELSE 1000 + (i % 50) * 10 END AS length,
          CASE WHEN i % 3 = 1 THEN i % 10 <> 1 ELSE i % 4 <> 0 END AS is_valid
-  FROM (SELECT DISTINCT p_partkey AS i FROM part WHERE p_partkey < 500)
+  FROM (SELECT DISTINCT p_partkey AS i FROM part)
   UNION ALL
   SELECT 'extra_' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.pdf.part' END, 5000 + p_partkey, true
-  FROM part WHERE p_partkey < 40)"""
+  FROM part)"""
 
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +90,11 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     i = F.col("p_partkey")
     ext = F.when(i % 3 == 0, ".pdf").when(i % 3 == 1, ".doc").otherwise("")
-    listed = p.where("p_partkey < 500").select("p_partkey").distinct().select(
+    listed = p.select("p_partkey").distinct().select(
         expected_filename(F.concat(F.lit("https://h.example/f/"), i, ext)).alias("basename"),
         F.when(i % 10 == 1, 0).otherwise(1000 + (i % 50) * 10).cast("bigint").alias("length"),
         F.when(i % 3 == 1, i % 10 != 1).otherwise(i % 4 != 0).alias("is_valid"),
     )
     tail = F.when(i % 3 == 0, ".pdf").when(i % 3 == 1, ".PDF").otherwise(".pdf.part")
-    extra = p.where("p_partkey < 40").select(F.concat(F.lit("extra_"), i, tail).alias("basename"), (5000 + i).cast("bigint").alias("length"), F.lit(True).alias("is_valid"))
+    extra = p.select(F.concat(F.lit("extra_"), i, tail).alias("basename"), (5000 + i).cast("bigint").alias("length"), F.lit(True).alias("is_valid"))
     return listed.unionByName(extra).withColumn("is_small", F.col("is_valid") & (F.col("length") <= 1024))

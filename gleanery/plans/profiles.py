@@ -75,7 +75,7 @@ def coalesce_sources_first(spark, sf_dir):
 
 
 _DATES = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y')
-  WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE 'on ' || strftime(o_orderdate, '%Y') END AS raw, o_orderdate FROM orders"""
+  WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE 'on ' || strftime(o_orderdate, '%Y') END AS raw, o_orderdate, o_totalprice FROM orders"""
 
 
 def _dates(spark, sf_dir):
@@ -90,9 +90,15 @@ def date_coerce(spark, sf_dir):
     return _dates(spark, sf_dir).select("o_orderkey", coerce_date(F.col("raw")).alias("iso"))
 
 
-@query(f"SELECT o_orderkey, o_orderkey % 5 <> 4 AS is_date, false AS is_number FROM ({_DATES})")
+@query(
+    """SELECT o_orderkey, o_orderkey % 5 = 0 OR o_orderkey % 5 = 4 AS is_date, o_orderkey % 5 IN (1, 2) AS is_number FROM orders"""
+)
 def value_looks_like(spark, sf_dir):
-    return _dates(spark, sf_dir).select("o_orderkey", looks_like_date(F.col("raw")).alias("is_date"), looks_like_number(F.col("raw")).alias("is_number"))
+    d, i = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    raw = F.when(i == 0, F.date_format(d, "yyyy-MM-dd")).when(i == 1, F.concat(F.lit("1,"), price)).when(i == 2, F.concat(F.lit("-"), price, F.lit("e3"))).when(i == 3, F.concat(price, F.lit(" each")))
+    raw = raw.otherwise(F.date_format(d, "d/M/yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", looks_like_date(raw).alias("is_date"), looks_like_number(raw).alias("is_number"))
 
 
 @query(f"WITH {B.REC_SQL} SELECT keys, count(*) AS n FROM (SELECT CASE WHEN k IS NULL THEN 'event_type, value' ELSE 'event_type, k, value' END AS keys FROM rec) GROUP BY keys")

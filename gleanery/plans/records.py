@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.functions.values import get_or_blank
-from gleanery.operators import store
+from gleanery.operators import reconcile, store
 from gleanery.plans import bindings as B
 from gleanery.plans.registry import query
 from gleanery.session import table
@@ -58,33 +57,34 @@ def retry_queue(spark, sf_dir):
 
 
 @query(
-    f"""WITH {B.DL_SQL}, have AS (SELECT DISTINCT 'f' || p_partkey AS basename FROM part WHERE p_partkey < 50)
+    f"""WITH {B.DL_SQL}, have AS (SELECT DISTINCT 'f' || (p_partkey * 2) AS basename FROM part)
 SELECT source_url, reason FROM (
   SELECT source_url, CASE WHEN status = 'no_files' THEN NULL WHEN status IN ('failed', 'load_failed') OR trim(filename) = '' THEN 'download_failed'
                           WHEN filename NOT IN (SELECT basename FROM have) THEN 'file_missing' END AS reason FROM dl) WHERE reason IS NOT NULL"""
 )
 def refresh_gap_reason(spark, sf_dir):
-    have = table(spark, sf_dir, "part").where("p_partkey < 50").select(F.concat(F.lit("f"), "p_partkey").alias("basename"))
+    have = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey") * 2).alias("basename"))
     return store.refresh_reasons(B.downloads(spark, sf_dir), have)
 
 
 _HANDLED = f"""WITH {B.LINKS_SQL}, src AS (
-  SELECT 'https://h.example/u/' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/pdf/pdf_' || o_orderkey ELSE '/page/' || o_orderkey END AS source_url FROM orders WHERE o_custkey % 2 = 0)
+  SELECT 'https://h.example/u/' || (o_custkey * 2) || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/pdf/pdf_' || o_orderkey ELSE '/page/' || o_orderkey END AS source_url FROM orders)
 SELECT url, EXISTS (SELECT 1 FROM src WHERE source_url = url OR starts_with(source_url, url || '/pdf/')) AS stale FROM links WHERE status = 'discovered'"""
 
 
 @query(_HANDLED)
 def unprocessed_vs_stale(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0")
+    o = table(spark, sf_dir, "orders")
     tail = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("/pdf/pdf_"), "o_orderkey")).otherwise(F.concat(F.lit("/page/"), "o_orderkey"))
-    src = o.select(F.concat(F.lit("https://h.example/u/"), "o_custkey", tail).alias("source_url"))
+    src = o.select(F.concat(F.lit("https://h.example/u/"), F.col("o_custkey") * 2, tail).alias("source_url"))
     unhandled, stale = store.split_pending(store.fold_links(B.link_events(spark, sf_dir)), src)
     return unhandled.select("url", F.lit(False).alias("stale")).unionByName(stale.select("url", F.lit(True).alias("stale")))
 
 
-@query(f"WITH {B.DL_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE filename <> '') AS with_file, count(DISTINCT filename) FILTER (WHERE filename <> '') AS files FROM dl")
+@query(
+    f"""WITH {B.DL_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE filename <> '') AS with_file, count(DISTINCT filename) FILTER (WHERE filename <> '') AS files,
+  (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT 'task-' || (_seq % 12) AS t FROM dl)) AS slugs FROM dl"""
+)
 def run_summary(spark, sf_dir):
-    name = get_or_blank(F.col("data"), "core_pdf_filename")
-    return B.downloads(spark, sf_dir).select(name.alias("f")).agg(
-        F.count("*").alias("total"), F.count_if(F.col("f") != "").alias("with_file"), F.countDistinct(F.when(F.col("f") != "", F.col("f"))).alias("files")
-    )
+    rows = B.downloads(spark, sf_dir).withColumn("task_slug", F.concat(F.lit("task-"), F.col("_seq") % 12))
+    return reconcile.run_summary(rows).withColumn("slugs", F.array_join("slugs", ","))

@@ -10,10 +10,10 @@ from gleanery.session import table
 
 
 def _tree(spark, sf_dir):
-    """region -> nation -> suppliers of even keys, as a vocabulary tree."""
+    """region -> nation -> supplier, as a vocabulary tree."""
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("label"), F.col("r_regionkey").cast("int").alias("ord"))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("label"), F.col("n_nationkey").cast("int").alias("ord"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(
+    s = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.concat(F.lit("n"), "s_nationkey").alias("parent_id"), F.col("s_name").alias("label"), F.col("s_suppkey").cast("int").alias("ord")
     )
     return r.unionByName(n).unionByName(s).withColumn("thesaurus_id", F.lit("geo"))
@@ -22,7 +22,7 @@ def _tree(spark, sf_dir):
 _TREE = """tree AS (
   SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id, r_name AS label, CAST(r_regionkey AS INTEGER) AS ord FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey FROM nation
-  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"""
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name, s_suppkey FROM supplier)"""
 
 
 @query(f"WITH {_TREE} SELECT 'geo' AS thesaurus_id, node_id, label FROM tree WHERE node_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
@@ -40,11 +40,7 @@ def thesaurus_parents(spark, sf_dir):
 SELECT node_id, label, CAST(len(path) AS INTEGER) AS depth, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS position FROM walk"""
 )
 def thesaurus_flatten(spark, sf_dir):
-    from pyspark.sql import Window
-
-    paths = vocab.tree_paths(_tree(spark, sf_dir))
-    order = F.row_number().over(Window.orderBy(F.transform("path", lambda p: p["ord"])))
-    return paths.select("node_id", "label", F.size("path").alias("depth"), order.alias("position"))
+    return vocab.numbered(vocab.tree_paths(_tree(spark, sf_dir))).select("node_id", "label", "depth", "position")
 
 
 def _values(spark, sf_dir):
@@ -73,7 +69,7 @@ def vocab_missing(spark, sf_dir):
     return vocab.missing_values(_values(spark, sf_dir), _vocabulary(spark, sf_dir))
 
 
-_SUGGEST = """sug AS (SELECT trim(p_name) AS crawl_value, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'no such label' ELSE NULL END AS suggested, p_partkey % 5 = 0 AS needs_review, p_partkey AS ord FROM part WHERE p_partkey % 2 = 1)"""
+_SUGGEST = """sug AS (SELECT trim(p_name) AS crawl_value, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'no such label' ELSE NULL END AS suggested, p_partkey % 5 = 0 AS needs_review, p_partkey AS ord FROM part)"""
 
 
 @query(
@@ -85,16 +81,16 @@ FROM vals v LEFT JOIN first f ON v.crawl_value = f.crawl_value LEFT JOIN voc c O
 def vocab_suggestion_validate(spark, sf_dir):
     i = F.col("p_partkey")
     proposal = F.when(i % 3 == 0, F.col("p_name")).when(i % 3 == 1, "no such label")
-    rows = table(spark, sf_dir, "part").where("p_partkey % 2 = 1").select(F.col("p_name").alias("crawl_value"), proposal.alias("suggested"), (i % 5 == 0).alias("needs_review"), i.alias("ord"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("crawl_value"), proposal.alias("suggested"), (i % 5 == 0).alias("needs_review"), i.alias("ord"))
     return vocab.validate_suggestions(rows, _values(spark, sf_dir), _vocabulary(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_VALUES}, t AS (SELECT p_brand AS property, trim(unnest(string_split(p_name || ', ' || upper(p_type) || ',', ','))) AS token FROM part WHERE p_partkey < 200)
+    f"""WITH {_VALUES}, t AS (SELECT p_brand AS property, trim(unnest(string_split(p_name || ', ' || upper(p_type) || ',', ','))) AS token FROM part)
 SELECT property, token, CASE WHEN lower(token) IN (SELECT key FROM keys) THEN 'found' ELSE 'MISSING' END AS status FROM t WHERE token <> ''"""
 )
 def default_token_audit(spark, sf_dir):
-    defaults = table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_brand").alias("property"), F.concat("p_name", F.lit(", "), F.upper("p_type"), F.lit(",")).alias("default_value"))
+    defaults = table(spark, sf_dir, "part").select(F.col("p_brand").alias("property"), F.concat("p_name", F.lit(", "), F.upper("p_type"), F.lit(",")).alias("default_value"))
     return vocab.default_audit(defaults, _vocabulary(spark, sf_dir))
 
 

@@ -21,6 +21,21 @@ def build_session(master: str = "local[*]", app: str = "gleanery", **conf: str)
     return builder.getOrCreate()
 
 
+#: Only for local sessions without a folder of their own.
+FALLBACK_DIR = "/tmp/checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the folder of spark.checkpoint.dir; a cluster must name one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or FALLBACK_DIR)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the path goes to Spark's reader only, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
@@ -58,7 +58,8 @@ def read_vocabulary_files(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), F.col("value"))
     quoted = r"""["']?(.*?)["']?"""
     named = lines.withColumn("property_name", F.regexp_extract("value", rf"(?m)^property_name:\s*{quoted}\s*$", 1)).where("property_name <> ''")
-    body = named.withColumn("body", F.regexp_extract("value", r"(?ms)^mapping:[^\n]*\n((?:[ \t]+[^\n]*(?:\n|\z))*)", 1))
+    after = F.split("value", r"(?m)^mapping:[^\n]*\n", 2)
+    body = named.withColumn("body", F.split(F.get(after, F.lit(1)), r"(?m)^(?=\S)", 2)[0])
     entry = rf"^\s+{quoted}\s*:\s*{quoted}\s*$"
     rows = body.select("file", "property_name", F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").rlike(entry))
     return rows.select(
@@ -69,6 +70,17 @@ def read_vocabulary_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(property_name, crawl_value, canonical_value, file_ord) of what ``write_vocabulary`` wrote; empty where there is none."""
+    rows = read_or_empty(spark, path, "crawl_value string, canonical_value string, property_name string", "json")
+    return rows.select("property_name", "crawl_value", "canonical_value", F.input_file_name().alias("file_ord"))
+
+
+def read_scenarios(spark: SparkSession, path: str, schema: str, difficulty: str = "difficulty") -> DataFrame:
+    """Whole-file JSON documents by rising difficulty, then file name."""
+    return read_documents(spark, path, schema).orderBy(difficulty, "file")
+
+
 def latest_scripts(runs: DataFrame, per_run: int = 6) -> DataFrame:
     """The last few scripts of each run; descriptions fall back from task split to state to file."""
     from pyspark.sql import Window
@@ -84,18 +96,22 @@ class _Language(InputPartition):
 
 
 class _EntityReader(DataSourceReader):
-    """One partition a language; pages until a short one. Equality filters go to the fetch function."""
+    """One partition a language; pages until a short one.
+
+    Equality and IN on a column go to the fetch function as lists of values, and are tested again on what it gives.
+    """
 
     def __init__(self, fetch, languages: list[str], page_size: int):
         self.fetch, self.languages, self.page_size = fetch, languages, page_size
-        self.wanted: dict[str, str] = {}
+        self.wanted: dict[str, list] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("template",):
-                self.wanted["template"] = f.value
-            else:
-                yield f
+            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+                self.wanted[f.attribute[0]] = [f.value]
+            elif isinstance(f, In) and len(f.attribute) == 1:
+                self.wanted[f.attribute[0]] = list(f.value)
+            yield f
 
     def partitions(self) -> list[InputPartition]:
         return [_Language(x) for x in self.languages]

@@ -21,9 +21,9 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_vocabulary(entries: DataFrame, path: str) -> None:
-    """One folder a property, entries in order of the crawled value."""
+    """One folder a property, entries in order of the crawled value; nulls are written out, so all columns come back."""
     rows = entries.repartitionByRange("property_name", "crawl_value").sortWithinPartitions("property_name", "crawl_value")
-    rows.write.mode("overwrite").partitionBy("property_name").json(path)
+    rows.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("property_name").json(path)
 
 
 def dry_run(plan: DataFrame) -> DataFrame:

@@ -129,3 +129,8 @@ def test_json_payloads(spark):
     assert one(spark, lambda c: V.sorted_keys(V.decode_object(c)), '{"b": 1, "a": 2}') == "a, b"
     assert one(spark, V.list_items, '["x", "y"]') == ["x", "y"] and one(spark, V.list_items, "z") == ["z"]
     assert one(spark, lambda c: V.fingerprint(V.decode_object(c)), '{"b": 1, "a": 2}') == hashlib.sha256(b'{"a":"2","b":"1"}').hexdigest()
+
+
+def test_fold_is_full_case_folding(spark):
+    texts = ["Straße", "ΣΊΣΥΦΟΣ", "σίσυφος", "ﬁne ﬀ", "İstanbul", "ŉ", "Ꭰ ꭰ", "µ", "x" * 50] + [chr(a) + chr(a + 1) for a in range(0x41, 0x24F, 2)]
+    assert many(spark, T.fold, texts) == [t.strip().casefold() for t in texts]

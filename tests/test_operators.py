@@ -212,7 +212,7 @@ def test_history_details(spark):
 def test_sql_gate(spark):
     spark.range(300).createOrReplaceTempView("gate_numbers")
     gate = sqlgate.Gate(spark, budget=2)
-    for bad in ("WITH x AS (SELECT 1) SELECT * FROM x", "SELECT 1; SELECT 2", "DROP TABLE x", "SELECT ';'", "SELECT nope FROM gate_numbers"):
+    for bad in ("WITH x AS (SELECT 1) SELECT * FROM x", "SELECT 1; SELECT 2", "DROP TABLE x", "SELECT nope FROM gate_numbers"):
         assert gate.ask(bad).startswith("error")
     assert gate.ask("select id from gate_numbers;").endswith("201 rows (more rows were cut)")
     assert "1 rows" in gate.ask(" SELECT count(*) FROM gate_numbers")
@@ -256,3 +256,74 @@ def test_paged_entities(spark):
     readers.register_entities(spark, "paged_entities_test", fetch, ["en", "fr"], 3)
     df = spark.read.format("paged_entities_test").load()
     assert df.groupBy("language").count().orderBy("language").collect() == [("en", 7), ("fr", 7)]
+
+
+def test_trees_of_any_depth_and_cycles(spark):
+    schema = "thesaurus_id string, node_id string, parent_id string, label string, ord int"
+    chain = [("t", str(i), str(i - 1) if i else None, f"L{i}", 0) for i in range(40)] + [("t", "r", None, "R", 1), ("t", "lost", "nobody", "x", 0)]
+    paths = vocab.tree_paths(spark.createDataFrame(chain, schema))
+    got = {r.label: (r.depth, r.position) for r in vocab.numbered(paths).collect()}
+    assert got == {**{f"L{i}": (i + 1, i + 1) for i in range(40)}, "R": (1, 41)}
+    assert vocab.find_label(paths, "L7").first().node_id == "7"
+    assert {r.leaf for r in vocab.first_leaves(paths).collect()} == {"L39", "R"}
+    twice = [("t", "a", None, "A", 0), ("t", "b", "a", "B", 0), ("t", "a", "b", "A", 0)]
+    with pytest.raises(ValueError):
+        vocab.tree_paths(spark.createDataFrame(twice, schema))
+
+
+def test_default_filling(spark):
+    nodes = [("v", "1", None, "Europe", 0), ("v", "2", "1", "Spain", 1), ("v", "3", "1", "France", 0), ("v", "4", None, "Other", 1)]
+    paths = vocab.tree_paths(spark.createDataFrame(nodes, "thesaurus_id string, node_id string, parent_id string, label string, ord int"))
+    props = [("name", "title", True, None), ("a", "select", True, "v"), ("b", "select", False, "v"), ("c", "multiselect", True, "v"), ("d", "text", True, None), ("e", "select", True, "v")]
+    mapped = spark.createDataFrame([("c", None, "Europe", ""), ("e", "x", "Spain", "kept"), ("d", None, "Europe", None)], "name string, source string, default_value string, notes string")
+    out = mapping.fill_defaults(mapped, spark.createDataFrame(props, "name string, type string, required boolean, thesaurus_id string"), paths)
+    missing = "no scraped field for this property"
+    assert {(r.name, r.source, r.default_value, r.notes) for r in out.collect()} == {
+        ("a", None, "France", missing), ("b", None, None, missing), ("c", None, "France", "default moved from group Europe to leaf France"), ("d", None, "Europe", None), ("e", "x", "Spain", "kept"),
+    }
+
+
+def test_run_check_without_a_total(spark):
+    lines = spark.createDataFrame([(0, "DISCOVERY target=a found=0 saved=0")], "line_no int, line string")
+    none, one = spark.createDataFrame([], "url string"), spark.createDataFrame([("u",)], "url string")
+    assert [(r.label, r.failure) for r in coverage.run_check(lines, one).collect()] == [(None, "total_missing")]
+    more = lines.union(spark.createDataFrame([(1, "DISCOVERY total_saved=3"), (2, "DISCOVERY total_saved=x")], lines.schema))
+    assert {(r.label, r.failure) for r in coverage.run_check(more, none).collect()} == {(None, "nothing_stored"), ("a", "found_below_minimum")}
+
+
+def test_whole_plan_rows(spark):
+    rows = [("s1", "en", "k1", "u", "T", {"a": "1"}, {"r": "1"}), ("s2", "en", "k2", "u", "T", {}, {"r": "2"}), ("s3", "en", "k3", "", "T", {}, {"r": "3"})]
+    df = spark.createDataFrame(rows, "source_url string, language string, key string, file_url string, title string, metadata map<string,string>, registry_metadata map<string,string>")
+    index = lambda *r: spark.createDataFrame(list(r), "key string, shared_id string")
+    got = {r.source_url: (r.action, r.registry_metadata, r.primary_shared_id, r.mapping_sha256) for r in plan.plan_rows(df, index(("k2", "p2")), index(("k9", "r9")), "abc").collect()}
+    assert got == {"s1": ("CREATE", {"r": "1"}, None, "abc"), "s2": ("CREATE_REGISTRY_ONLY", {"r": "2"}, "p2", "abc"), "s3": ("SKIP", None, None, "abc")}
+    sent = plan.registry_enrich(spark.createDataFrame([("p", b"x"), (None, b"y")], "primary_shared_id string, content binary")).collect()
+    assert sent[0].registry_link[0].value == "p" and sent[1].registry_link is None
+
+
+def test_vocabulary_round_trip(spark, tmp_path):
+    rows = [("country", "es", "Spain"), ("country", "xx", None), ("kind", "a: b", 'q"uote')]
+    entries = spark.createDataFrame(rows, "property_name string, crawl_value string, canonical_value string")
+    writers.write_vocabulary(entries, str(tmp_path / "v"))
+    assert {(r.property_name, r.crawl_value, r.canonical_value) for r in readers.read_vocabulary(spark, str(tmp_path / "v")).collect()} == set(rows)
+    assert readers.read_vocabulary(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "1.yaml").write_text("property_name: k\nmapping:\n" + "".join(f"  a{i}: b\n" for i in range(30000)) + "end: z\n")
+    assert readers.read_vocabulary_files(spark, str(tmp_path / "y")).count() == 30000
+
+
+def test_entities_by_pushed_values(spark):
+    def fetch(language, start, size, wanted):
+        rows = [(f"t{i % 3}", f"{language}{i}", "{}") for i in range(9)]
+        return [r for r in rows if r[0] in wanted.get("template", [r[0]])][start : start + size]
+
+    readers.register_entities(spark, "entities_in_test", fetch, ["en"], 2)
+    df = spark.read.format("entities_in_test").load()
+    assert df.where(F.col("template").isin("t0", "t2")).count() == 6 and df.where("template = 't1'").count() == 3
+
+
+def test_gate_refuses_what_acts(spark):
+    gate = sqlgate.Gate(spark)
+    for bad in ("INSERT INTO x SELECT 1", "SELECT 1; DROP TABLE x", "FROM x INSERT INTO y SELECT 1", "select", ""):
+        assert gate.ask(bad).startswith("error")
+    assert "| " in gate.ask("SELECT json_extract('{\"a\": \"x|y\"}', '$.a') AS v, NULL AS n") and gate.left == sqlgate.QUERIES_A_TURN - 1
