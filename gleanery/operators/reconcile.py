@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.urls import expected_filename
 from gleanery.functions.values import get_or_blank
 from gleanery.operators.store import split_pending
+from gleanery.session import checkpointed
 
 SMALL_BYTES = 1024
 ITEMS = 20
@@ -136,10 +139,11 @@ def duplicate_urls(records: DataFrame) -> DataFrame:
 def corpus_findings(records: DataFrame, files: DataFrame, links: DataFrame) -> DataFrame:
     """(ord, kind, n, items): one row for each kind of finding that occurs, with its first 20 items.
 
-    Items are cut to the first 20 by name before they are gathered, so no group grows with the corpus.
+    The items of all kinds are worked out once. They are cut to the first 20 of a kind by name before they are gathered, so
+    no group grows with the corpus.
     """
     claimed = records.select(expected_filename(get_or_blank(F.col("data"), "core_file_url")).alias("basename")).where("basename is not null")
-    unhandled, stale = split_pending(links, records)
+    unhandled, stale = split_pending(checkpointed(links), records)
     kinds = [
         ("duplicate_pdf_url", duplicate_urls(records).select(F.col("url").alias("item"))),
         ("orphan_file", orphans(files, claimed).select(F.col("basename").alias("item"))),
@@ -148,10 +152,8 @@ def corpus_findings(records: DataFrame, files: DataFrame, links: DataFrame) -> D
         ("discovered_unprocessed", unhandled.select(F.col("url").alias("item"))),
         ("stale_link_status", stale.select(F.col("url").alias("item"))),
     ]
-    rows = None
-    for i, (kind, items) in enumerate(kinds):
-        counted = items.agg(F.count("*").alias("n"))
-        first = items.orderBy("item").limit(ITEMS).agg(F.array_sort(F.collect_list("item")).alias("items"))
-        one = counted.join(first).select(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), "n", "items")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.where("n > 0")
+    named = [items.select(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), "item") for i, (kind, items) in enumerate(kinds)]
+    found = checkpointed(reduce(DataFrame.unionByName, named))
+    nth = F.row_number().over(Window.partitionBy("ord").orderBy("item"))
+    first = found.withColumn("nth", nth).where(F.col("nth") <= ITEMS).groupBy("ord").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return found.groupBy("ord", "kind").agg(F.count("*").alias("n")).join(first, "ord").select("ord", "kind", "n", "items")

@@ -52,7 +52,7 @@ def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: dl: download records, one for each event; f: their files.
 DL_SQL = """dl AS (
   SELECT 'https://h.example/d/' || event_id AS source_url, event_id AS _seq,
-         CASE WHEN event_id % 11 = 0 THEN '' ELSE 'https://h.example/f/' || (event_id % 7000) || CASE event_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.doc' ELSE '' END END AS file_url,
+         CASE WHEN event_id % 11 = 0 THEN '' ELSE 'https://h.example/f/' || (event_id % 900) || CASE event_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.doc' ELSE '' END END AS file_url,
          CASE event_type WHEN 'click' THEN 'downloaded' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'no_files' WHEN 'view' THEN 'load_failed' ELSE '' END AS status,
          CASE WHEN value > 20 THEN 'f' || json_extract_string(props, '$.k') ELSE '' END AS filename
   FROM events)"""
@@ -62,7 +62,7 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_url, _seq, data) of download records."""
     e = table(spark, sf_dir, "events")
     ext = F.when(F.col("event_id") % 3 == 0, ".pdf").when(F.col("event_id") % 3 == 1, ".doc").otherwise("")
-    url = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("https://h.example/f/"), F.col("event_id") % 7000, ext))
+    url = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("https://h.example/f/"), F.col("event_id") % 900, ext))
     kind = F.col("event_type")
     status = F.when(kind == "click", "downloaded").when(kind == "error", "failed").when(kind == "purchase", "no_files").when(kind == "view", "load_failed").otherwise("")
     name = F.when(F.col("value") > 20, F.concat(F.lit("f"), F.get_json_object("props", "$.k"))).otherwise("")
