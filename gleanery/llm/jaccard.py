@@ -12,7 +12,8 @@ Documents with one and the same shingle set form a class and go on as one node.
    copies is the least edited, and the one of the greatest name. Verified links join nodes into groups.
    That takes a number of comparisons linear in the nodes, however large a group of copies is.
 3. Only pairs in different groups are left. For each prefix shingle the matrix tells in which groups
-   it occurs; a node of the smaller group queries the larger one. For groups of several nodes the
+   it occurs; a node of the smaller group queries the larger one. A shingle of very many nodes is split: its groups are dealt
+   into parts, and each part meets the nodes in a task of its own. For groups of several nodes the
    union of all their shingles is stored, the overlap of the query with it is counted, and the
    group is opened only for members of a size that this overlap allows: none can overlap more.
 4. Opened members are compared one by one, and the new links complete the components.
@@ -47,6 +48,8 @@ FREQUENT = 24
 #: The most frequent ones are known to all tasks: 8 bytes each, 2 MB in all.
 MOST_FREQUENT = 1 << 18
 ROWS_A_PART = 1 << 20
+#: A shingle with more nodes than this meets its groups in several parts.
+HOT_NODES = 1 << 12
 BUFFER = 1 << 20
 
 
@@ -305,8 +308,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     matrix = labelled.groupBy("token", "group", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("most_left"))
     other = matrix.select("token", F.col("group").alias("to"), F.col("size").alias("to_size"), "least", "most", "most_left")
     smallest = F.greatest(F.col("least"), percent * F.col("n") / 100)
+    hot = labelled.groupBy("token").agg(F.count("*").alias("parts")).where(F.col("parts") > HOT_NODES)
+    hot = stored(hot.select("token", F.ceil(F.col("parts") / HOT_NODES).cast("int").alias("parts")), "jaccard-hot")
+    parts = F.coalesce("parts", F.lit(1))
+    other = other.join(small(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("to"), parts).cast("int")).drop("parts")
+    asking = labelled.join(small(hot), "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     asks = (
-        labelled.join(other, "token")
+        asking.join(other, ["token", "part"])
         .where("size < to_size or (size = to_size and group < to)")
         .where((percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n")))
         .where(join.may_overlap("left", "n", smallest) & join.may_overlap("most_left", "n", smallest))

@@ -135,6 +135,7 @@ def test_components_match_brute_force(spark, monkeypatch):
         docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id bigint, text string, node string")
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
         monkeypatch.setattr(jaccard, "ROWS_A_PART", 500)
+        monkeypatch.setattr(jaccard, "HOT_NODES", 3)
         monkeypatch.setattr(jaccard.frequent_shingles, "__defaults__", (frequent, *jaccard.frequent_shingles.__defaults__[1:]))
         assert result(jaccard.jaccard_components(docs, k, percent)) == brute_components_by_id(rows, k, percent)
 
@@ -154,6 +155,25 @@ def test_connected_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_pipeline_decides_by_id_and_text(spark, sf_dir):
+    copy, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    item = table(spark, sf_dir, "benchmark").first().text
+    rows = [(5, copy, "en", "s", 1), (None, copy, "en", "s", 1), (None, copy + " x", "en", "s", 1), (9, copy, "en", "s", 1), (9, other, "en", "s", 1), (9, other, "en", "a", 1), (None, None, "en", "s", 1), (7, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    got = {(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert got == {(5, copy, "s"), (9, other, "a"), (None, None, "s"), (7, "", "s")}
+    rows = [(None, f"Intro. {item}", "en", "s", 1), (3, item, "en", "s", 1), (3, other, "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.benchmark(spark, docs, sf_dir).collect()} == {(3, other), (None, None)}
+
+
+def test_pipeline_of_nothing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     extra = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "123 456", None, "s", 7)], documents.schema)

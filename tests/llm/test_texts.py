@@ -360,6 +360,48 @@ def test_language_id(spark, sf_dir):
     assert not any(r.rejected for r in got)
 
 
+def test_language_id_against_brute_force(spark, sf_dir):
+    """Each text's hashed grams, one by one in plain numbers, against the model's centroids."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + ["x", "ab cd", "1 2", "", None, "É\U00010428 ß", "aa  b-b"]
+    low = lambda c: ord(c.lower()[0]) if c.isalpha() else 32
+
+    def grams(text):
+        s = [32]
+        for c in text or "":
+            if not (low(c) == 32 == s[-1]):
+                s.append(low(c))
+        s += [32]
+        m = 1 << 32
+        h1 = [c * 0x9E3779B1 % m for c in s]
+        h2 = [((a ^ 0x5BD1E995) * 0x85EBCA6B + b) % m for a, b in zip(h1, h1[1:])]
+        h3 = [((a ^ 0x27D4EB2F) * 0xC2B2AE35 + b) % m for a, b in zip(h2, h1[2:])]
+        out = Counter()
+        for h in (*h1, *h2, *h3):
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % m
+            out[(h ^ (h >> 12)) % lang_id.BUCKETS] += 1
+        return out
+
+    got = {r.doc_id: r for r in lang_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        w = {b: math.log1p(n) * float(model.idf[b]) for b, n in grams(text).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        cosines = [sum(x * float(c[b]) for b, x in w.items()) / norm for c in model.centroids]
+        assert got[i].score == pytest.approx(max(cosines), abs=1e-4)
+        assert max(c for c, name in zip(cosines, model.langs, strict=True) if name == got[i].lang_pred) == pytest.approx(max(cosines), abs=1e-5)
+
+
+def test_language_id_ties_and_repeats(spark):
+    rows = [(1, "same words here", "b"), (2, "same words here", "a"), (3, "same words here", None), (3, "same words here", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert [r.lang_pred for r in lang_id.predict(docs, lang_id.fit(docs), ["doc_id"]).collect()] == ["a"] * 4
+
+
 def test_language_id_rejects_gibberish_and_unseen_languages(spark):
     import random
 
