@@ -165,6 +165,47 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan_licences(docs.limit(0)).count() == 0
 
 
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join("\n".join(f"{mark}{line}".rstrip() for line in textwrap.wrap(p, width)) if p else mark.rstrip() for p in text.split("\n"))
+
+
+def test_usual_licence_forms(spark):
+    text = {name: "\n\n".join(paragraphs) for name, paragraphs, _ in licenses.TEXTS}
+    header = {name: t for name, t in reversed(licenses.HEADERS)}
+    prose = "Some words about a program and what it does for those who use it every day. "
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2019 Some One\n\n" + wrapped(text["MIT"], 70)),
+        ("BSD-3-Clause", "Copyright (c) 2015, Some One\nAll rights reserved.\n\n" + wrapped(text["BSD-3-Clause"], 66)),
+        ("BSD-2-Clause", "Copyright (c) 2015, Some One\nAll rights reserved.\n\n" + wrapped(text["BSD-2-Clause"], 66)),
+        ("ISC", wrapped(text["ISC"], 60, " * ")),
+        ("Zlib", wrapped(text["Zlib"], 60)),
+        ("MIT", prose * 200 + "\n\n" + wrapped(text["MIT"], 70) + "\n\n" + prose * 200),
+        ("GPL-3.0", "/*\n" + wrapped(header["GPL-3.0"], 60, " * ") + "\n */\nint main() { return 0; }"),
+        ("GPL-2.0", wrapped(header["GPL-2.0"], 50, "# ") + "\n\nimport os"),
+        ("AGPL-3.0", wrapped(header["AGPL-3.0"], 72, "// ")),
+        ("LGPL-2.1", wrapped(header["LGPL-2.1"], 72, "-- ")),
+        ("MPL-2.0", wrapped(header["MPL-2.0"], 72, "; ")),
+        ("Apache-2.0", "# Copyright 2020 Some One\n#\n" + wrapped(header["Apache-2.0"], 55, "# ")),
+        ("EPL-2.0", wrapped(header["EPL-2.0"], 64, " * ")),
+        ("BSD-3-Clause", "// Copyright 2011 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation"),
+        ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n\n" + prose * 9),
+        ("MIT", "// SPDX-License-Identifier: MIT\n" + prose * 30),
+        ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+        ("MIT", prose + "\n\n## License\n\nThis project is licensed under the MIT License - see the LICENSE file for details\n"),
+        ("Unlicense", "This is free and unencumbered software released into the\npublic domain.\n\n" + prose * 3),
+        ("Proprietary", "Copyright 2020 Some One. All rights reserved."),
+        (None, "The license of a driver and the copyright of songs are in the public domain of talk. " + prose),
+        (None, "SPDX-License-Identifier: OpenSSL-standalone-exception"),
+        (None, prose * 3000 + "copyright " + " " * 200_000 + "x"),
+    ]
+    docs = spark.createDataFrame([(i, f"d{i}/x", t, "k", "l") for i, (_, t) in enumerate(cases)], "doc_id bigint, path string, text string, k1 string, licence string")
+    got = {r.doc_id: r.licence for r in licenses.scan_licences(docs).collect()}
+    assert {i: got[i] for i in range(len(cases))} == {i: name for i, (name, _) in enumerate(cases)}
+
+
 def test_licence_query_finds_the_notices(spark, sf_dir):
     notice = re.compile(r"(?im)^(?:licensed under|released under|this work is licensed|all rights reserved)")
     got = {r.doc_id: r for r in licenses.op2_license_scan(spark, sf_dir).collect()}
