@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import map_arrow, small, stored
 from gleanery.llm.components import connected
-from gleanery.llm.words import WordHashes, mix, shingles, words
+from gleanery.llm.words import distinct, mix, shingle_sets
 from gleanery.session import table
 
 #: From which count on shingles are frequent.
@@ -48,6 +48,8 @@ FREQUENT = 24
 #: The most frequent ones are known to all tasks: 8 bytes each, 2 MB in all.
 MOST_FREQUENT = 1 << 18
 ROWS_A_PART = 1 << 20
+#: Beyond so many parts tasks take several, one after the other.
+MOST_TASKS = 1 << 15
 #: A shingle with more nodes than this meets its groups in several parts.
 HOT_NODES = 1 << 12
 BUFFER = 1 << 20
@@ -62,9 +64,8 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     """(id, ref, n, node) of each document (id, ref, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sets = [shingles(known.array(words(t.as_py())), k) for t in batch.column(2)]
+            sets = shingle_sets(batch.column(2).to_pylist(), k)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["id", "ref", "n", "node"]
             )
@@ -82,23 +83,43 @@ def _parts_of(h: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
 
 
+def in_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with each part whole in one partition and its rows together, so tasks hold one part at a time however parts are dealt."""
+    return rows.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
+
+
+def by_part(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[tuple[int, list[tuple]]]:
+    """(part, its cells) of rows (part, one binary column a kind) that come sorted by part; negative parts are given cell by cell."""
+    last, cells = None, []
+    for batch in batches:
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if cells and (part != last or part < 0):
+                yield last, cells
+                cells = []
+            last = part
+            cells.append(tuple(np.frombuffer(c, kind) for c, kind in zip(row, kinds, strict=True)))
+    if cells:
+        yield last, cells
+
+
 def frequent_shingles(docs: DataFrame, k: int, total: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
     """The most frequent shingles, sorted; a bounded number. All shingles of all documents are counted."""
     parts = int(total / ROWS_A_PART) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            both = np.concatenate(held)
+            keys = distinct(both)
+            n = np.diff(np.append(np.searchsorted(both, keys), len(both)))
             at = _parts_of(keys, parts)
             rows = [(p, keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
             part, kb, nb = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kb, pa.binary()), pa.array(nb, pa.binary())], names=["part", "keys", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                s = shingles(known.array(words(t.as_py())), k)
+            for s in shingle_sets(batch.column(0).to_pylist(), k):
                 if len(s):
                     held.append(s)
                     size += len(s)
@@ -109,18 +130,14 @@ def frequent_shingles(docs: DataFrame, k: int, total: int, least: int = FREQUENT
             yield flush()
 
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums.setdefault(part, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(n, np.uint32)))
-        for cells in sums.values():
+        for _, cells in by_part(batches, [np.uint64, np.uint32]):
             keys, where = np.unique(np.concatenate([c[0] for c in cells]), return_inverse=True)
             n = np.bincount(where, np.concatenate([c[1] for c in cells])).astype(np.int64)
             keep = n >= least
             yield pa.RecordBatch.from_arrays([_as_long(keys[keep]), pa.array(n[keep])], names=["h", "n"])
 
     counted = map_arrow(docs, ["text"], count, "part int, keys binary, n binary")
-    rows = counted.repartition(parts, "part").mapInArrow(total_up, "h bigint, n bigint").orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    rows = in_parts(counted, parts).mapInArrow(total_up, "h bigint, n bigint").orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
     return np.sort(rows.column(0).to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
 
@@ -139,7 +156,7 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
     names, kinds = ["token", "node", "n", "pos", "rare"], [np.int64, np.int64, np.int32, np.int32, np.int32]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent = WordHashes(), known_frequent.value
+        frequent = known_frequent.value
         held: list[tuple] = []
         size, seen = 0, set()
 
@@ -155,8 +172,7 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", *names])
 
         for batch in batches:
-            for t in batch.column(0):
-                s = shingles(known.array(words(t.as_py())), k)
+            for s in shingle_sets(batch.column(0).to_pylist(), k):
                 if not len(s):
                     continue
                 node = node_of(s)
@@ -179,15 +195,11 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for part, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                arrays = tuple(np.frombuffer(c, kind) for c, kind in zip(cells, kinds, strict=True))
-                if part < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
-                else:
-                    groups.setdefault(part, []).append(arrays)
-        for cells in groups.values():
+        for part, cells in by_part(batches, kinds):
+            if part < 0:
+                for cell in cells:
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in cell], names=names)
+                continue
             columns = [np.concatenate(c) for c in zip(*cells, strict=True)]
             by = np.lexsort((columns[1], columns[0]))
             columns = [c[by] for c in columns]
@@ -199,7 +211,7 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int, total: int, frequent:
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], names=names)
 
     rows = map_arrow(docs, ["text"], emit, "part int, " + ", ".join(f"{c} binary" for c in names))
-    return rows.repartition(parts, "part").mapInArrow(meet, "token bigint, node bigint, n int, pos int, rare int")
+    return in_parts(rows, parts).mapInArrow(meet, "token bigint, node bigint, n int, pos int, rare int")
 
 
 class Join:
@@ -238,19 +250,18 @@ class Join:
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
-            last, last_set = None, None
             for batch in batches:
                 keep = []
-                for i in range(batch.num_rows):
-                    b = batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
-                    if b != last:
-                        last, last_set = b, shingles(known.array(words(b[1])), k)
-                    mine = shingles(known.array(words(batch.column(2)[i].as_py())), k)
-                    if node_of(last_set) != b[0] or node_of(mine) != batch.column(0)[i].as_py():
+                # Pairs with the same b lie together.
+                others: dict[tuple, int] = {}
+                which = [others.setdefault(other, len(others)) for other in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                of_b = [(node, s) for (node, _), s in zip(others, shingle_sets([t for _, t in others], k), strict=True)]
+                of_a = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2).to_pylist(), k), strict=True)
+                for i, ((a, mine), (b, theirs)) in enumerate(zip(of_a, map(of_b.__getitem__, which), strict=True)):
+                    if node_of(theirs) != b or node_of(mine) != a:
                         continue
-                    both = len(np.intersect1d(mine, last_set, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(last_set) - both):
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(theirs) - both):
                         keep.append(i)
                 yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
@@ -262,12 +273,11 @@ class Join:
         laid = self.texts(members.select("node").distinct()).join(members, "node").select(label, "node", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
             for batch in batches:
-                for name, node, t in zip(*batch.columns, strict=True):
-                    s = shingles(known.array(words(t.as_py())), k)
-                    if node_of(s) == node.as_py():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), name.as_py())), _as_long(s)], names=[label, "token"])
+                names, nodes, texts = (c.to_pylist() for c in batch.columns)
+                for name, node, s in zip(names, nodes, shingle_sets(texts, k), strict=True):
+                    if node_of(s) == node:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), name)), _as_long(s)], names=[label, "token"])
 
         return map_arrow(laid.withColumnRenamed("node", "of"), [label, "of", "text"], run, f"{label} bigint, token bigint").distinct()
 

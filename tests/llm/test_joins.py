@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from gleanery.llm import ann, jaccard
+from gleanery.llm import ann, jaccard, words
 from gleanery.llm.components import connected
 from gleanery.session import table
 
@@ -193,3 +193,24 @@ def test_pipeline_stages(spark, sf_dir):
     leaked = {r.doc_id for r in corpus_pipeline.decontaminate.find_leaks(seen[3], table(spark, sf_dir, "benchmark")).collect()}
     assert {r.doc_id for r in seen[4].collect()} == {r.doc_id for r in seen[3].collect()} - leaked
     assert {r.doc_id for r in seen[5].collect()} == {r.doc_id for r in seen[4].collect()}
+
+
+def test_shingle_sets_of_batches():
+    texts = ["", "a", None, "a b", "A b\x0bc d e", "é x y\x00 z w", "w" * 3000 + " " + "W" * 3000 + " b c d", " \n ", "eightlet eightletters nine", "a b c d e a b c d e"]
+    brute = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        brute.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    names = {}
+    for sets in (words.shingle_sets(texts, 4), [words.shingle_sets([t], 4)[0] for t in texts]):
+        assert [len(s) for s in sets] == [len(b) for b in brute]
+        assert all((np.diff(s.astype(float)) > 0).all() for s in sets)
+        for s, b in zip(sets, brute, strict=True):
+            assert names.setdefault(tuple(s.tolist()), b) == b
+    assert len(names) == len({frozenset(b) for b in brute}) and words.shingle_sets([], 4) == []
+
+
+def test_parts_come_one_by_one():
+    cell = np.arange(3, dtype=np.uint64).tobytes()
+    batches = [jaccard.pa.RecordBatch.from_pydict({"part": p, "keys": [cell] * len(p)}) for p in ([-2, -2, -1], [0, 0], [0, 3])]
+    assert [(part, len(cells)) for part, cells in jaccard.by_part(iter(batches), [np.uint64])] == [(-2, 1), (-2, 1), (-1, 1), (0, 3), (3, 1)]
