@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,7 @@ def comma_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda t: t != "")
 
 
+@cache
 def _folds() -> tuple[dict[str, str], dict[str, str]]:
     """What full case folding makes of lower-case characters that it changes: to one character, and to several."""
     lower = {c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if c.lower() == c and c.casefold() != c}
@@ -69,14 +72,17 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
 def fold(text: Column) -> Column:
     """Key for comparison without regard to case: full case folding, stripped.
 
-    Lower case first; only texts with a character that folding spells otherwise go through the replacements.
+    Lower case is all that a text of ASCII needs. Only texts with a character that folding spells otherwise go through the
+    replacements, and of those with several letters only through such as they hold.
     """
     one, more = _folds()
     lower = F.lower(strip(text))
     single = F.translate(lower, "".join(one), "".join(one.values()))
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in more.items()))
+    # Two constants that are split, as a literal a pair would take longer to plan than to run.
+    words = lambda texts: F.split(F.lit(" ".join(texts)), " ")
+    pairs = F.filter(F.arrays_zip(words(more).alias("a"), words(more.values()).alias("b")), lambda p: F.contains(lower, p["a"]))
     whole = F.aggregate(pairs, single, lambda s, p: F.replace(s, p["a"], p["b"]))
-    return F.when(lower.rlike("[" + "".join(one) + "".join(more) + "]"), whole).otherwise(lower)
+    return F.when(F.octet_length(text) == F.length(text), lower).when(lower.rlike("[" + "".join(one) + "".join(more) + "]"), whole).otherwise(lower)
 
 
 def safe_filename(text: Column) -> Column:

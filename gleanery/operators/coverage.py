@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import contains_needle
 from gleanery.functions.urls import expected_filename, normalized_url
 from gleanery.functions.values import get_or_blank
+from gleanery.operators.affix import least_partners
+from gleanery.session import checkpointed
 
+#: Shorter URLs are compared as a whole only.
 LEAST = 9
 TOTAL = r"^DISCOVERY total_saved=(\d+)$"
 
 
-def url_hits(probes: DataFrame, records: DataFrame, prefixes: bool = True) -> DataFrame:
-    """(probe_ord, _seq): which URLs of records (url, _seq) each probe (probe_ord, source_url) matches, with repeats.
+def first_hits(probes: DataFrame, records: DataFrame, prefixes: bool = True) -> DataFrame:
+    """(probe_ord, matched_seq): the first record (url, _seq) whose URL each probe (probe_ord, source_url) matches; no row without one.
 
-    By normalised equality, by suffix either way round, or by prefix up to a boundary. Each is an equality
-    on keys laid out beforehand, so there is no nested-loop join; suffixes are cut only to lengths that occur on the other side, of
-    which there are no more than the longest URL has characters.
+    By normalised equality, by suffix either way round, or by prefix up to a boundary. Both sides are laid out as keys, a few a URL
+    whatever its length: reversed ones for suffixes, and for a prefix the probe with each mark that may follow it. Equal and
+    prefix-related keys are found in one range join, which holds no pairs.
     """
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    p = probes.select("probe_ord", F.col("source_url").alias("probe"), F.lower(bare("source_url")).alias("low"), bare("source_url").alias("bare"))
-    r = records.where("url is not null and url <> ''").select("_seq", "url", F.lower(bare("url")).alias("low"))
-    hit = ["probe_ord", "_seq"]
-    found = p.select("probe_ord", normalized_url(F.col("probe")).alias("k")).where("k <> ''").join(r.select("_seq", normalized_url(F.col("url")).alias("k")), "k").select(*hit)
+    kind = lambda mark, key: F.concat(F.lit(mark), key)
+    url, norm = F.col("url"), normalized_url(F.col("url"))
+    low = F.lower(bare(url))
+    end = F.lit("\0")  # ends what must be equal; no URL holds it
+    suffix = F.when(F.length(low) >= LEAST, kind("<", F.reverse(low)))
+    keys = [(F.when(norm != "", F.concat(F.lit("="), norm, end)), False), (suffix, True)]
     if prefixes:
-        cuts = F.filter(F.sequence(F.lit(LEAST), F.greatest(F.length("url"), F.lit(LEAST))), lambda n: F.substr(F.col("url"), n + 1, F.lit(1)).isin("", "/", "?"))
-        heads = r.select("_seq", F.explode(F.array_distinct(F.transform(cuts, lambda n: F.left(F.col("url"), n)))).alias("k"))
-        found = found.union(p.where(F.length("bare") >= LEAST).select("probe_ord", F.col("bare").alias("k")).join(heads, "k").select(*hit))
-
-    def tails(of: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-        fits = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("low"))
-        return of.select(key, F.explode(F.transform(fits, lambda n: F.right(F.col("low"), n))).alias("k"))
-
-    def sizes(of: DataFrame) -> list[int]:
-        return sorted(x.n for x in of.select(F.length("low").alias("n")).where(F.col("n") >= LEAST).distinct().collect())
-
-    long = lambda of, key: of.where(F.length("low") >= LEAST).select(key, F.col("low").alias("k"))
-    of_record = tails(r, "_seq", sizes(p)).join(long(p, "probe_ord"), "k").select(*hit)
-    of_probe = tails(p, "probe_ord", sizes(r)).join(long(r, "_seq"), "k").select(*hit)
-    return found.union(of_record).union(of_probe)
+        stem = F.when(F.length(bare(url)) >= LEAST, kind(">", bare(url)))
+        keys += [(F.concat(stem, F.lit(mark)), False) for mark in ("\0", "/", "?")]
+    p = probes.select("probe_ord", F.col("source_url").alias("url")).select("probe_ord", F.explode(F.array(*(F.struct(k.alias("key"), F.lit(u).alias("upward")) for k, u in keys))).alias("k"))
+    p = p.select("probe_ord", "k.key", "k.upward").where("key is not null")
+    own = [keys[0][0], suffix, *([F.concat(kind(">", url), end)] if prefixes else [])]
+    r = records.where("url is not null and url <> ''").select(F.explode(F.array(*own)).alias("key"), F.col("_seq").alias("partner"))
+    return p.join(least_partners(p.select("key", "upward"), r), "key").groupBy("probe_ord").agg(F.min("partner").alias("matched_seq"))
 
 
 def probe_corpus(probes: DataFrame, records: DataFrame) -> DataFrame:
@@ -48,8 +45,7 @@ def probe_corpus(probes: DataFrame, records: DataFrame) -> DataFrame:
 
     ``probes``: (probe_ord, source_url). ``records``: (url, _seq), one row for each URL of a record.
     """
-    first = url_hits(probes, records).groupBy("probe_ord").agg(F.min("_seq").alias("matched_seq"))
-    return probes.join(first, "probe_ord", "left").select(
+    return probes.join(first_hits(probes, records), "probe_ord", "left").select(
         "probe_ord", "source_url", F.when(F.col("matched_seq").isNotNull(), "captured").otherwise("missing_url").alias("verdict"), "matched_seq"
     )
 
@@ -62,7 +58,7 @@ def spot_checks(candidates: DataFrame, records: DataFrame, files: DataFrame) ->
     """
     url, name = get_or_blank(F.col("data"), "core_file_url"), get_or_blank(F.col("data"), "core_pdf_filename")
     rows = records.select("_seq", F.col("source_url").alias("db_source_url"), url.alias("url"), name.alias("stored_name"))
-    first = url_hits(candidates, rows.select("url", "_seq"), prefixes=False).groupBy("probe_ord").agg(F.min("_seq").alias("_seq"))
+    first = first_hits(candidates, rows.select("url", "_seq"), prefixes=False).withColumnRenamed("matched_seq", "_seq")
     joined = candidates.join(first, "probe_ord", "left").join(rows.drop("url"), "_seq", "left").withColumn("expected_name", expected_filename(F.col("source_url")))
     for kind in ("expected", "stored"):
         disk = files.select(F.col("basename").alias(f"{kind}_name"), F.struct(F.col("basename"), "is_valid", "is_small").alias(kind))
@@ -81,11 +77,34 @@ def probe_counts(found: DataFrame) -> DataFrame:
     )
 
 
+def gap_spans(values: DataFrame, least: int = 3) -> DataFrame:
+    """(lo, hi): runs of 64-bit integers that are missing between at least ``least`` distinct ones of a column ``value`` of texts.
+
+    Texts that are no such integer do not count. Values are dealt by range; each looks at the next of its part, and the last of a part at the
+    first of the next part that has any.
+    """
+    ints = values.select(F.col("value").try_cast("bigint").alias("v")).where("v is not null").distinct()
+    parted = checkpointed(ints.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    # A row a part: the only global window.
+    firsts = parted.groupBy("part").agg(F.min("v").alias("first"), F.count("*").alias("n"))
+    firsts = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("beyond"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("n")).where(F.col("n") >= least)
+    following = F.coalesce(F.lead("v").over(Window.partitionBy("part").orderBy("v")), F.col("beyond"))
+    # Within the test v < following, so neither sum can overflow.
+    return parted.join(F.broadcast(firsts), "part").select("v", following.alias("w")).where("v < w - 1").select((F.col("v") + 1).alias("lo"), (F.col("w") - 1).alias("hi"))
+
+
+#: Spans are cut at multiples of these sizes in turn, so no array has more than 2^16 entries.
+PIECES = (48, 32, 16)
+
+
 def numeric_gaps(values: DataFrame, least: int = 3) -> DataFrame:
-    """(missing): integers between the least and the greatest of at least three distinct texts of a column ``value``."""
-    ints = values.select("value").distinct().select(F.col("value").try_cast("int").alias("v")).where("v is not null")
-    span = ints.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("n") >= least)
-    return span.select(F.explode(F.sequence("lo", "hi")).alias("missing")).join(ints.select(F.col("v").alias("missing")), "missing", "left_anti")
+    """(missing): the integers of :func:`gap_spans` one by one; a long run is cut into pieces that are dealt over the tasks."""
+    pieces = gap_spans(values, least)
+    for bits in PIECES:
+        at = F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits)))
+        first = F.shiftleft("at", bits)
+        pieces = pieces.select("lo", "hi", at.alias("at")).select(F.greatest("lo", first).alias("lo"), F.least("hi", first.bitwiseOR(F.lit((1 << bits) - 1))).alias("hi"))
+    return pieces.repartition(F.xxhash64("lo")).select(F.explode(F.sequence("lo", "hi")).alias("missing"))
 
 
 def cross_gaps(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -190,8 +209,6 @@ def listing_targets(hrefs: DataFrame, index_pattern: str, lo: int | None, hi: in
 
     ``hrefs``: (pos, href). Numbering is that of the kept rows in order of pos.
     """
-    from pyspark.sql import Window
-
     index = F.regexp_extract("href", index_pattern, 1).try_cast("int")
     kept = hrefs.withColumn("i", index)
     if lo is not None:

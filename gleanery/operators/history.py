@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import estimate_tokens
+from gleanery.operators.summaries import Summarisers
 
 BUDGET = 28_000
 SHORT = 1000
@@ -63,12 +64,29 @@ def overflow_tail(messages: DataFrame, last: int = 6) -> DataFrame:
     return recent.withColumn("_closed", closed).where("_closed = 1").drop("back", "_closed")
 
 
-def summarise_lines(content, lines: int = 6):
-    """The first lines of a tool return and how many more there were."""
-    parts = F.split(content, "\n")
-    more = F.size(parts) - lines
-    head = F.array_join(F.slice(parts, 1, lines), "\n")
-    return F.when(more > 0, F.concat(head, F.format_string("\n[%d more trimmed]", more))).otherwise(content)
+PART = ["conv_id", "turn", "part_ord"]
+
+
+def compacted(
+    messages: DataFrame, snapshot_tools: tuple[str, ...] = (), validation_tools: tuple[str, ...] = (), budget: int = BUDGET, summarisers: Summarisers | None = None, keep: dict[str, int] | None = None
+) -> DataFrame:
+    """messages with summaries in place of what has to go until a conversation fits its budget, and ``trimmed``: soft, hard or null.
+
+    ``messages``: (conv_id, turn, part_ord, kind, tool_name, content). In order of bucket and turn all but the latest few parts are summarised; if that
+    is not enough, all snapshots but the last are summarised harder. What counts as saved is the tokens of a text less those of its summary.
+    """
+    summarisers, keep = summarisers or Summarisers(), keep or KEEP
+    parts = messages.withColumn("bucket", trim_bucket(F.col("kind"), F.col("tool_name"), F.col("content"), snapshot_tools, validation_tools)).where("bucket is not null")
+    parts = parts.select(*PART, "bucket", "tool_name", "content")
+    soft, hard = trim_plan(parts, keep), trim_plan(parts.where("bucket = 'snapshot'"), {"snapshot": 1}).withColumn("priority", F.lit(len(keep)))
+    saving = lambda before, after: (estimate_tokens(before) - estimate_tokens(after)).alias("saving")
+    eased = soft.join(summarisers.applied(soft, PART), PART)
+    current = F.coalesce(F.col("eased"), F.col("content"))
+    strict = hard.join(summarisers.applied(hard, PART, hard=True), PART).join(eased.select(*PART, F.col("summary").alias("eased")), PART, "left").where(F.length(current) >= SHORT)
+    plan = eased.select(*PART, "priority", "summary", saving(F.col("content"), F.col("summary"))).unionByName(strict.select(*PART, "priority", "summary", saving(current, F.col("summary"))))
+    cut = budget_cut(plan, conversation_tokens(messages), budget).groupBy(*PART).agg(F.max_by("summary", "priority").alias("_summary"), F.max("priority").alias("_last"))
+    trimmed = F.when(F.col("_last") == len(keep), "hard").when(F.col("_last").isNotNull(), "soft")
+    return messages.join(cut, PART, "left").withColumns({"content": F.coalesce("_summary", "content"), "trimmed": trimmed}).select(*messages.columns, "trimmed")
 
 
 def running_ledger(calls: DataFrame) -> DataFrame:

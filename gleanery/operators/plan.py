@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.urls import file_ext, file_filename, pdf_filename
+from gleanery.functions.urls import file_ext, file_filename, pdf_filename, strip
 from gleanery.functions.values import get_or_blank
+from gleanery.session import checkpointed
 
 
 def existing_index(existing: DataFrame, key: Column) -> DataFrame:
@@ -20,10 +21,44 @@ def key_value(data: Column, key_field: str | None, source_url: Column) -> Column
     return F.coalesce(F.get_json_object(data, f"$.{key_field}"), source_url) if key_field else source_url
 
 
-def scalar(metadata: Column, name: str) -> Column:
-    """A scalar out of nested metadata: itself, or the url or value of it or of its first element."""
-    paths = (f"$.{name}[0].value.url", f"$.{name}[0].value", f"$.{name}[0].url", f"$.{name}.value.url", f"$.{name}.value", f"$.{name}.url", f"$.{name}[0]", f"$.{name}")
-    return F.coalesce(*(F.get_json_object(metadata, p) for p in paths))
+#: Levels of nesting that are gone down between two looks whether any are left.
+LEVELS = 6
+
+
+def _container(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return kind.startswith("ARRAY") | kind.startswith("OBJECT")
+
+
+def _below(v: Column) -> Column:
+    """What a nested value leads to, in order: the items of a list, an object's value or else its url, a scalar itself."""
+    kind = F.schema_of_variant(v)
+    value, url = F.try_variant_get(v, "$.value", "variant"), F.try_variant_get(v, "$.url", "variant")
+    named = F.when(value.isNotNull(), F.array(value)).when(F.schema_of_variant(url) == "STRING", F.array(url))
+    return F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(kind.startswith("OBJECT"), F.coalesce(named, F.array().cast("array<variant>"))).otherwise(F.array(v))
+
+
+def _printed(v: Column) -> Column:
+    """A scalar as text, stripped; blank and null ones are null. Truth values are spelt with a capital."""
+    text = F.try_variant_get(v, "$", "string")
+    return F.nullif(strip(F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(text)).otherwise(text)), F.lit(""))
+
+
+def nested_scalar(rows: DataFrame, metadata: str, name: str, out: str = "key") -> DataFrame:
+    """rows with ``out``, the first scalar in property ``name`` of a JSON column: lists and values within values are gone down to any depth.
+
+    An object counts by its ``value``, or without one by its ``url`` if that is a text. Among the items of a list the first that leads to anything wins. A broken
+    document, an absent property and blank texts give null. Every level is a step over the values left in a row, so
+    rows are not shuffled; data of more than ``LEVELS`` levels are stored between the steps.
+    """
+    left = "_left" + out
+    rows = rows.withColumn(left, F.array_compact(F.array(F.try_variant_get(F.try_parse_json(metadata), f"$['{name}']", "variant"))))
+    while True:
+        for _ in range(LEVELS):
+            rows = rows.withColumn(left, F.flatten(F.transform(left, _below)))
+        if rows.where(F.exists(left, _container)).isEmpty():
+            return rows.withColumn(out, F.get(F.filter(F.transform(left, _printed), lambda t: t.isNotNull()), F.lit(0))).drop(left)
+        rows = checkpointed(rows)
 
 
 def plan_actions(records: DataFrame, primary: DataFrame, registry: DataFrame | None = None, has_key: bool = True) -> DataFrame:

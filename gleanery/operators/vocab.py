@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import comma_tokens, fold
 from gleanery.functions.urls import strip
+from gleanery.operators.catalog import merged_histogram
 from gleanery.session import checkpointed
 
 
@@ -131,20 +132,46 @@ def last_file_wins(entries: DataFrame) -> DataFrame:
     return entries.groupBy("property_name", "crawl_value").agg(F.max_by("canonical_value", "file_ord").alias("canonical_value"))
 
 
+def _shorter(text: Column) -> Column:
+    """The texts that lack one character of a text."""
+    cuts = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.left(text, i - 1), F.substr(text, i + 1)))
+    return F.when(F.length(text) > 0, cuts).otherwise(F.array().cast("array<string>"))
+
+
+def deletion_keys(text: Column, distance: int) -> Column:
+    """Hashes of a text and of all it becomes by up to ``distance`` deletions: two texts within that edit distance share one."""
+    keys = F.array(text)
+    for _ in range(distance):
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, _shorter))))
+    return F.transform(keys, lambda k: F.xxhash64(k))
+
+
 def fuzzy_candidates(values: DataFrame, vocabulary: DataFrame, distance: int = 2) -> DataFrame:
-    """(crawl_value, suggested, distance), always for review: the nearest label by edit distance.
+    """(crawl_value, suggested, distance), always for review: the nearest label by edit distance, up to ``distance``; the first by name of equally near ones.
 
-    An extension without counterpart elsewhere. Candidates share the first character or the last, as
-    blocking keys; pairs are compared within blocks of the vocabulary only.
+    An extension without counterpart elsewhere. Texts meet by their deletion neighbourhoods, which miss no pair within the distance and bring together
+    only such as agree in all but a few characters; n characters have about n²/2 keys at distance 2. Values are compared once each, however often they occur.
     """
-    v = values.select("crawl_value", fold(F.col("crawl_value")).alias("key"))
+    v = values.select("crawl_value", fold(F.col("crawl_value")).alias("key")).distinct()
     labels = folded_labels(vocabulary).select(F.col("key").alias("label_key"), "canonical")
-    ends = lambda c: F.array(F.concat(F.lit("^"), F.left(c, F.lit(1))), F.concat(F.lit("$"), F.right(c, F.lit(1))))
-    pairs = (
-        v.withColumn("block", F.explode(ends(F.col("key"))))
-        .join(labels.withColumn("block", F.explode(ends(F.col("label_key")))), "block")
-        .select("crawl_value", "canonical", F.levenshtein("key", "label_key", distance).alias("d"))
-        .where("d >= 0")
-    )
-    best = F.row_number().over(Window.partitionBy("crawl_value").orderBy("d", "canonical"))
-    return pairs.distinct().withColumn("nth", best).where("nth = 1").select("crawl_value", F.col("canonical").alias("suggested"), F.col("d").alias("distance"))
+    met = v.select("key").distinct().withColumn("h", F.explode(deletion_keys(F.col("key"), distance))).join(labels.withColumn("h", F.explode(deletion_keys(F.col("label_key"), distance))), "h")
+    near = met.select("key", "label_key", "canonical").distinct().withColumn("d", F.levenshtein("key", "label_key", distance)).where("d >= 0")
+    best = near.groupBy("key").agg(F.min(F.struct("d", "canonical")).alias("b"))
+    return v.join(best, "key").select("crawl_value", F.col("b.canonical").alias("suggested"), F.col("b.d").alias("distance"))
+
+
+#: Types of properties whose values come from a vocabulary.
+CONTROLLED = ("select", "multiselect", "relationship")
+
+
+def value_groups(histogram: DataFrame, properties: DataFrame, thesauri: DataFrame) -> DataFrame:
+    """(property, value, n, reason): the values to match for each property with a vocabulary, or one row that says why it is skipped.
+
+    ``histogram``: (field, value, n). ``properties``: (property, type, sources array, defaults array, thesaurus_id). ``thesauri``: (thesaurus_id). Counts are summed over a
+    property's sources, and its defaults count once at least. Reasons: no_thesaurus, no_values.
+    """
+    wanted = properties.where(F.col("type").isin(*CONTROLLED)).join(thesauri.select("thesaurus_id", F.lit(True).alias("_known")).distinct(), "thesaurus_id", "left")
+    counted = merged_histogram(histogram, wanted.where("_known"))
+    out = wanted.join(counted, "property", "left")
+    reason = F.when(F.col("_known").isNull(), "no_thesaurus").when(F.col("value").isNull(), "no_values")
+    return out.select("property", "value", "n", reason.alias("reason"))

@@ -76,6 +76,30 @@ def dependency_abort(spark, sf_dir):
     return flow.blocked(rows)
 
 
+#: Subtasks out of suppliers: chains of eight, a diamond in each, loops in some, and needs that are not there.
+_TASKS = """tasks AS (SELECT s_suppkey AS k, 't' || s_suppkey AS subtask_id, list_filter([CASE WHEN s_suppkey % 8 <> 0 THEN 't' || (s_suppkey - 1) END, CASE WHEN s_suppkey % 8 >= 4 THEN 't' || (s_suppkey - 3) END,
+    CASE WHEN s_suppkey % 32 = 21 THEN 't' || (s_suppkey + 2) END, CASE WHEN s_suppkey % 40 = 12 THEN 'none' END], lambda x: x IS NOT NULL) AS needs,
+  CASE WHEN s_suppkey % 11 = 3 THEN 'failed' WHEN s_suppkey % 8 < 3 OR s_suppkey % 5 = 0 THEN 'done' ELSE 'pending' END AS status FROM supplier),
+edges AS (SELECT DISTINCT subtask_id, unnest(needs) AS need FROM tasks),
+reach AS (SELECT subtask_id, need, 1 AS steps FROM edges UNION SELECT r.subtask_id, e.need, r.steps + 1 FROM reach r JOIN edges e ON r.need = e.subtask_id WHERE r.steps < 12),
+loops AS (SELECT DISTINCT subtask_id FROM reach WHERE subtask_id = need),
+bad AS (SELECT subtask_id AS id FROM tasks WHERE status = 'failed' UNION SELECT subtask_id FROM loops UNION SELECT need FROM edges WHERE need NOT IN (SELECT subtask_id FROM tasks)),
+hits AS (SELECT subtask_id, need AS cause, min(steps) AS steps FROM reach WHERE need IN (SELECT id FROM bad) GROUP BY 1, 2 UNION ALL SELECT id, id, 0 FROM bad),
+near AS (SELECT subtask_id, min(steps) AS steps FROM hits GROUP BY 1), causes AS (SELECT h.subtask_id, n.steps, min(h.cause) AS cause FROM hits h JOIN near n ON h.subtask_id = n.subtask_id AND h.steps = n.steps GROUP BY 1, 2),
+waits AS (SELECT DISTINCT subtask_id FROM edges WHERE need NOT IN (SELECT subtask_id FROM tasks WHERE status = 'done')),
+told AS (SELECT t.subtask_id, CASE WHEN t.subtask_id IN (SELECT subtask_id FROM loops) THEN 'cyclic' WHEN c.cause IS NOT NULL THEN 'aborted' WHEN t.status = 'done' THEN 'kept' WHEN t.subtask_id IN (SELECT subtask_id FROM waits) THEN 'waiting' ELSE 'ready' END AS outcome,
+  c.cause, c.steps FROM tasks t LEFT JOIN causes c ON t.subtask_id = c.subtask_id)"""
+
+
+@query(f"WITH RECURSIVE {_TASKS} SELECT subtask_id, outcome, CASE WHEN outcome = 'aborted' THEN cause END AS cause, CASE WHEN outcome = 'aborted' THEN CAST(steps AS INTEGER) END AS steps FROM told")
+def flow_resolution(spark, sf_dir):
+    k = F.col("s_suppkey")
+    t = lambda c: F.concat(F.lit("t"), c)
+    needs = F.array(F.when(k % 8 != 0, t(k - 1)), F.when(k % 8 >= 4, t(k - 3)), F.when(k % 32 == 21, t(k + 2)), F.when(k % 40 == 12, "none"))
+    status = F.when(k % 11 == 3, "failed").when((k % 8 < 3) | (k % 5 == 0), "done").otherwise("pending")
+    return flow.resolved(table(spark, sf_dir, "supplier").select(t(k).alias("subtask_id"), needs.alias("depends_on"), status.alias("status")))
+
+
 @query(
     """WITH e AS (SELECT user_id, event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events)
 SELECT user_id, max(n) AS longest FROM (SELECT user_id, island, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n FROM e GROUP BY 1, 2) GROUP BY user_id"""

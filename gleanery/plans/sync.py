@@ -94,6 +94,30 @@ def _indexes(spark, sf_dir):
     return primary, registry
 
 
+#: A value of each customer, wrapped as often as its key says, behind list items that lead nowhere.
+_NESTED = """nested AS (SELECT c_custkey AS id, repeat('[null,{"label":"x"},{"value":" "},{"value":', CAST(c_custkey % 9 AS INTEGER)) || CASE c_custkey % 6 WHEN 0 THEN '{"url":" ' || c_name || ' ","label":"l"}' WHEN 1 THEN CAST(c_custkey AS VARCHAR)
+  WHEN 2 THEN 'true' WHEN 3 THEN '""' WHEN 4 THEN '{"value":null,"url":"u"}' ELSE '"' || c_name || '"' END || repeat('},"later"]', CAST(c_custkey % 9 AS INTEGER)) AS j FROM customer)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_NESTED}, down AS (
+  SELECT id, []::INTEGER[] AS path, CAST(j AS JSON) AS v FROM nested
+  UNION ALL
+  SELECT id, list_append(path, n), CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[' || n || ']') ELSE CASE WHEN json_exists(v, '$.value') THEN json_extract(v, '$.value') WHEN json_type(v, '$.url') = 'VARCHAR' THEN json_extract(v, '$.url') END END
+  FROM (SELECT id, path, v, unnest(range(CASE json_type(v) WHEN 'ARRAY' THEN CAST(json_array_length(v) AS INTEGER) ELSE 1 END)) AS n FROM down WHERE json_type(v) IN ('ARRAY', 'OBJECT'))),
+leaf AS (SELECT id, path, trim(CASE json_type(v) WHEN 'BOOLEAN' THEN CASE WHEN v = 'true' THEN 'True' ELSE 'False' END ELSE json_extract_string(v, '$') END) AS t FROM down WHERE json_type(v) NOT IN ('ARRAY', 'OBJECT', 'NULL'))
+SELECT n.id, arg_min(t, path) AS key FROM nested n LEFT JOIN leaf l ON n.id = l.id AND t <> '' GROUP BY n.id"""
+)
+def nested_scalars(spark, sf_dir):
+    k = F.col("c_custkey")
+    name = lambda a, b: F.concat(F.lit(a), F.col("c_name"), F.lit(b))
+    leaf = F.when(k % 6 == 0, name('{"url":" ', ' ","label":"l"}')).when(k % 6 == 1, k.cast("string")).when(k % 6 == 2, "true").when(k % 6 == 3, '""').when(k % 6 == 4, '{"value":null,"url":"u"}').otherwise(name('"', '"'))
+    times = (k % 9).cast("int")
+    wrapped = F.concat(F.lit('{"p":'), F.repeat(F.lit('[null,{"label":"x"},{"value":" "},{"value":'), times), leaf, F.repeat(F.lit('},"later"]'), times), F.lit("}"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), wrapped.alias("metadata"))
+    return P.nested_scalar(rows, "metadata", "p").select("id", "key")
+
+
 def _plan(spark, sf_dir):
     rows = _orders(spark, sf_dir)
     keyed = rows.select("source_url", "language", F.get_json_object("data", "$.file").alias("file_url"), P.key_value(F.col("data"), "customer", F.col("source_url")).alias("key"))

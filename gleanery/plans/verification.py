@@ -108,12 +108,17 @@ def probe_counts(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT DISTINCT CAST(o_custkey * 3 AS INTEGER) AS v FROM orders) SELECT CAST(g AS INTEGER) AS missing FROM (SELECT unnest(range((SELECT min(v) FROM v), (SELECT max(v) FROM v) + 1)) AS g) WHERE g NOT IN (SELECT v FROM v)"""
+    """WITH v AS (SELECT DISTINCT CAST(o_custkey * 3 AS INTEGER) AS v FROM orders) SELECT CAST(g AS BIGINT) AS missing FROM (SELECT unnest(range((SELECT min(v) FROM v), (SELECT max(v) FROM v) + 1)) AS g) WHERE g NOT IN (SELECT v FROM v)"""
 )
 def numeric_gaps(spark, sf_dir):
     return coverage.numeric_gaps(table(spark, sf_dir, "orders").select((F.col("o_custkey") * 3).cast("string").alias("value")))
 
 
+@query("SELECT v + 1 AS lo, w - 1 AS hi FROM (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM (SELECT DISTINCT o_orderkey * 1000003 AS v FROM orders)) WHERE w > v + 1")
+def numeric_gap_spans(spark, sf_dir):
+    return coverage.gap_spans(table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 1000003).cast("string").alias("value")))
+
+
 _MONTHS = "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS prio FROM orders"
 
 

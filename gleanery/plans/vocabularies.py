@@ -98,3 +98,56 @@ def default_token_audit(spark, sf_dir):
 def vocab_last_file_wins(spark, sf_dir):
     entries = table(spark, sf_dir, "part").select(F.col("p_brand").alias("property_name"), F.col("p_name").alias("crawl_value"), F.col("p_type").alias("canonical_value"), F.col("p_partkey").alias("file_ord"))
     return vocab.last_file_wins(entries)
+
+
+#: Misspelt nations: each supplier's with a character lost, doubled or exchanged somewhere, or with its first and last gone.
+_MISSPELT = """wrong AS (SELECT s_suppkey AS id, n_name AS name, CAST(s_suppkey % length(n_name) AS INTEGER) AS i FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+spelt AS (SELECT DISTINCT CASE id % 5 WHEN 0 THEN left(name, i) || substr(name, i + 2) WHEN 1 THEN left(name, i) || substr(name, i + 1, 1) || substr(name, i + 1) WHEN 2 THEN lower(left(name, i)) || '#' || substr(name, i + 2) WHEN 3 THEN substr(name, 2, length(name) - 2) ELSE reverse(name) END AS crawl_value FROM wrong),
+labels AS (SELECT n_name AS label FROM nation UNION SELECT r_name FROM region)"""
+
+
+@query(
+    f"""WITH {_MISSPELT}, d AS (SELECT crawl_value, label, levenshtein(lower(trim(crawl_value)), lower(label)) AS d FROM spelt, labels)
+SELECT crawl_value, arg_min(label, {{'d': d, 'l': label}}) AS suggested, CAST(min(d) AS INTEGER) AS distance FROM d WHERE d <= 2 GROUP BY crawl_value"""
+)
+def fuzzy_labels(spark, sf_dir):
+    wrong = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    i, name, k = F.col("i"), F.col("n_name"), F.col("s_suppkey") % 5
+    spelt = (
+        F.when(k == 0, F.concat(F.left(name, i), F.substr(name, i + 2)))
+        .when(k == 1, F.concat(F.left(name, i), F.substr(name, i + 1, F.lit(1)), F.substr(name, i + 1)))
+        .when(k == 2, F.concat(F.lower(F.left(name, i)), F.lit("#"), F.substr(name, i + 2)))
+        .when(k == 3, F.substr(name, F.lit(2), F.length(name) - 2))
+        .otherwise(F.reverse(name))
+    )
+    values = wrong.withColumn("i", (F.col("s_suppkey") % F.length("n_name")).cast("int")).select(spelt.alias("crawl_value")).distinct()
+    labels = table(spark, sf_dir, "nation").select(F.col("n_name").alias("label")).union(table(spark, sf_dir, "region").select("r_name")).distinct()
+    return vocab.fuzzy_candidates(values, labels.withColumn("ord", F.lit(0)))
+
+
+_GROUPS = """hist AS (SELECT 'f' || (o_custkey % 4) AS field, o_orderpriority || (o_orderkey % 7) AS value, count(*) AS n FROM orders GROUP BY 1, 2),
+props AS (SELECT 'p' || n_nationkey AS property, CASE n_nationkey % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'select' WHEN 2 THEN 'multiselect' ELSE 'relationship' END AS type, CASE WHEN n_nationkey % 5 = 0 THEN ['nowhere'] ELSE ['f' || (n_nationkey % 4), 'f' || (n_nationkey % 3)] END AS sources,
+  CASE WHEN n_nationkey % 7 = 1 THEN ['1-URGENT0', n_name] ELSE [] END AS defaults, 't' || (n_nationkey % 6) AS thesaurus_id FROM nation),
+wanted AS (SELECT * FROM props WHERE type <> 'text'), known AS (SELECT 't' || r_regionkey AS thesaurus_id FROM region),
+merged AS (SELECT property, value, n FROM (SELECT property, unnest(sources) AS field FROM wanted) JOIN hist USING (field) UNION ALL SELECT property, unnest(defaults), 0 FROM wanted),
+counted AS (SELECT property, value, greatest(sum(n), 1) AS n FROM merged GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_GROUPS} SELECT w.property, c.value, CAST(c.n AS BIGINT) AS n, CASE WHEN k.thesaurus_id IS NULL THEN 'no_thesaurus' WHEN c.value IS NULL THEN 'no_values' END AS reason
+FROM wanted w LEFT JOIN known k ON w.thesaurus_id = k.thesaurus_id LEFT JOIN counted c ON w.property = c.property AND k.thesaurus_id IS NOT NULL"""
+)
+def vocabulary_groups(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    histogram = o.groupBy(F.concat(F.lit("f"), F.col("o_custkey") % 4).alias("field"), F.concat("o_orderpriority", F.col("o_orderkey") % 7).alias("value")).agg(F.count("*").alias("n"))
+    i = F.col("n_nationkey")
+    field = lambda n: F.concat(F.lit("f"), i % n)
+    props = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("p"), i).alias("property"),
+        F.when(i % 4 == 0, "text").when(i % 4 == 1, "select").when(i % 4 == 2, "multiselect").otherwise("relationship").alias("type"),
+        F.when(i % 5 == 0, F.array(F.lit("nowhere"))).otherwise(F.array(field(4), field(3))).alias("sources"),
+        F.when(i % 7 == 1, F.array(F.lit("1-URGENT0"), F.col("n_name"))).otherwise(F.array().cast("array<string>")).alias("defaults"),
+        F.concat(F.lit("t"), i % 6).alias("thesaurus_id"),
+    )
+    thesauri = table(spark, sf_dir, "region").select(F.concat(F.lit("t"), "r_regionkey").alias("thesaurus_id"))
+    return vocab.value_groups(histogram, props, thesauri)

@@ -1,7 +1,7 @@
-"""The link queue as a stream: the state machine of :mod:`gleanery.operators.store`, event by event.
+"""The link queue as a stream: the state machine of :mod:`gleanery.operators.store`, whatever order events arrive in.
 
-State is one small row a link, kept by key and so spread over the cluster; there are no windows, so
-no watermark. Events must carry an ordinal; within a micro-batch they are replayed in its order.
+State is kept by link and so spread over the cluster; there are no windows, so no watermark. Events carry an ordinal, and a link's result is that
+of replaying its events in order of it, also when an early event comes micro-batches late: the events that may still matter are kept.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gleanery.operators.store import last_wins
-
-STATE = "status string, filter_label string"
 OUTPUT = "url string, status string, filter_label string, _seq bigint"
+#: ``transformWithState`` keeps maps, which only this store has.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def advance(status: str | None, label: str | None, op: str, new_label: str | None) -> tuple[str | None, str | None]:
@@ -28,32 +27,71 @@ def advance(status: str | None, label: str | None, op: str, new_label: str | Non
     return ("processed", label) if op == "processed" else (op, new_label)
 
 
-def fold_link_stream(events: DataFrame) -> DataFrame:
-    """A stream of (url, op, filter_label, _seq) as a stream of each touched link's state, in update mode."""
+def idle(events: list[tuple]) -> list[tuple]:
+    """Those of a link's events (ordinal, op, label), in order, that no event still to come can make matter.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, label = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("_seq", kind="stable")
-        for op, new in zip(rows["op"], rows["filter_label"], strict=True):
-            status, label = advance(status, label, op, new)
+    The first insert can only move forward, and so can the first end behind it: what lies behind that end is over. A sample
+    counts as the first insert only.
+    """
+    first = next((e[0] for e in events if e[1] != "processed"), None)
+    if first is None:
+        return []
+    end = next((e[0] for e in events if e[1] == "processed" and e[0] > first), None)
+    return [e for e in events if (end is not None and e[0] > end) or (e[1] == "sample" and e[0] > first)]
+
+
+class LinkFold(StatefulProcessor):
+    """Kept: a link's events that may matter, by ordinal; settled: what is folded up for good, and how many events were seen."""
+
+    def __init__(self, lateness: int | None):
+        self.lateness = lateness
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "seq bigint, op string", "label string")
+        self.settled = handle.getValueState("settled", "seen bigint, top bigint, upto bigint, status string, label string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen, top, upto, status, label = self.settled.get() if self.settled.exists() else (0, None, None, None, None)
+        events = {k: v[0] for k, v in self.kept.iterator()}
+        stored = set(events)
+        for frame in rows:
+            seen += len(frame)
+            for seq, op, new in zip(frame["seq"].tolist(), frame["op"], frame["filter_label"], strict=True):
+                top = seq if top is None else max(top, seq)
+                if upto is None or seq > upto:
+                    events[seq, op] = None if pd.isna(new) else new
+        ordered = [(*k, events[k]) for k in sorted(events)]
+        if self.lateness is not None:
+            upto = top - self.lateness
+            over = [e for e in ordered if e[0] <= upto]
+            for _, op, name in over:
+                status, label = advance(status, label, op, name)
+            ordered = ordered[len(over) :]
+        else:
+            gone = set(idle(ordered))
+            ordered = [e for e in ordered if e not in gone]
+        for k in stored - {e[:2] for e in ordered}:
+            self.kept.removeKey(k)
+        for seq, op, name in ordered:
+            if (seq, op) not in stored:
+                self.kept.updateValue((seq, op), (name,))
+        self.settled.update((seen, top, upto, status, label))
+        for _, op, name in ordered:
+            status, label = advance(status, label, op, name)
         if status is not None:
-            state.update((status, label))
-            yield pd.DataFrame({"url": [key[0]], "status": [status], "filter_label": [label], "_seq": [int(rows["_seq"].iloc[-1])]})
+            yield pd.DataFrame({"url": [key[0]], "status": [status], "filter_label": [label], "_seq": [seen]})
 
-    return events.groupBy("url").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def upsert_batches(records: DataFrame, table_path: str, checkpoint: str, key: str = "source_url"):
-    """Writes a stream of records as one folder a micro-batch; :func:`latest` reads them last-wins.
+def fold_link_stream(events: DataFrame, lateness: int | None = None) -> DataFrame:
+    """A stream of (url, op, filter_label, _seq) as a stream of each touched link's state, in update mode; its _seq counts a link's events.
 
-    A batch that is tried again overwrites its own folder, so the result holds each batch once.
+    Without ``lateness`` every order of arrival gives what :func:`fold_links` gives, and a link keeps its discoveries until it is
+    processed. With it, events more than so many ordinals behind a link's latest are folded up, and what comes later than that is ignored.
     """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        last_wins(batch, key).withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
-
-    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
-
-
-def latest(spark, table_path: str, key: str = "source_url") -> DataFrame:
-    return last_wins(spark.read.parquet(table_path), key)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The frames that a processor gets lose names that begin with an underscore.
+    rows = events.where("_seq is not null").select("url", "op", "filter_label", F.col("_seq").alias("seq"))
+    return rows.groupBy("url").transformWithStateInPandas(LinkFold(lateness), OUTPUT, "Update", "None")
