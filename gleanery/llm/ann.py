@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gleanery.llm.common import open_mapped, put_file, shared_path, small, stored
 from gleanery.session import table
@@ -136,9 +137,16 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (two longs each) and scaled vectors of rows, in order of keys."""
-    rows = rows.sort_values(["h1", "h2"], kind="stable")
-    return rows[["h1", "h2"]].to_numpy(np.int64), scaled(np.stack(rows["v"].to_numpy()).astype(np.float64))
+    """Keys (two longs and the least id each) and scaled vectors of rows, in order of ids, as ties go by them."""
+    rows = rows.sort_values(["least", "h1", "h2"], kind="stable")
+    return rows[["h1", "h2", "least"]].to_numpy(np.int64), scaled(np.stack(rows["v"].to_numpy()).astype(np.float64))
+
+
+def best_first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of the k largest scores, the smaller id first among equal ones."""
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    order = np.argsort(-np.take_along_axis(scores, by_id, 1), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(by_id, order, 1)
 
 
 def _writer(path: str, kind: str, with_graph: bool):
@@ -168,12 +176,12 @@ def _search(path: str, k: int, beam: int):
         return np.frombuffer(open_mapped(f"{path}/{kind}-{dim}-{part}.{suffix}"), dtype)
 
     def best_of(dim: int, block: int, shards: list[int]) -> pd.DataFrame:
-        asked = load("block", dim, block, "keys", np.int64).reshape(-1, 2)
+        asked = load("block", dim, block, "keys", np.int64).reshape(-1, 3)
         q = load("block", dim, block, "vectors", np.float64).reshape(-1, dim)
         q_norm = np.sqrt((q * q).sum(axis=1))
-        keys, scores = np.zeros((len(q), 0, 2), np.int64), np.zeros((len(q), 0))
+        keys, scores = np.zeros((len(q), 0, 3), np.int64), np.zeros((len(q), 0))
         for shard in shards:
-            own = load("shard", dim, shard, "keys", np.int64).reshape(-1, 2)
+            own = load("shard", dim, shard, "keys", np.int64).reshape(-1, 3)
             p = load("shard", dim, shard, "vectors", np.float64).reshape(-1, dim)
             p_norm = np.sqrt((p * p).sum(axis=1))
             x = (p / p_norm[:, None]).astype(np.float32)
@@ -188,10 +196,10 @@ def _search(path: str, k: int, beam: int):
                 out_keys.append(own[found])
             keys = np.concatenate([keys, np.concatenate(out_keys)], axis=1)
             scores = np.concatenate([scores, np.concatenate(out_scores)], axis=1)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            best = best_first(scores, keys[:, :, 2], k)
             keys, scores = np.take_along_axis(keys, best[:, :, None], 1), np.take_along_axis(scores, best, 1)
         row, col = np.nonzero(np.isfinite(scores))
-        return pd.DataFrame({"q1": asked[row, 0], "q2": asked[row, 1], "h1": keys[row, col, 0], "h2": keys[row, col, 1], "score": scores[row, col]})
+        return pd.DataFrame({"q1": asked[row, 0], "q2": asked[row, 1], "h1": keys[row, col, 0], "h2": keys[row, col, 1], "least": keys[row, col, 2], "score": scores[row, col]})
 
     def run(tasks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in tasks:
@@ -220,18 +228,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     asked = stored(clean.where(is_query).select("vec_id", "h1", "h2", "v").dropDuplicates(["vec_id", "h1", "h2"]), "ann-asked")
     path = shared_path(vectors.sparkSession, "ann")
     deal = lambda of, size: F.pmod(F.xxhash64("h1", "h2", F.lit(3)), F.lit(max(1, math.ceil(of.count() / size)))).alias("part")
+    # The least id of a class stands for it in ties; ids that are no integers tie by hash.
+    least = (F.col("vec_id").cast("bigint") if isinstance(vectors.schema[id_col].dataType, IntegralType) else F.col("h1")).alias("least")
     points, wanted = members.where("nth = 1"), asked.dropDuplicates(["h1", "h2"])
     write = lambda of, size, kind, graph: stored(
-        of.select("h1", "h2", "v", deal(of, size)).groupBy("part", F.size("v").alias("dim")).applyInPandas(_writer(path, kind, graph), PARTS), f"ann-{kind}"
+        of.select("h1", "h2", least, "v", deal(of, size)).groupBy("part", F.size("v").alias("dim")).applyInPandas(_writer(path, kind, graph), PARTS), f"ann-{kind}"
     )
     shards, blocks = write(points, shard_rows, "shard", True), write(wanted, BLOCK_ROWS, "block", False)
     # One row a task: a list of files, not of vectors; both lists have a row for thousands of vectors.
     runs = shards.groupBy("dim", F.floor(F.col("part") / SHARDS_A_TASK).alias("run")).agg(F.collect_list("part").alias("shards"))
     tasks = runs.join(small(blocks.select("dim", F.col("part").alias("block"))), "dim")
-    found = tasks.repartition("run", "block").select("dim", "block", "shards").mapInPandas(_search(path, k + 1, beam), "q1 bigint, q2 bigint, h1 bigint, h2 bigint, score double")
-    nth = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "h1", "h2"))
-    # One class more than k, and one again for ties between classes at the last place.
-    classes = found.withColumn("nth", nth).where(F.col("nth") <= k + 2).drop("nth")
+    found = tasks.repartition("run", "block").select("dim", "block", "shards").mapInPandas(_search(path, k + 1, beam), "q1 bigint, q2 bigint, h1 bigint, h2 bigint, least bigint, score double")
+    nth = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "least", "h1", "h2"))
+    # One class more than k, as the query's own may hold nothing else. By score and least id, the first classes hold the first answers.
+    classes = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth", "least")
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))
     opened = asked.join(classes, ["q1", "q2"]).join(members.select("h1", "h2", "vec_id"), ["h1", "h2"]).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

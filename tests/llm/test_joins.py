@@ -65,6 +65,15 @@ def test_neighbours_of_huge_and_tiny_components(spark):
     assert np.allclose([r.score for r in got], [1, 1, 0.5**0.5, -1])
 
 
+def test_tied_neighbours_go_by_id(spark):
+    """Vectors of one direction are classes of their own with one and the same cosine; the smaller ids are the answer, also across shards."""
+    rows = [(0, [3.0, 0.0]), *((i, [float(i), 0.0]) for i in range(39, 0, -1)), *((i, [-1.0, float(i)]) for i in range(51, 90))]
+    docs = spark.createDataFrame([*rows, (2, [2.0, 0.0])], "vec_id bigint, embedding array<double>")
+    for shard_rows in (1 << 14, 20):
+        got = ann.nearest(docs, ann.F.col("vec_id") % 50 == 0, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 6)]
+
+
 def test_neighbours_over_many_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
     rows = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
