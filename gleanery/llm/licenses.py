@@ -1,9 +1,8 @@
 """Licence scan by sparse TF-IDF cosine and directory inheritance, in DataFrame functions only.
 
-A file is read without comment marks, its hard-wrapped lines joined to paragraphs. Compared are the whole file, if it
-is at most ``LONGEST`` times as long as the longest template, its paragraphs within the same bound, its sentences, and its lines:
-each of these units that holds a licence cue becomes a sparse TF-IDF vector, and its cosine with the vectors of licence templates
-is found by a join on terms. Of the units with a cosine of at least ``least_cosine`` the widest kind decides (file,
+A file is read without comment marks, its hard-wrapped lines joined to paragraphs. Compared are the whole file, its paragraphs, its
+sentences, and its lines, however long: each of these units that holds a licence cue becomes a sparse TF-IDF vector, and its cosine with
+the vectors of licence templates is found by a join on terms. A unit without any cue word names no licence, by definition. Of the units with a cosine of at least ``least_cosine`` the widest kind decides (file,
 paragraph, sentence, line), within it the largest cosine; a mere reservation of rights yields to any licence.
 
 A licence file, by its name, as a whole, or because its best unit makes up ``file_share`` of its words, speaks for its
@@ -123,8 +122,6 @@ CUE = r"(?i)licen[cs]e|copyright|rights reserved|spdx|public domain|creative com
 LICENCE_NAMES = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[.-].*)?$"
 LEAST_COSINE = 0.75
 FILE_SHARE = 0.5
-#: Files and paragraphs of up to this many times the words of the longest template are compared as a whole.
-LONGEST = 2
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
 LAST_RESORT = "Proprietary"
 
@@ -140,8 +137,8 @@ def templates() -> list[tuple[str, str]]:
     return list(dict.fromkeys(out))
 
 
-def template_vectors() -> tuple[dict[str, float], float, list[tuple[int, str, dict[str, float]]], int]:
-    """Idf by term, that of terms in no template, the unit vector of each template, and the words of the longest."""
+def template_vectors() -> tuple[dict[str, float], float, list[tuple[int, str, dict[str, float]]]]:
+    """Idf by term, that of terms in no template, and the unit vector of each template."""
     texts = templates()
     counts = [Counter(re.findall(TERM, text.lower())) for _, text in texts]
     n = len(counts)
@@ -151,7 +148,7 @@ def template_vectors() -> tuple[dict[str, float], float, list[tuple[int, str, di
         w = {t: (1 + math.log(tf)) * idf[t] for t, tf in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         out.append((i, name, {t: x / norm for t, x in w.items()}))
-    return idf, math.log(1 + n) + 1, out, max(sum(c.values()) for c in counts)
+    return idf, math.log(1 + n) + 1, out
 
 
 def bare(text: Column) -> Column:
@@ -179,7 +176,7 @@ def units(text: Column) -> Column:
 def own_licences(files: DataFrame, key: list[str], text_col: str, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """(key, licence, cosine, share) of files with a licence of their own; share of its words in the file."""
     spark = files.sparkSession
-    idf, rarest, vectors, longest = template_vectors()
+    idf, rarest, vectors = template_vectors()
     terms = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     weights = spark.createDataFrame([(i, name, t, w) for i, name, v in vectors for t, w in v.items()], "template int, licence string, term string, weight double")
     found = files.where(F.col(text_col).rlike(CUE)).groupBy(*key).agg(F.first(text_col).alias("text"))
@@ -188,7 +185,6 @@ def own_licences(files: DataFrame, key: list[str], text_col: str, least_cosine:
     # The file's words are counted before its units are laid out, so the text itself is not carried along.
     counted = found.select(*key, F.size(term_list("text")).alias("words"), bare(F.col("text")).alias("bare"))
     laid = counted.select(*key, "words", F.explode(units(F.col("bare"))).alias("u")).where(F.col("u.text").rlike(CUE)).select(*key, "words", "u.kind", "u.at", "u.then", term_list("u.text").alias("terms"))
-    laid = laid.where((F.col("kind") > 1) | (F.size("terms") <= LONGEST * longest))
     tf = laid.select(*place, "words", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(*place, "words", "size", "term").count()
     weighted = tf.join(F.broadcast(terms), "term", "left").withColumn("w", (1 + F.log("count")) * F.coalesce("idf", F.lit(rarest)))
     norms = weighted.groupBy(*place).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -256,7 +252,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same in SQL: the template vectors are written out as a table, and units are parted by marking where they end."""
-    idf, rarest, vectors, longest = template_vectors()
+    idf, rarest, vectors = template_vectors()
     terms = ", ".join(f"('{t}', {v!r})" for t, v in sorted(idf.items()))
     weights = ", ".join(f"({i}, '{name}', '{t}', {w!r})" for i, name, v in vectors for t, w in v.items())
     return f"""
@@ -278,7 +274,7 @@ unit AS (
 cued AS (SELECT doc_id, words, kind, pl, th, regexp_extract_all(lower(u), '{TERM}') AS ts FROM unit WHERE regexp_matches(u, '{CUE}')),
 tf AS (
   SELECT doc_id, words, kind, pl, th, size, term, count(*) AS n
-  FROM (SELECT doc_id, words, kind, pl, th, len(ts) AS size, unnest(ts) AS term FROM cued WHERE kind > 1 OR len(ts) <= {LONGEST * longest}) GROUP BY ALL),
+  FROM (SELECT doc_id, words, kind, pl, th, len(ts) AS size, unnest(ts) AS term FROM cued) GROUP BY ALL),
 w AS (SELECT tf.*, (1 + ln(n)) * coalesce(idf, {rarest!r}) AS w FROM tf LEFT JOIN terms USING (term)),
 norms AS (SELECT doc_id, kind, pl, th, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dots AS (SELECT doc_id, words, kind, pl, th, size, template, licence, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),

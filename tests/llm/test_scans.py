@@ -206,6 +206,14 @@ def test_usual_licence_forms(spark):
     assert {i: got[i] for i in range(len(cases))} == {i: name for i, (name, _) in enumerate(cases)}
 
 
+def test_long_licence_files_are_compared_whole(spark):
+    """A licence text repeated, or with much of its like about it, is still told from its longer sister by the whole of the file."""
+    text = {name: "\n\n".join(paragraphs) for name, paragraphs, _ in licenses.TEXTS}
+    rows = [(i, f"d{i}/LICENSE", sep.join([text[name]] * 3)) for i, (name, sep) in enumerate((n, s) for n in ("BSD-2-Clause", "BSD-3-Clause", "MIT") for s in ("\n\n", " "))]
+    got = {r.doc_id: r.licence for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert [got[i] for i in range(6)] == ["BSD-2-Clause"] * 2 + ["BSD-3-Clause"] * 2 + ["MIT"] * 2
+
+
 def test_licence_query_finds_the_notices(spark, sf_dir):
     notice = re.compile(r"(?im)^(?:licensed under|released under|this work is licensed|all rights reserved)")
     got = {r.doc_id: r for r in licenses.op2_license_scan(spark, sf_dir).collect()}
