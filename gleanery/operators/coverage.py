@@ -13,7 +13,9 @@ from gleanery.session import checkpointed
 
 #: Shorter URLs are compared as a whole only.
 LEAST = 9
+#: Lines of a discovery log.
 TOTAL = r"^DISCOVERY total_saved=(\d+)$"
+TARGET = r"DISCOVERY target=(.*?) found=(\d+) saved=(\d+)"
 
 
 def first_hits(probes: DataFrame, records: DataFrame, prefixes: bool = True) -> DataFrame:
@@ -77,51 +79,66 @@ def probe_counts(found: DataFrame) -> DataFrame:
     )
 
 
+def _by_range(values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values dealt by range, with their ``part``; and a row a part (part, first, n), which is all that a global window sees."""
+    parted = checkpointed(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    return parted, parted.groupBy("part").agg(F.min(column).alias("first"), F.count("*").alias("n"))
+
+
 def gap_spans(values: DataFrame, least: int = 3) -> DataFrame:
     """(lo, hi): runs of 64-bit integers that are missing between at least ``least`` distinct ones of a column ``value`` of texts.
 
     Texts that are no such integer do not count. Values are dealt by range; each looks at the next of its part, and the last of a part at the
     first of the next part that has any.
     """
-    ints = values.select(F.col("value").try_cast("bigint").alias("v")).where("v is not null").distinct()
-    parted = checkpointed(ints.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
-    # A row a part: the only global window.
-    firsts = parted.groupBy("part").agg(F.min("v").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("beyond"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("n")).where(F.col("n") >= least)
+    parted, parts = _by_range(values.select(F.col("value").try_cast("bigint").alias("v")).where("v is not null").distinct(), "v")
+    parts = parts.select("part", F.lead("first").over(Window.orderBy("part")).alias("beyond"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("n")).where(F.col("n") >= least)
     following = F.coalesce(F.lead("v").over(Window.partitionBy("part").orderBy("v")), F.col("beyond"))
     # Within the test v < following, so neither sum can overflow.
-    return parted.join(F.broadcast(firsts), "part").select("v", following.alias("w")).where("v < w - 1").select((F.col("v") + 1).alias("lo"), (F.col("w") - 1).alias("hi"))
+    return parted.join(F.broadcast(parts), "part").select("v", following.alias("w")).where("v < w - 1").select((F.col("v") + 1).alias("lo"), (F.col("w") - 1).alias("hi"))
 
 
 #: Spans are cut at multiples of these sizes in turn, so no array has more than 2^16 entries.
 PIECES = (48, 32, 16)
 
 
-def numeric_gaps(values: DataFrame, least: int = 3) -> DataFrame:
-    """(missing): the integers of :func:`gap_spans` one by one; a long run is cut into pieces that are dealt over the tasks."""
-    pieces = gap_spans(values, least)
+def _listed(spans: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): the integers of spans (keys, lo, hi) one by one; long spans are cut into pieces that are dealt over the tasks."""
     for bits in PIECES:
         at = F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits)))
         first = F.shiftleft("at", bits)
-        pieces = pieces.select("lo", "hi", at.alias("at")).select(F.greatest("lo", first).alias("lo"), F.least("hi", first.bitwiseOR(F.lit((1 << bits) - 1))).alias("hi"))
-    return pieces.repartition(F.xxhash64("lo")).select(F.explode(F.sequence("lo", "hi")).alias("missing"))
+        spans = spans.select(*keys, "lo", "hi", at.alias("at")).select(*keys, F.greatest("lo", first).alias("lo"), F.least("hi", first.bitwiseOR(F.lit((1 << bits) - 1))).alias("hi"))
+    return spans.repartition(F.xxhash64(*keys, "lo")).select(*keys, F.explode(F.sequence("lo", "hi")).alias("n"))
+
+
+def numeric_gaps(values: DataFrame, least: int = 3) -> DataFrame:
+    """(missing): the integers of :func:`gap_spans` one by one."""
+    return _listed(gap_spans(values, least)).withColumnRenamed("n", "missing")
 
 
 def cross_gaps(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b) combinations of observed values that never occur together.
 
-    The product is that of two lists of distinct values, a report of its own size, not of rows.
+    The values of b are numbered in order, and each value of a has gaps between the numbers it occurs with; only those are listed, so the work is
+    that of the pairs seen and of the pairs reported, and no product is formed.
     """
-    seen = pairs.where(f"{a} <> '' and {b} <> ''").select(a, b).distinct()
-    every = seen.select(a).distinct().crossJoin(seen.select(b).distinct())
-    return every.join(seen, [a, b], "left_anti")
+    seen = checkpointed(pairs.where(f"{a} <> '' and {b} <> ''").select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    parted, parts = _by_range(seen.select("b").distinct(), "b")
+    starts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("b")) - 1
+    numbers = checkpointed(parted.join(F.broadcast(starts), "part").select("b", (F.col("start") + nth).alias("n"), "total"))
+    along = Window.partitionBy("a").orderBy("n")
+    placed = seen.join(numbers, "b").select("a", "n", F.lead("n").over(along).alias("after"), F.lag("n").over(along).alias("before"), "total")
+    # Behind each number up to the next, and before the first.
+    gaps = F.array(F.struct((F.col("n") + 1).alias("lo"), (F.coalesce("after", "total") - 1).alias("hi")), F.when(F.col("before").isNull(), F.struct(F.lit(0).cast("bigint").alias("lo"), (F.col("n") - 1).alias("hi"))))
+    spans = placed.select("a", F.explode(F.array_compact(gaps)).alias("g")).select("a", "g.lo", "g.hi").where("lo <= hi")
+    return _listed(spans, "a").join(numbers.select("b", "n"), "n").select(F.col("a").alias(a), F.col("b").alias(b))
 
 
 def discovery_lines(lines: DataFrame) -> DataFrame:
     """(label, found, saved) out of a discovery log (line_no, line); the last line of a label wins."""
-    pattern = r"DISCOVERY target=(.*?) found=(\d+) saved=(\d+)"
-    parsed = lines.where(F.col("line").rlike(pattern)).select(
-        "line_no", F.regexp_extract("line", pattern, 1).alias("label"), *(F.regexp_extract("line", pattern, i).cast("bigint").alias(n) for i, n in ((2, "found"), (3, "saved")))
+    parsed = lines.where(F.col("line").rlike(TARGET)).select(
+        "line_no", F.regexp_extract("line", TARGET, 1).alias("label"), *(F.regexp_extract("line", TARGET, i).cast("bigint").alias(n) for i, n in ((2, "found"), (3, "saved")))
     )
     return parsed.groupBy("label").agg(F.max_by("found", "line_no").alias("found"), F.max_by("saved", "line_no").alias("saved"))
 

@@ -83,4 +83,4 @@ def diagnosis(output: Column) -> Column:
 def error_line(output: Column) -> Column:
     """The last line that looks like an exception."""
     lines = F.filter(F.split(output, "\n"), lambda x: x.rlike(r"^\w*(?:Error|Exception)\b"))
-    return F.element_at(lines, F.when(F.size(lines) > 0, F.size(lines)))
+    return F.try_element_at(lines, F.lit(-1))

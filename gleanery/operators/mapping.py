@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.urls import strip
@@ -63,10 +63,9 @@ class Mapping:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def load(path: str) -> Mapping:
-    """The mapping in a JSON file, as strict as :func:`from_dict`."""
-    with open(path, encoding="utf-8") as f:
-        return from_dict(json.load(f))
+def load(spark: SparkSession, path: str) -> Mapping:
+    """The mapping in a JSON file of any store, as strict as :func:`from_dict`."""
+    return from_dict(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
 
 
 def from_dict(spec: dict) -> Mapping:
@@ -160,6 +159,20 @@ def assemble_drafts(drafts: DataFrame, template_props: DataFrame) -> DataFrame:
     return joined.select("ord", "name", "type", F.col("d.source").alias("source"), F.col("d.default_value").alias("default_value"), "required", rank.alias("rank"))
 
 
+def assemble_templates(drafts: DataFrame, primary: DataFrame, primary_name: str, registry: DataFrame, registry_name: str) -> DataFrame:
+    """(ord, name, type, templates, source, default_value, required, rank) of the properties of two templates (ord, name, type, required).
+
+    A property of both, by name, is one entry that names both templates; what only the registry has is an entry of its own, for which only drafts count that are
+    meant for it. The registry's title is not mapped, as its entities take over the primary's. ``drafts``: (target, template, source, default_value, ord); the last of a target counts.
+    """
+    extra = registry.where("type <> 'title'")
+    tagged = assemble_drafts(drafts, primary).join(extra.select("name", F.lit(True).alias("_both")), "name", "left")
+    names = F.when(F.col("_both"), F.array(F.lit(primary_name), F.lit(registry_name))).otherwise(F.array(F.lit(primary_name)))
+    own = assemble_drafts(drafts.where(F.col("template") == registry_name), extra.join(primary.select("name"), "name", "left_anti"))
+    both = tagged.withColumn("templates", names).drop("_both").unionByName(own.withColumn("templates", F.array(F.lit(registry_name))))
+    return both.select("ord", "name", "type", "templates", "source", "default_value", "required", "rank")
+
+
 def uncovered(template_props: DataFrame, mapped: DataFrame) -> DataFrame:
     """Template properties, titles aside, that no mapping covers."""
     return template_props.where("type <> 'title'").join(mapped.select("name"), "name", "left_anti")

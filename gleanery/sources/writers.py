@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,22 @@ def dry_run(plan: DataFrame) -> DataFrame:
     return plan.groupBy("language", "action").agg(F.count("*").alias("n"))
 
 
+def json_report(sections: dict[str, DataFrame], path: str) -> None:
+    """The same sections whole, one folder of JSON lines each, nulls included, written by tasks."""
+    for name, df in sections.items():
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+
+
+def ensure_table(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table of that schema at path, unless there is one."""
+    try:
+        spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+
+
 def markdown_report(title: str, sections: dict[str, DataFrame]) -> str:
     """Markdown of a few aggregates; each is cut at REPORT_ROWS, and says so."""
     out = [f"# {title}"]

@@ -68,6 +68,17 @@ def test_gaps_of_any_width(spark):
     assert (few.count(), few.agg(F.min("missing"), F.max("missing")).first()[:]) == (139998, (-69999, 69999))
 
 
+def test_combinations_that_never_occur(spark):
+    rng = random.Random(4)
+    pairs = [(rng.choice("abcdefg"), rng.choice(["x", "y", "z", "u", "é", "w", "v"])) for _ in range(20)] + [("", "x"), ("a", ""), (None, "x"), ("lonely", "x")]
+    df = spark.createDataFrame(pairs, "n string, b string")
+    seen = {p for p in pairs if p[0] and p[1]}
+    want = {(x, y) for x in {p[0] for p in seen} for y in {p[1] for p in seen}} - seen
+    got = [tuple(r) for r in coverage.cross_gaps(df, "n", "b").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert coverage.cross_gaps(df.limit(0), "n", "b").count() == 0
+
+
 def summary(spark, content, style):
     df = spark.createDataFrame([(1, content, style)], "id int, content string, style string")
     return summaries.summaries(df, ["id"]).first().summary
@@ -200,3 +211,22 @@ def test_fuzzy_matches_equal_brute_force(spark):
             want[v] = (label, d)
     got = vocab.fuzzy_candidates(spark.createDataFrame([(v, 1) for v in values], "crawl_value string, n int"), spark.createDataFrame([(x, 0) for x in labels], "label string, ord int"))
     assert {r.crawl_value: (r.suggested, r.distance) for r in got.collect()} == want
+
+
+def test_reports_tables_and_mappings_in_any_store(spark, tmp_path):
+    from gleanery.operators import mapping
+    from gleanery.sources import writers
+
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    writers.json_report({"rows": df, "none": df.limit(0)}, str(tmp_path / "report"))
+    lines = (line for f in (tmp_path / "report" / "rows").glob("*.json") for line in f.read_text().splitlines())
+    assert sorted(map(json.loads, lines), key=str) == [{"a": 1, "b": None}, {"a": 2, "b": "x"}]
+    for _ in range(2):
+        writers.ensure_table(spark, str(tmp_path / "t"), "a int, b string")
+    assert spark.read.parquet(str(tmp_path / "t")).schema == df.limit(0).schema
+    df.write.mode("append").parquet(str(tmp_path / "t"))
+    writers.ensure_table(spark, str(tmp_path / "t"), "a int, b string")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    (tmp_path / "m.json").write_text(json.dumps({"properties": [{"name": "a", "source": "x"}]}))
+    assert mapping.load(spark, (tmp_path / "m.json").as_uri()).fingerprint() == mapping.from_dict({"properties": [{"name": "a", "source": "x"}]}).fingerprint()
+
