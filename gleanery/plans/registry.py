@@ -21,5 +21,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("urls", "records", "profiles", "verification", "vocabularies", "sync", "web", "histories", "returns", "shapes", "audits"):
+for _name in ("urls", "records", "profiles", "verification", "vocabularies", "sync", "web", "histories", "returns", "shapes", "stores", "audits"):
     import_module(f"gleanery.plans.{_name}")

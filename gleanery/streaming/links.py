@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "url string, status string, filter_label string, _seq bigint"
-#: ``transformWithState`` keeps maps, which only this store has.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def advance(status: str | None, label: str | None, op: str, new_label: str | None) -> tuple[str | None, str | None]:
@@ -90,8 +88,8 @@ def fold_link_stream(events: DataFrame, lateness: int | None = None) -> DataFram
 
     Without ``lateness`` every order of arrival gives what :func:`fold_links` gives, and a link keeps its discoveries until it is
     processed. With it, events more than so many ordinals behind a link's latest are folded up, and what comes later than that is ignored.
+    The session must keep its state in RocksDB, as those of :mod:`gleanery.session` do: no other store has maps.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The frames that a processor gets lose names that begin with an underscore.
     rows = events.where("_seq is not null").select("url", "op", "filter_label", F.col("_seq").alias("seq"))
     return rows.groupBy("url").transformWithStateInPandas(LinkFold(lateness), OUTPUT, "Update", "None")
