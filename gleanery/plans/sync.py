@@ -138,6 +138,17 @@ def plan_actions(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
+@query(f"{_PLAN} SELECT source_url, action, primary_shared_id, CASE WHEN action <> 'SKIP' THEN priority END AS registry_priority, 'm1' AS mapping_sha256, title FROM plan JOIN ord USING (source_url)")
+def plan_whole_rows(spark, sf_dir):
+    data = F.col("data")
+    keyed = _orders(spark, sf_dir).select(
+        "source_url", "language", F.get_json_object(data, "$.file").alias("file_url"), P.key_value(data, "customer", F.col("source_url")).alias("key"), F.get_json_object(data, "$.title").alias("title"),
+        F.create_map(F.lit("day"), F.get_json_object(data, "$.day")).alias("metadata"), F.create_map(F.lit("priority"), F.get_json_object(data, "$.priority")).alias("registry_metadata"),
+    )
+    rows = P.plan_rows(keyed, *_indexes(spark, sf_dir), "m1")
+    return rows.select("source_url", "action", "primary_shared_id", F.col("registry_metadata")["priority"].alias("registry_priority"), "mapping_sha256", "title")
+
+
 @query(f"{_PLAN} SELECT language, action, count(*) AS n FROM plan GROUP BY 1, 2")
 def plan_action_counts(spark, sf_dir):
     return P.action_counts(_plan(spark, sf_dir))

@@ -39,19 +39,19 @@ def idle(events: list[tuple]) -> list[tuple]:
 
 
 class LinkFold(StatefulProcessor):
-    """Kept: a link's events that may matter, by ordinal; settled: what is folded up for good, and how many events were seen."""
+    """Kept: a link's events that may matter; settled: what is folded up for good, and how many events were seen."""
 
     def __init__(self, lateness: int | None):
         self.lateness = lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("kept", "seq bigint, op string", "label string")
+        self.kept = handle.getListState("kept", "seq bigint, op string, label string")
         self.settled = handle.getValueState("settled", "seen bigint, top bigint, upto bigint, status string, label string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, top, upto, status, label = self.settled.get() if self.settled.exists() else (0, None, None, None, None)
-        events = {k: v[0] for k, v in self.kept.iterator()}
-        stored = set(events)
+        stored = list(map(tuple, self.kept.get())) if seen else []
+        events = {e[:2]: e[2] for e in stored}
         for frame in rows:
             seen += len(frame)
             for seq, op, new in zip(frame["seq"].tolist(), frame["op"], frame["filter_label"], strict=True):
@@ -68,11 +68,12 @@ class LinkFold(StatefulProcessor):
         else:
             gone = set(idle(ordered))
             ordered = [e for e in ordered if e not in gone]
-        for k in stored - {e[:2] for e in ordered}:
-            self.kept.removeKey(k)
-        for seq, op, name in ordered:
-            if (seq, op) not in stored:
-                self.kept.updateValue((seq, op), (name,))
+        # One call a link and batch: what is new is appended, and only where something goes the list is written anew.
+        have, want = set(stored), set(ordered)
+        if not have <= want:
+            self.kept.put(ordered) if ordered else self.kept.clear()
+        elif fresh := [e for e in ordered if e not in have]:
+            self.kept.appendList(fresh)
         self.settled.update((seen, top, upto, status, label))
         for _, op, name in ordered:
             status, label = advance(status, label, op, name)
@@ -88,7 +89,7 @@ def fold_link_stream(events: DataFrame, lateness: int | None = None) -> DataFram
 
     Without ``lateness`` every order of arrival gives what :func:`fold_links` gives, and a link keeps its discoveries until it is
     processed. With it, events more than so many ordinals behind a link's latest are folded up, and what comes later than that is ignored.
-    The session must keep its state in RocksDB, as those of :mod:`gleanery.session` do: no other store has maps.
+    The session must keep its state in RocksDB, as those of :mod:`gleanery.session` do: no other store has lists.
     """
     # The frames that a processor gets lose names that begin with an underscore.
     rows = events.where("_seq is not null").select("url", "op", "filter_label", F.col("_seq").alias("seq"))
