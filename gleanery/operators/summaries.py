@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.urls import strip
@@ -36,38 +36,26 @@ def style_of(bucket: Column, content: Column, hard: bool = False) -> Column:
     return F.when(bucket != "snapshot", "lines").when(F.contains(first, F.lit(ANALYSED)), f"analysis{end}").otherwise(f"snapshot{end}")
 
 
-def _placed(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The lines of each return with what is known of them: kind of line, section, place within it, where a page's header ends."""
-    whole, section = Window.partitionBy(*key), Window.partitionBy(*key, "section")
-    so_far = lambda w: w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("line")
-    rows = rows.withColumns({"blank": strip(line) == "", "head": line.startswith("#"), "inner": line.startswith("  ")})
-    # A section begins at a header, or at any line that is neither indented nor blank.
-    rows = rows.withColumn("begins", F.col("head") | (~F.col("inner") & ~F.col("blank")))
-    opener = F.when(line.startswith(EXTRACTED) | line.startswith(PAGE_LINKS), F.struct("pos", line.startswith(EXTRACTED).alias("extracted")))
-    rows = rows.withColumns(
-        {
-            "section": F.sum(F.col("begins").cast("int")).over(so_far(whole)),
-            "opener": F.min(opener).over(whole),
-            "body": F.min(F.when(~F.col("blank") & ~F.col("head"), F.col("pos"))).over(whole),
-            "nth_full": F.sum((~F.col("blank")).cast("int")).over(so_far(whole)),
-        }
-    )
-    # The header of a page is over at the opener, unless its body comes first.
-    at = F.when(F.col("body").isNull() | (F.col("opener.pos") < F.col("body")), F.col("opener.pos"))
-    fits = F.when(F.col("opener.extracted"), line.startswith("  <")).otherwise(line.startswith("  "))
-    rows = rows.withColumn("at", at).withColumn("listed", ~F.col("blank") & (F.col("pos") > F.col("at")))
-    rows = rows.withColumn("fits", F.coalesce(F.col("listed") & fits, F.lit(False)))
-    return rows.withColumns(
-        {
-            "whole_section": F.coalesce(F.max(F.when(F.col("begins"), line.startswith(PATTERNS))).over(section), F.lit(False)),
-            "nth_inner": F.sum(F.col("inner").cast("int")).over(so_far(section)),
-            "all_inner": F.sum(F.col("inner").cast("int")).over(section),
-            "section_end": F.max("pos").over(section),
-            "stop": F.min(F.when(F.col("listed") & ~F.col("fits"), F.col("pos"))).over(whole),
-            "nth_listed": F.sum(F.col("fits").cast("int")).over(so_far(whole)),
-        }
-    )
+def _places(lines: str, wanted: Callable[[Column], Column]) -> Column:
+    """Where the wanted lines are, from 0."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(wanted(x), i)))
+
+
+def _blank(line: Column) -> Column:
+    return strip(line) == ""
+
+
+def _begins(line: Column) -> Column:
+    """A section begins at a header, or at any line that is neither indented nor blank."""
+    return line.startswith("#") | (~line.startswith("  ") & ~_blank(line))
+
+
+def _capped(section: Column) -> Column:
+    """The lines kept of a section, a struct of its lines and the places of indented ones."""
+    lines, inner = section["lines"], section["inner"]
+    cut, last = F.size(inner) - ELEMENTS, F.get(inner, F.lit(ELEMENTS - 1))
+    short = F.filter(lines, lambda x, i: ~x.startswith("  ") | (i <= last))
+    return F.when((cut <= 0) | F.get(lines, F.lit(0)).startswith(PATTERNS), lines).otherwise(F.concat(short, F.array(F.format_string("[%d more trimmed]", cut))))
 
 
 def summaries(parts: DataFrame, key: list[str]) -> DataFrame:
@@ -75,27 +63,40 @@ def summaries(parts: DataFrame, key: list[str]) -> DataFrame:
 
     An analysis keeps its headers and, below each, the first indented lines, with the number of those cut where a section ends; link
     patterns are kept whole. A page keeps its header lines and the first entries of the one list behind them, up to the first line that is neither. All others keep
-    their first lines. Lines of a return meet by its key, so no group is larger than one text.
+    their first lines. All is worked out within a row, each step in one pass over the lines of that text: no line is shuffled, and a task holds one text at a time.
     """
-    lines = parts.select(*key, "style", F.posexplode_outer(split_lines("content")).alias("pos", "line"))
-    rows = _placed(lines, key)
-    style, cap = F.col("style"), F.when(F.col("style") == "snapshot", LINKS).otherwise(LINKS_HARD)
-    cut = F.col("all_inner") - ELEMENTS
-    capped = ~F.col("whole_section") & (cut > 0)
-    in_header = F.col("head") & (F.col("pos") <= F.coalesce("at", F.col("body") - 1, F.col("pos")))
-    in_list = F.col("fits") & (F.col("pos") < F.coalesce("stop", F.col("pos") + 1)) & (F.col("nth_listed") <= cap)
-    kept = (
-        F.when(style == "analysis", ~F.col("inner") | F.col("head") | F.col("whole_section") | (F.col("nth_inner") <= ELEMENTS))
-        .when(style == "analysis_hard", F.col("head"))
-        .when(style == "lines", ~F.col("blank") & (F.col("nth_full") <= HEAD_LINES))
-        .otherwise(in_header | in_list)
+    none = F.array().cast("array<string>")
+    rows = parts.select(*key, "style", F.coalesce(split_lines("content"), none).alias("_ls"))
+    n, style = F.size("_ls"), F.col("style")
+    opens = lambda x: x.startswith(EXTRACTED) | x.startswith(PAGE_LINKS)
+    page, analysis = style.startswith("snapshot"), style == "analysis"
+    rows = rows.select(
+        *key, "style", "_ls",
+        F.when(analysis, F.concat(F.array(F.lit(0)), F.filter(_places("_ls", _begins), lambda i: i > 0))).alias("_starts"),
+        F.when(page, F.get(_places("_ls", opens), F.lit(0))).alias("_opener"),
+        F.when(page, F.get(_places("_ls", lambda x: ~_blank(x) & ~x.startswith("#")), F.lit(0))).alias("_body"),
+    )
+    # The header of a page is over at the opener, unless its body comes first.
+    at = F.when(F.col("_body").isNull() | (F.col("_opener") < F.col("_body")), F.col("_opener"))
+    rows = rows.select(*key, "style", "_ls", "_starts", "_body", at.alias("_at"))
+    behind = F.filter(F.slice("_ls", F.col("_at") + 2, n), lambda x: ~_blank(x))
+    indent = F.when(F.get("_ls", F.col("_at")).startswith(EXTRACTED), "  <").otherwise("  ")
+    sections = F.transform("_starts", lambda s, j: F.slice("_ls", s + 1, F.coalesce(F.get("_starts", j + 1), n) - s))
+    rows = rows.select(
+        *key, "style", "_ls",
+        F.transform(sections, lambda x: F.struct(x.alias("lines"), _places(x, lambda y: y.startswith("  ")).alias("inner"))).alias("_sections"),
+        F.filter(F.slice("_ls", 1, F.coalesce(F.col("_at") + 1, "_body", n)), lambda x: x.startswith("#")).alias("_header"),
+        behind.alias("_behind"), indent.alias("_indent"),
+    )
+    stop = F.coalesce(F.get(_places("_behind", lambda x: ~x.startswith(F.col("_indent"))), F.lit(0)), F.size("_behind"))
+    listed = F.slice("_behind", F.lit(1), F.least(stop, F.when(style == "snapshot", LINKS).otherwise(LINKS_HARD)))
+    text = (
+        F.when(analysis, F.flatten(F.transform("_sections", _capped)))
+        .when(style == "analysis_hard", F.filter("_ls", lambda x: x.startswith("#")))
+        .when(style == "lines", F.slice(F.filter("_ls", lambda x: ~_blank(x)), 1, HEAD_LINES))
+        .otherwise(F.concat("_header", F.coalesce(listed, none)))
     )
-    more = F.when((style == "analysis") & capped & (F.col("pos") == F.col("section_end")), F.format_string("[%d more trimmed]", cut))
-    texts = F.array_compact(F.array(F.when(kept, F.col("line")), more))
-    gathered = rows.select(*key, "style", "pos", texts.alias("texts")).groupBy(*key).agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("pos", "texts"))).alias("rows"))
-    text = F.flatten(F.col("rows.texts"))
-    ended = F.when(F.col("style") == "analysis", text).otherwise(F.concat(text, F.array(F.lit(PLACEHOLDER))))
-    return gathered.select(*key, F.array_join(ended, "\n").alias("summary"))
+    return rows.select(*key, F.array_join(F.when(analysis, text).otherwise(F.concat(text, F.array(F.lit(PLACEHOLDER)))), "\n").alias("summary"))
 
 
 Summariser = Callable[[Column], Column]
