@@ -49,16 +49,16 @@ def nested_scalar(rows: DataFrame, metadata: str, name: str, out: str = "key") -
 
     An object counts by its ``value``, or without one by its ``url`` if that is a text. Among the items of a list the first that leads to anything wins. A broken
     document, an absent property and blank texts give null. Every level is a step over the values left in a row, so
-    rows are not shuffled; data of more than ``LEVELS`` levels are stored between the steps.
+    rows are not shuffled. What is left is stored every ``LEVELS`` levels and then looked at, so no level is worked out twice.
     """
     left = "_left" + out
     rows = rows.withColumn(left, F.array_compact(F.array(F.try_variant_get(F.try_parse_json(metadata), f"$['{name}']", "variant"))))
     while True:
         for _ in range(LEVELS):
             rows = rows.withColumn(left, F.flatten(F.transform(left, _below)))
+        rows = checkpointed(rows)
         if rows.where(F.exists(left, _container)).isEmpty():
             return rows.withColumn(out, F.get(F.filter(F.transform(left, _printed), lambda t: t.isNotNull()), F.lit(0))).drop(left)
-        rows = checkpointed(rows)
 
 
 def plan_actions(records: DataFrame, primary: DataFrame, registry: DataFrame | None = None, has_key: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from gleanery.functions.values import decode_object
 from gleanery.operators import mapping as M
 from gleanery.operators import plan as P
 from gleanery.plans.registry import query
-from gleanery.session import table
+from gleanery.session import dealt, table
 
 MAPPING = M.Mapping(
     properties=(
@@ -114,7 +114,7 @@ def nested_scalars(spark, sf_dir):
     leaf = F.when(k % 6 == 0, name('{"url":" ', ' ","label":"l"}')).when(k % 6 == 1, k.cast("string")).when(k % 6 == 2, "true").when(k % 6 == 3, '""').when(k % 6 == 4, '{"value":null,"url":"u"}').otherwise(name('"', '"'))
     times = (k % 9).cast("int")
     wrapped = F.concat(F.lit('{"p":'), F.repeat(F.lit('[null,{"label":"x"},{"value":" "},{"value":'), times), leaf, F.repeat(F.lit('},"later"]'), times), F.lit("}"))
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), wrapped.alias("metadata"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(k.alias("id"), wrapped.alias("metadata"))
     return P.nested_scalar(rows, "metadata", "p").select("id", "key")
 
 
