@@ -11,7 +11,7 @@ from gleanery.plans import bindings as B
 from gleanery.plans.registry import query
 from gleanery.plans.verification import _EXPECT
 from gleanery.plans.vocabularies import _tree
-from gleanery.session import table
+from gleanery.session import dealt, table
 
 _FAULTS = f"""faults AS (
   SELECT source_url, CASE WHEN status = 'downloaded' AND filename <> '' THEN CASE WHEN file_url <> '' AND filename <> {_EXPECT} THEN 'canonical_filename' END
@@ -64,7 +64,7 @@ def spot_checks(spark, sf_dir):
     i = F.col("p_partkey")
     whole = F.concat(F.lit("https://h.example/f/"), i, F.when(i % 3 == 0, ".pdf").when(i % 3 == 1, ".doc").otherwise(""))
     spelt = F.when(i % 4 == 0, F.concat(F.upper(F.left(whole, F.lit(5))), F.substr(whole, F.lit(6)))).when(i % 4 == 1, F.substr(whole, F.lit(9))).when(i % 4 == 2, F.concat(whole, F.lit("#part")))
-    candidates = table(spark, sf_dir, "part").select(i.alias("probe_ord"), spelt.otherwise(F.concat(F.lit("https://nowhere.example/"), i)).alias("source_url"))
+    candidates = dealt(table(spark, sf_dir, "part").select("p_partkey")).select(i.alias("probe_ord"), spelt.otherwise(F.concat(F.lit("https://nowhere.example/"), i)).alias("source_url"))
     return coverage.spot_checks(candidates, B.downloads(spark, sf_dir), B.file_listing(spark, sf_dir))
 
 
