@@ -80,6 +80,12 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def to_unit_rows(counts: np.ndarray, idf: np.ndarray, rows: int = 128) -> None:
+    """:func:`unit_rows` in place, some rows at a time: the driver holds a sample once, and no copies of it."""
+    for lo in range(0, len(counts), rows):
+        counts[lo : lo + rows] = unit_rows(counts[lo : lo + rows], idf)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """At most k unit centroids; starts from the mean's nearest row and goes on to the farthest ones."""
     mean = x.mean(axis=0)
@@ -141,9 +147,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts = np.zeros((len(sample), BUCKETS), np.float32)
     for i, (_, at, n) in enumerate(sample):
         counts[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.int32)
-    idf = np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = unit_rows(counts, idf) if len(sample) else counts
+    idf = np.log((1 + len(sample)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 1
     signs = counts.sum(axis=1) / 3
+    to_unit_rows(x := counts, idf)
     langs, limits, found = [], [], []
     for lang in sorted({r[0] for r in sample}):
         rows = np.array([r[0] == lang for r in sample])
