@@ -41,7 +41,7 @@ def first_hits(probes: DataFrame, records: DataFrame, prefixes: bool = True) ->
     # Read once, as a row a URL: the range join looks at its input several times.
     known = checkpointed(records.where("url is not null and url <> ''").groupBy("url").agg(F.min("_seq").alias("_seq")))
     r = known.select(F.explode(F.array(*own)).alias("key"), F.col("_seq").alias("partner"))
-    return p.join(least_partners(p.select("key", "upward"), r), "key").groupBy("probe_ord").agg(F.min("partner").alias("matched_seq"))
+    return p.hint("merge").join(least_partners(p.select("key", "upward"), r), "key").groupBy("probe_ord").agg(F.min("partner").alias("matched_seq"))
 
 
 def probe_corpus(probes: DataFrame, records: DataFrame) -> DataFrame:
@@ -63,12 +63,12 @@ def spot_checks(candidates: DataFrame, records: DataFrame, files: DataFrame) ->
     url, name = get_or_blank(F.col("data"), "core_file_url"), get_or_blank(F.col("data"), "core_pdf_filename")
     rows = records.select("_seq", F.col("source_url").alias("db_source_url"), url.alias("url"), name.alias("stored_name"))
     first = first_hits(candidates, rows.select("url", "_seq"), prefixes=False).withColumnRenamed("matched_seq", "_seq")
-    # Records come to the hits alone, and a name that fits no file is replaced by one of the row's own: else all rows without one would meet in one task.
-    joined = candidates.join(first.join(rows.drop("url"), "_seq"), "probe_ord", "left").withColumn("expected_name", expected_filename(F.col("source_url")))
+    # Merged, as tables small on disk would be sent whole to each task, however many rows are made of them. Records come to the hits alone, and a name that fits no file is replaced by one of the row's own: else all rows without one would meet in one task.
+    joined = candidates.join(first.join(rows.drop("url").hint("merge"), "_seq"), "probe_ord", "left").withColumn("expected_name", expected_filename(F.col("source_url")))
     joined = joined.withColumns({c: F.when(F.coalesce(F.col(n), F.lit("")) == "", F.concat(F.lit("\0"), F.monotonically_increasing_id())).otherwise(F.col(n)) for c, n in (("_expected", "expected_name"), ("_stored", "stored_name"))})
     for kind in ("expected", "stored"):
         disk = files.where("basename <> ''").select(F.col("basename").alias(f"_{kind}"), F.struct(F.col("basename"), "is_valid", "is_small").alias(kind))
-        joined = joined.join(disk, f"_{kind}", "left")
+        joined = joined.join(disk.hint("merge"), f"_{kind}", "left")
     f = F.coalesce("expected", "stored")
     verdict = (
         F.when(F.col("_seq").isNull(), "missing_from_db").when(f.isNull(), "file_not_downloaded").when(~f["is_valid"], "corrupt_file").when(f["is_small"], "suspiciously_small").otherwise("present")
